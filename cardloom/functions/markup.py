@@ -14,20 +14,23 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.text import decode_no_break_space, decode_references, strip
 
-_HIDDEN = (
-    r"<!--(?s:.*?)-->"
-    r"|<(?i:script)(?=[\s/>])(?s:.*?)</(?i:script)\s*>"
-    r"|<(?i:style)(?=[\s/>])(?s:.*?)</(?i:style)\s*>"
+# A match can start only at "<" (or at white space), which lets the scan skip everything else quickly; ordinary tags
+# are told apart by their second character and need no further try.
+_MARKUP = (
+    r"<(?:[^>!sS][^>]*+>"
+    r"|!--.*?-->"
+    r"|(?i:script)(?=[\s/>]).*?</(?i:script)\s*>"
+    r"|(?i:style)(?=[\s/>]).*?</(?i:style)\s*>"
+    r"|[^>]+>)"
 )
-_MARKUP = rf"(?:{_HIDDEN}|<[^>]+>)"
 # White space next to markup belongs to the text nodes and is stripped with it. The look-behind lets a run of white
 # space be tried once, at its start, so that long runs cost linear time.
-_MARKUP_AND_SPACE = rf"(?U)(?:(?<!\s)\s++)?{_MARKUP}\s*+"
+_MARKUP_AND_SPACE = rf"(?sU)(?:\s(?<!\s\s)\s*+)?{_MARKUP}\s*+"
 
 
 def element_text(html: Column) -> Column:
     """Text nodes joined as they are; comments, scripts and styles are not text."""
-    return decode_references(F.regexp_replace(html, _MARKUP, ""))
+    return decode_references(F.regexp_replace(html, f"(?s){_MARKUP}", ""))
 
 
 def stripped_text(html: Column) -> Column:
@@ -75,7 +78,7 @@ def opening(tag: str, *conditions: str) -> str:
 
 def element(tag: str, *conditions: str) -> str:
     """Pattern of a whole element; group 1 is what is inside."""
-    return rf"{opening(tag, *conditions)}((?s:.*?))</(?i:{tag})\s*>"
+    return rf"(?s){opening(tag, *conditions)}(.*?)</(?i:{tag})\s*>"
 
 
 def found(html: Column, pattern: str) -> Column:

@@ -11,15 +11,16 @@ from cardloom.constants import CHARACTER_REFERENCES
 
 NO_BREAK_SPACE = "\u00a0"
 
-# Unicode white space plus the four separators that also count as white space for the documents' producer.
-_SPACE = r"[\s\x1c-\x1f]"
-# The look-behind and the possessive runs keep the scan linear on long runs of white space inside a text.
-_EDGES = rf"(?U)^{_SPACE}++|(?<!{_SPACE}){_SPACE}++$"
+# --- fixed values: characters that count as white space ---------------------------------------------------------------
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove white space at both ends, ideographic and no-break spaces included (``trim`` removes U+0020 only)."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:
@@ -51,7 +52,7 @@ def decode_references(text: Column) -> Column:
 
 def decode_no_break_space(text: Column) -> Column:
     """Decode only the no-break space, which takes part in white space rules before the markup is removed."""
-    return F.regexp_replace(text, "&nbsp;|&#160;|&#[xX][aA]0;", NO_BREAK_SPACE)
+    return F.regexp_replace(text, "&(?:nbsp|#160|#[xX][aA]0);", NO_BREAK_SPACE)
 
 
 def scalar_text(value: Column) -> Column:

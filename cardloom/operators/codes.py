@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.constants import CARD_NUMBER_PATTERN
 from cardloom.functions import markup
+from cardloom.functions.once import explode_once, select_once
 from cardloom.functions.text import NO_BREAK_SPACE, is_blank, strip
 from cardloom.operators.paging import number_rows
 
@@ -71,8 +72,8 @@ def extract_card_codes(pages: DataFrame) -> DataFrame:
     series = strip(markup.attribute(markup.tag_of(F.col("html"), "img", markup.has_class("img-regulation")), "alt"))
     number = F.regexp_extract(markup.element_text(F.col("html")), rf"(?U)({CARD_NUMBER_PATTERN})", 1)
     spaced = F.replace(number, F.lit(NO_BREAK_SPACE), F.lit(" "))
-    parts = pages.select(
-        "card_id", series.alias("series"), strip(F.replace(spaced, F.lit(" / "), F.lit("/"))).alias("number")
+    parts = select_once(
+        pages, ["card_id"], series.alias("series"), strip(F.replace(spaced, F.lit(" / "), F.lit("/"))).alias("number")
     )
     complete = (F.col("series") != "") & (F.col("number") != "")
     return parts.select("card_id", F.when(complete, F.concat_ws(" ", "series", "number")).alias("card_code"))
@@ -130,7 +131,7 @@ def backfill_documents(decks: DataFrame, codes: DataFrame, key: str = "deck_file
     blanks = F.array_distinct(
         F.transform(F.filter("cards", lambda card: is_blank(card["card_code"])), lambda card: card["card_id"])
     )
-    wanted = decks.select(key, F.explode(blanks).alias("card_id"))
+    wanted = explode_once(decks, [key], blanks, "pos", "card_id").select(key, "card_id")
     found = (
         wanted.join(codes.where("card_code <> ''").select("card_id", "card_code"), "card_id")
         .groupBy(key)

@@ -18,6 +18,7 @@ from cardloom.constants import (
 )
 from cardloom.functions import markup
 from cardloom.functions.cards import card_code_of, card_name_of, is_key_card, number_of, set_of
+from cardloom.functions.once import explode_once, let
 from cardloom.functions.text import or_empty
 from cardloom.functions.urls import deck_url
 
@@ -29,30 +30,58 @@ def parse_deck_pages(pages: DataFrame) -> DataFrame:
     without an image keeps ``''``. A quantity that is no integer ends the deck there.
     """
     scripts = F.array_join(
-        F.filter(
-            markup.inners(F.col("html"), "script"), lambda script: F.contains(script, F.lit(DECK_SCRIPT_MARK))
-        ),
+        F.filter(markup.inners(F.col("html"), "script"), lambda script: F.contains(script, F.lit(DECK_SCRIPT_MARK))),
         "\n",
     )
+    cards = let(F.struct(packed_cards(F.col("html")).alias("listed"), scripts.alias("scripts")), _page_cards)
+    others = [name for name in pages.columns if name not in ("deck_id", "html")]
+    return pages.select(
+        *others,
+        deck_url(F.col("deck_id")).alias("deck_url"),
+        "deck_id",
+        _deck_code(F.col("html")).alias("deck_code"),
+        cards.alias("cards"),
+    )
+
+
+def _page_cards(page: Column) -> Column:
+    # Reversed lists: the first hit is the last entry. Position 0 is no hit.
     entries = lambda pattern, group: F.reverse(
-        F.regexp_extract_all(F.col("scripts"), F.lit(f"(?U){pattern}"), F.lit(group))
+        F.regexp_extract_all(page["scripts"], F.lit(f"(?U){pattern}"), F.lit(group))
     )
-    others = [name for name in pages.columns if name not in ("deck_id", "html")]
-    listed = pages.select(
-        *others, "deck_id", _deck_code(F.col("html")).alias("deck_code"), packed_cards(F.col("html")).alias("listed"),
-        scripts.alias("scripts"),
-    ).select(
-        *others, "deck_id", "deck_code", "listed",
+    lists = F.struct(
+        page["listed"].alias("listed"),
         entries(DECK_NAME_ENTRY, 1).alias("name_ids"),
         entries(DECK_NAME_ENTRY, 2).alias("names"),
         entries(DECK_IMAGE_ENTRY, 1).alias("image_ids"),
         entries(DECK_IMAGE_ENTRY, 2).alias("images"),
     )
-    # Reversed lists: the first hit is the last entry. Position 0 is no hit.
-    known = F.filter("listed", lambda card: F.array_contains("name_ids", card["card_id"]))
-    cards = F.transform(known, _card)
-    return listed.select(
-        *others, deck_url(F.col("deck_id")).alias("deck_url"), "deck_id", "deck_code", cards.alias("cards")
+    return let(lists, _named_cards)
+
+
+def _named_cards(lists: Column) -> Column:
+    lookup = lambda values, keys, key: F.get(
+        lists[values], (F.array_position(lists[keys], key) - 1).cast("int")
+    )
+    known = F.filter(lists["listed"], lambda card: F.array_contains(lists["name_ids"], card["card_id"]))
+    looked_up = F.transform(
+        known,
+        lambda card: F.struct(
+            card["card_id"].alias("card_id"),
+            card["quantity"].alias("quantity"),
+            lookup("names", "name_ids", card["card_id"]).alias("full_name"),
+            lookup("images", "image_ids", card["card_id"]).alias("image"),
+        ),
+    )
+    return F.transform(
+        looked_up,
+        lambda card: F.struct(
+            card["card_id"].alias("card_id"),
+            card_name_of(card["full_name"]).alias("card_name"),
+            card_code_of(card["full_name"]).alias("card_code"),
+            card["quantity"].alias("quantity"),
+            or_empty(F.concat(F.lit(JAPAN_BASE_URL), card["image"])).alias("image_url"),
+        ),
     )
 
 
@@ -85,31 +114,18 @@ def packed_cards(html: Column) -> Column:
             F.get(part, F.lit(0)).alias("card_id"), F.get(part, F.lit(1)).try_cast("int").alias("quantity")
         ),
     )
-    first_bad = F.array_position(F.transform(cards, lambda card: card["quantity"].isNull()), F.lit(True)).cast("int")
-    return F.when(first_bad > 0, F.slice(cards, F.lit(1), first_bad - 1)).otherwise(cards)
+    return let(cards, _until_broken)
 
 
-def _card(card: Column) -> Column:
-    card_id = card["card_id"]
-    full_name = _lookup("names", "name_ids", card_id)
-    image = _lookup("images", "image_ids", card_id)
-    return F.struct(
-        card_id.alias("card_id"),
-        card_name_of(full_name).alias("card_name"),
-        card_code_of(full_name).alias("card_code"),
-        card["quantity"].alias("quantity"),
-        or_empty(F.concat(F.lit(JAPAN_BASE_URL), image)).alias("image_url"),
-    )
-
-
-def _lookup(values: str, keys: str, key: Column) -> Column:
-    return F.get(F.col(values), (F.array_position(F.col(keys), key) - 1).cast("int"))
+def _until_broken(cards: Column) -> Column:
+    broken_at = F.array_position(F.transform(cards, lambda card: card["quantity"].isNull()), F.lit(True)).cast("int")
+    return let(broken_at, lambda at: F.when(at > 0, F.slice(cards, F.lit(1), at - 1)).otherwise(cards))
 
 
 def cards_of(decks: DataFrame, *keep: str) -> DataFrame:
     """Flat cards of deck documents: the ``keep`` columns (``deck_id`` by default), ``pos`` and the card fields."""
     kept = keep or ("deck_id",)
-    return decks.select(*kept, F.posexplode("cards").alias("pos", "card")).select(*kept, "pos", "card.*")
+    return explode_once(decks, kept, F.col("cards"), "pos", "card").select(*kept, "pos", "card.*")
 
 
 def copies_in(cards: Column) -> Column:
@@ -128,11 +144,15 @@ def key_cards_in(cards: Column, k: int = 3, markers: Sequence[str] = ENERGY_MARK
     Printings of a name are added up and energy cards left out. The array holds ``struct<copies, card_name>``.
     """
     kept = F.filter(cards, lambda card: is_key_card(card["card_name"], markers))
-    names = F.array_distinct(F.transform(kept, lambda card: card["card_name"]))
+    return let(kept, lambda of_deck: _leading_names(of_deck, k))
+
+
+def _leading_names(cards: Column, k: int) -> Column:
+    names = F.array_distinct(F.transform(cards, lambda card: card["card_name"]))
     totals = F.transform(
         names,
         lambda name, seen: F.struct(
-            (-copies_in(F.filter(kept, lambda card: card["card_name"] == name))).alias("minus_copies"),
+            (-copies_in(F.filter(cards, lambda card: card["card_name"] == name))).alias("minus_copies"),
             seen.alias("seen"),
             name.alias("card_name"),
         ),

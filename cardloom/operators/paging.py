@@ -8,32 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import markup
+from cardloom.functions.once import explode_once, select_once
 from cardloom.functions.urls import event_id_of
 
 
-def pages_until_terminal(
-    pages: DataFrame,
-    key: str,
-    is_empty: Column,
-    is_last: Column,
-    known_keys: Sequence[str] | None = None,
+def reading_stops(
+    pages: DataFrame, key: str, is_empty: Column, is_last: Column, known_keys: Sequence[str] | None = None
 ) -> DataFrame:
-    """Keep, per ``key``, the pages before the first empty one and up to the first last one.
+    """Where reading stops per ``key``: ``first_empty`` and ``first_last`` page, for keys that have a terminal page.
 
-    The terminal page of each key comes from an aggregate with map-side combine, never from a window over the key: a
-    key may own a third of all pages, and a window would bring their text into one task. With ``known_keys`` (the
-    configured sites) the aggregate has at most that many rows and is broadcast, so page text is never shuffled.
-    Without it the number of keys is unbounded, and the join strategy is left to Spark, which splits hot keys.
+    An aggregate with map-side combine, never a window over the key: a key may own a third of all pages, and a window
+    would bring their text into one task.
     """
     if known_keys is not None:
         pages = pages.where(F.col(key).isin(list(known_keys)))
-    marked = pages.select(
-        key,
-        "page_no",
+    marked = select_once(
+        pages,
+        [key, "page_no"],
         F.coalesce(is_empty, F.lit(True)).alias("is_empty"),
         F.coalesce(is_last, F.lit(True)).alias("is_last"),
     )
-    stops = (
+    return (
         marked.where("is_empty or is_last")
         .groupBy(key)
         .agg(
@@ -41,7 +36,19 @@ def pages_until_terminal(
             F.min(F.when(F.col("is_last"), F.col("page_no"))).alias("first_last"),
         )
     )
+
+
+def read_until(
+    pages: DataFrame, stops: DataFrame, key: str, known_keys: Sequence[str] | None = None
+) -> DataFrame:
+    """Pages before the first empty one and up to the first last one of their key.
+
+    With ``known_keys`` (the configured sites) the stops have at most that many rows and are broadcast, so page text
+    is never shuffled. Without it the number of keys is unbounded, and Spark chooses the join and splits hot keys;
+    ``pages`` should then hold only what is needed.
+    """
     if known_keys is not None:
+        pages = pages.where(F.col(key).isin(list(known_keys)))
         stops = F.broadcast(stops)
     before_empty = F.col("first_empty").isNull() | (F.col("page_no") < F.col("first_empty"))
     up_to_last = F.col("first_last").isNull() | (F.col("page_no") <= F.col("first_last"))
@@ -54,7 +61,7 @@ def event_links(listing: DataFrame) -> DataFrame:
         markup.tags_of(F.col("html"), "a", markup.value_contains("href", "/event/detail/")),
         lambda tag: event_id_of(markup.attribute(tag, "href")),
     )
-    return listing.select("page_no", F.posexplode(hrefs).alias("pos", "event_id")).where("event_id <> ''")
+    return explode_once(listing, ["page_no"], hrefs, "pos", "event_id").where("event_id <> ''")
 
 
 def discover_event_ids(listing: DataFrame) -> DataFrame:

@@ -22,9 +22,10 @@ from cardloom.constants import (
 from cardloom.functions import markup
 from cardloom.functions.cards import joined_name
 from cardloom.functions.dates import japanese_date, month_first_date, release_sort_key
+from cardloom.functions.once import explode_once, select_once
 from cardloom.functions.text import clean_lines, or_empty, scalar_text
 from cardloom.functions.urls import absolute_url, image_code, query_value
-from cardloom.operators.paging import pages_until_terminal
+from cardloom.operators.paging import read_until, reading_stops
 from cardloom.schemas import API_RESPONSE_DDL
 
 
@@ -56,12 +57,12 @@ def readable_api_pages(pages: DataFrame) -> DataFrame:
     unreadable = F.try_parse_json("body").isNull() | ~F.startswith(F.ltrim("body"), F.lit("{"))
     broken_page = pages.where(unreadable).agg(F.min("page_no")).scalar()
     reached = (F.col("page_no") <= last_page) & (broken_page.isNull() | (F.col("page_no") < broken_page))
-    return pages.where(reached).select("page_no", response.alias("response")).where("response.result = 1")
+    return select_once(pages.where(reached), ["page_no"], response.alias("response")).where("response.result = 1")
 
 
 def api_products(pages: DataFrame) -> DataFrame:
     """Products of the landed API responses: ``page_no, pos`` and the product columns, named products only."""
-    items = readable_api_pages(pages).select("page_no", F.posexplode("response.products").alias("pos", "item"))
+    items = explode_once(readable_api_pages(pages), ["page_no"], F.col("response.products"), "pos", "item")
     field = lambda name: or_empty(F.col(f"item.{name}"))
     link = lambda name: absolute_url(field(name), JAPAN_BASE_URL)
     title = field("productTitle")
@@ -98,13 +99,10 @@ def catalog_pages(pages: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES) ->
     next_item = markup.inner(
         markup.inner(html, "nav", markup.has_class("pagination")), "li", markup.has_class("paginationItem next")
     )
-    return pages_until_terminal(
-        pages,
-        "site",
-        is_empty=~markup.found(items, markup.opening(*_ITEM)),
-        is_last=~markup.found(next_item, markup.opening("a")),
-        known_keys=[site.key for site in sites],
-    )
+    keys = [site.key for site in sites]
+    no_items = ~markup.found(items, markup.opening(*_ITEM))
+    no_next = ~markup.found(next_item, markup.opening("a"))
+    return read_until(pages, reading_stops(pages, "site", no_items, no_next, keys), "site", keys)
 
 
 def catalog_items(pages: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES) -> DataFrame:
@@ -125,25 +123,29 @@ def catalog_items(pages: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES) ->
     date_text = F.coalesce(
         F.nullif(date_attribute, F.lit("")), markup.stripped_text(markup.inner(item, *time))
     )
-    return (
-        pages.select("site", "page_no", F.posexplode(markup.inners(markup.inner(F.col("html"), *_LIST), *_ITEM)))
-        .withColumnRenamed("col", "item")
-        .select(
-            "site",
-            "page_no",
-            "pos",
-            _by_site(sites, "country").alias("country"),
-            name.alias("product_name"),
-            F.lit("").alias("price"),
-            month_first_date(date_text).alias("release_date"),
-            link.alias("link"),
-            _link_of(item, "img", "src", sites=sites).alias("image_url"),
-            F.lit("").alias("include"),
-            F.lit("Yes").alias("card_only"),
-            _by_site(sites, "price_language").alias("price_language"),
-        )
-        .where("product_name <> '' or link <> ''")
-        .withColumn("code", query_value(F.col("link"), "expansionCodes"))
+    items = markup.inners(markup.inner(F.col("html"), *_LIST), *_ITEM)
+    parsed = select_once(
+        explode_once(pages, ["site", "page_no"], items, "pos", "item"),
+        ["site", "page_no", "pos"],
+        name.alias("product_name"),
+        date_text.alias("date_text"),
+        link.alias("link"),
+        _link_of(item, "img", "src", sites=sites).alias("image_url"),
+    )
+    return parsed.where("product_name <> '' or link <> ''").select(
+        "site",
+        "page_no",
+        "pos",
+        _by_site(sites, "country").alias("country"),
+        "product_name",
+        F.lit("").alias("price"),
+        month_first_date(F.col("date_text")).alias("release_date"),
+        query_value(F.col("link"), "expansionCodes").alias("code"),
+        "link",
+        "image_url",
+        F.lit("").alias("include"),
+        F.lit("Yes").alias("card_only"),
+        _by_site(sites, "price_language").alias("price_language"),
     )
 
 
@@ -186,10 +188,10 @@ def detail_prices(pages: DataFrame) -> DataFrame:
         F.get(paragraph_prices, F.lit(0)),
         F.nullif(_price_in(markup.element_text(F.col("section"))), F.lit("")),
     )
+    keys = [F.col("lang").alias("price_language"), F.lower("code").alias("code_key")]
+    sections = select_once(pages, keys, section.alias("section")).where("section <> ''")
     return (
-        pages.select(F.col("lang").alias("price_language"), F.lower("code").alias("code_key"), section.alias("section"))
-        .where("section <> ''")
-        .select("price_language", "code_key", price.alias("amount"))
+        select_once(sections, ["price_language", "code_key"], price.alias("amount"))
         .where("amount is not null")
         .groupBy("price_language", "code_key")
         .agg(F.concat(F.max("amount"), F.lit(PRICE_UNIT)).alias("price"))
@@ -213,18 +215,34 @@ def with_prices(items: DataFrame, prices: DataFrame) -> DataFrame:
 
 # ---- union and order -------------------------------------------------------------------------------------------------
 
-ORDER_COLUMNS = ("source_no", "page_no", "pos")
+ORDER_COLUMNS = ("source_no", "site_no", "page_no", "pos")
 
 
 def union_products(*sources: DataFrame) -> DataFrame:
-    """Append product sources in the given order; columns a source lacks become ``''``."""
+    """Append product sources in the given order; columns a source lacks become ``''``.
+
+    A source that holds several sites brings ``site_no``, the place of each site within it.
+    """
     if not sources:
         raise ValueError("at least one product source is needed")
-    numbered = [df.withColumn("source_no", F.lit(number)) for number, df in enumerate(sources)]
+    numbered = []
+    for number, source in enumerate(sources):
+        within = F.col("site_no") if "site_no" in source.columns else F.lit(0)
+        numbered.append(source.withColumn("source_no", F.lit(number)).withColumn("site_no", within))
     union = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), numbered)
     return union.select(*ORDER_COLUMNS, *[or_empty(F.col(name)).alias(name) for name in PRODUCT_COLUMNS])
 
 
+def number_sites(items: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES) -> DataFrame:
+    """Add ``site_no``, so that items of all sites are worked out in one pass and still keep their site's place."""
+    number = reduce(
+        lambda chosen, numbered: F.when(F.col("site") == numbered[1].key, F.lit(numbered[0])).otherwise(chosen),
+        enumerate(sites),
+        F.lit(len(sites)),
+    )
+    return items.withColumn("site_no", number)
+
+
 def sort_products(products: DataFrame, undated: str = "first") -> DataFrame:
     """Newest first, ties in source order; ``undated`` rows come ``'first'`` or ``'last'``.
 

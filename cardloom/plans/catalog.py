@@ -13,6 +13,7 @@ from cardloom.operators.products import (
     catalog_items,
     catalog_pages,
     detail_prices,
+    number_sites,
     union_products,
     with_prices,
 )
@@ -34,5 +35,5 @@ def product_catalog(
         items = catalog_items(catalog_pages(site_pages, sites), sites)
         if detail_pages is not None:
             items = with_prices(items, detail_prices(detail_pages))
-        sources += [items.where(items["site"] == site.key) for site in sites]
+        sources.append(number_sites(items, sites))
     return union_products(*sources)

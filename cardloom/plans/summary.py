@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.constants import ENERGY_MARKERS
+from cardloom.functions.once import select_once
 from cardloom.operators import summaries
 from cardloom.operators.decks import cards_of, copies_in, entries_in, key_cards_in
 from cardloom.operators.events import results_of
@@ -15,7 +16,8 @@ from cardloom.operators.events import results_of
 
 def document_key_cards(decks: DataFrame, markers: Sequence[str] = ENERGY_MARKERS) -> DataFrame:
     """Key card of every deck document, found inside its row without a shuffle: ``deck_id, key_card``."""
-    return decks.select("deck_id", F.get(key_cards_in(F.col("cards"), 1, markers), F.lit(0))["card_name"].alias("key_card"))
+    first = F.get(key_cards_in(F.col("cards"), 1, markers), F.lit(0))
+    return select_once(decks, ["deck_id"], first["card_name"].alias("key_card"))
 
 
 def document_totals(decks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.constants import PRODUCT_COLUMNS
 from cardloom.operators.products import sort_products
+from cardloom.session import fresh_path
 
 # Bounds the size of one output file, so that a date with very many events still becomes several files.
 MAX_RECORDS_PER_FILE = 1_000_000
@@ -35,10 +36,17 @@ def read_product_csv(spark, path: str) -> DataFrame:
 
 
 def write_products(products: DataFrame, path: str, undated: str = "first") -> bool:
-    """Sorted product file; an empty table writes nothing. Tells whether something was written."""
-    if products.isEmpty():
+    """Sorted product file; an empty table writes nothing. Tells whether something was written.
+
+    A global sort reads its input twice, first to find the ranges. The products are therefore written to the shared
+    folder before they are sorted, so that the pages behind them are parsed once.
+    """
+    staged_path = fresh_path(products.sparkSession, "products-unsorted")
+    products.write.parquet(staged_path)
+    staged = products.sparkSession.read.schema(products.schema).parquet(staged_path)
+    if staged.isEmpty():
         return False
-    write_csv(sort_products(products, undated).select(*PRODUCT_COLUMNS), path)
+    write_csv(sort_products(staged, undated).select(*PRODUCT_COLUMNS), path)
     return True
 
 

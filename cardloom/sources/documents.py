@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardloom.functions.once import select_once
 from cardloom.schemas import DECK_DDL, EVENT_DDL
 from cardloom.sources.landed import FILE_PATH, path_is_missing
 
@@ -38,44 +39,43 @@ def read_deck_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_deck_documents_tolerant(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Readable deck documents as in :func:`read_deck_documents`, and the rejected files: ``deck_file, reason``."""
-    pattern = f"{folder}/{_DECK_FILES}"
-    reader = (
-        spark.read.schema(f"{DECK_DDL}, {_CORRUPT} string")
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-    )
-    found = _load(reader, pattern)
-    if found is None:
+    """Readable deck documents as in :func:`read_deck_documents`, and the rejected files: ``deck_file, text``.
+
+    An unreadable or empty file is rejected and the read goes on.
+    """
+    try:
+        files = spark.read.text(f"{folder}/{_DECK_FILES}", wholetext=True)
+    except AnalysisException as error:
+        if not path_is_missing(error):
+            raise
         return (
             spark.createDataFrame([], f"{DECK_DDL}, event_id string, deck_file string"),
-            spark.createDataFrame([], "deck_file string, reason string"),
-        )
-    read = _with_lineage(found)
-    good = read.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-    bad = read.where(F.col(_CORRUPT).isNotNull()).select("deck_file", F.lit("not a JSON document").alias("reason"))
-    # An empty file gives no row at all; the file listing alone shows it.
-    empty = (
-        spark.read.format("binaryFile").load(pattern).where("length = 0").select(
-            F.col("path").alias("deck_file"), F.lit("empty file").alias("reason")
+            spark.createDataFrame([], "deck_file string, text string"),
         )
-    )
-    return good, bad.unionByName(empty)
-
-
-def read_document_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Documents stored as JSON lines: the readable ones with the columns of ``schema``, and the rejected lines as
-    ``file, line``. Partition columns of the folder belong into ``schema``."""
-    read = (
-        spark.read.schema(f"{schema}, {_CORRUPT} string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .json(path)
-        .select("*", F.col(FILE_PATH).alias("file"))
-    )
-    good = read.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT, "file")
-    return good, read.where(F.col(_CORRUPT).isNotNull()).select("file", F.col(_CORRUPT).alias("line"))
+    lineage = [
+        F.regexp_extract(FILE_PATH, _FOLDER_EVENT_ID, 1).alias("event_id"), F.col(FILE_PATH).alias("deck_file")
+    ]
+    good, bad = _good_and_bad(files.select("value", *lineage), DECK_DDL, "event_id", "deck_file")
+    return good, bad.select("deck_file", "text")
+
+
+def read_document_lines(
+    spark: SparkSession, path: str, schema: str, *partitions: str
+) -> tuple[DataFrame, DataFrame]:
+    """Documents stored as JSON lines, with their partition columns as strings: the readable documents, and the
+    rejected lines as ``file, text``."""
+    declared = ", ".join(f"{name} string" for name in ("value", *partitions))
+    lines = spark.read.schema(declared).text(path).select("value", *partitions, F.col(FILE_PATH).alias("file"))
+    good, bad = _good_and_bad(lines, schema, *partitions, "file")
+    return good.drop("file"), bad.select("file", "text")
+
+
+def _good_and_bad(texts: DataFrame, schema: str, *keep: str) -> tuple[DataFrame, DataFrame]:
+    document = F.from_json("value", f"{schema}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT})
+    parsed = select_once(texts, ["value", *keep], document.alias("document"))
+    broken = F.col("document").isNull() | F.col(f"document.{_CORRUPT}").isNotNull()
+    good = parsed.where(~broken).select("document.*", *keep).drop(_CORRUPT)
+    return good, parsed.where(broken).select(*keep, F.col("value").alias("text"))
 
 
 def _with_lineage(found: DataFrame) -> DataFrame:

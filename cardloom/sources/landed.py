@@ -17,6 +17,16 @@ def read_whole_files(spark: SparkSession, path: str, content: str, **keys: str)
     return files.select(*columns, F.col("value").alias(content))
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Spread a stored table over all cores if it is read in fewer tasks than there are cores.
+
+    Parsing a page costs far more than reading it, so a small table in one file would keep one core busy. A table of
+    many files, as on a cluster, stays as it is and is not shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, *keys)
+
+
 def read_api_responses(spark: SparkSession, path: str, page_pattern: str = r"(\d+)[^/\d]*$") -> DataFrame:
     """Landed API responses, one file per page: ``page_no, body``. The page number is cut from the file name."""
     return read_whole_files(spark, path, "body", page_no=page_pattern).withColumn("page_no", _int("page_no"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions.cards import deck_file_name
+from cardloom.functions.once import select_once
+from cardloom.sources.landed import spread
 
 ENERGY_STAND_INS = ("ring", "anvil")
 
@@ -19,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def page_source(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are, or become, pages to parse."""
+    return spread(table(spark, folder, name), key)
+
+
 # ---- flat inputs -----------------------------------------------------------------------------------------------------
 
 
@@ -114,8 +121,8 @@ def stored_decks(spark: SparkSession, folder: str) -> DataFrame:
 
 def api_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One response per part with up to four products; the last part lies beyond ``maxPage``."""
-    part = table(spark, folder, "part")
-    last = part.agg(F.max("p_partkey")).scalar()
+    part = page_source(spark, folder, "part", "p_partkey")
+    last = table(spark, folder, "part").agg(F.max("p_partkey")).scalar()
     day = "date_add(date'2020-01-01', cast(p_partkey % 3000 as int))"
     product = f"""concat(
         '{{"productType":"', if(i = 2, '', p_type), '"',
@@ -137,8 +144,8 @@ def api_pages(spark: SparkSession, folder: str) -> DataFrame:
         '}}')"""
     body = f"""concat('{{"result":', if(p_size = 13, 0, 1), ',"errMsg":"","maxPage":', last_page, ',"products":[',
         array_join(transform(sequence(0, p_size % 4), i -> {product}), ','), ']}}')"""
-    return part.withColumn("last_page", last).select(
-        F.expr("cast(p_partkey + 1 as int) as page_no"), F.expr(body).alias("body")
+    return select_once(
+        part.withColumn("last_page", last), [F.expr("cast(p_partkey + 1 as int) as page_no")], F.expr(body).alias("body")
     )
 
 
@@ -148,8 +155,8 @@ def api_pages(spark: SparkSession, folder: str) -> DataFrame:
 def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One catalogue page per part on one of two sites. The last tenth of the pages of the first site lies behind a
     page without a next link, the last twentieth of the second site behind pages without a list."""
-    part = table(spark, folder, "part")
-    last = part.agg(F.max("p_partkey")).scalar()
+    part = page_source(spark, folder, "part", "p_partkey")
+    last = table(spark, folder, "part").agg(F.max("p_partkey")).scalar()
     day = "date_add(date'2020-01-01', cast(p_partkey % 3000 as int))"
     item = f"""concat('<li class="expansion new">',
         case i when 0 then concat('<a href="/hk/card-search/list/?expansionCodes=P', p_partkey,
@@ -172,7 +179,7 @@ def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
            '<li class="paginationItem next"><a href="?n"></a></li>'),
         '</ul></nav></body></html>')"""
     sited = part.withColumn("last_page", last).withColumn("site", F.expr("if(p_size % 2 = 0, 'en', 'zh')"))
-    return sited.select("site", F.expr("cast(p_partkey + 1 as int) as page_no"), F.expr(html).alias("html"))
+    return select_once(sited, ["site", F.expr("cast(p_partkey + 1 as int) as page_no")], F.expr(html).alias("html"))
 
 
 def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,9 +192,8 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
              when 2 then concat('<span>建議零售價：<b>', p_size, '</b>元</span>')
              else '' end,
         '</section><p>建議零售價：2元</p>')"""
-    return table(spark, folder, "part").selectExpr(
-        "if(p_size % 2 = 0, 'hk-en', 'hk') as lang", "concat('p', p_partkey) as code", f"{html} as html"
-    )
+    keys = [F.expr("if(p_size % 2 = 0, 'hk-en', 'hk') as lang"), F.expr("concat('p', p_partkey) as code")]
+    return select_once(page_source(spark, folder, "part", "p_partkey"), keys, F.expr(html).alias("html"))
 
 
 # ---- listing, event, deck and card pages -----------------------------------------------------------------------------
@@ -195,19 +201,21 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One listing page per event row: a link of its own and one to a busy id. The last tenth has only the latter."""
-    rows = table(spark, folder, "events")
-    last = rows.agg(F.max("event_id")).scalar()
+    rows = page_source(spark, folder, "events", "event_id")
+    last = table(spark, folder, "events").agg(F.max("event_id")).scalar()
     html = """concat('<ul>',
         if(event_id < last_event - last_event div 10,
            concat('<li><a class="ev" href="/event/detail/', event_id + 1000000, '/result">e</a></li>'), ''),
         '<li><a href="/other/1">o</a></li><li><a href="/event/detail/x">x</a></li>',
         '<li><a href="https://players.example/event/detail/', user_id, '/result">u</a></li></ul>')"""
-    return rows.withColumn("last_event", last).selectExpr("cast(event_id + 1 as int) as page_no", f"{html} as html")
+    return select_once(
+        rows.withColumn("last_event", last), [F.expr("cast(event_id + 1 as int) as page_no")], F.expr(html).alias("html")
+    )
 
 
 def event_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Result pages of one event per order: one to three pages, and behind the last one a page nobody reaches."""
-    orders = table(spark, folder, "orders")
+    orders = page_source(spark, folder, "orders", "o_orderkey")
     row = """concat('<tr><td>', (page_no - 1) * 3 + j, '位</td><td> ', o_custkey % 100, 'pt</td><td><b>nama', j,
         '</b>プレイヤーID：', o_custkey * 10 + j, '<br>エリア：', o_orderpriority, ' </td><td>x</td><td>',
         if(j = 3, '', concat('<a href="https://deck.example/deck/confirm.html/deckID/D', o_orderkey, '-', page_no, '-', j,
@@ -224,12 +232,11 @@ def event_pages(spark: SparkSession, folder: str) -> DataFrame:
         array_join(transform(sequence(1, 3), j -> {row}), '\\n'), '<tr><td>1</td><td>2</td><td>3</td><td>4</td></tr></table>',
         if(page_no < pages, '<button class="btn next">n</button>',
            if(o_orderstatus = 'F', '', '<button class="next" disabled>n</button>')), '</body></html>')"""
-    return (
-        orders.withColumn("pages", F.expr("cast(1 + o_custkey % 3 as int)"))
-        .withColumn("page_no", F.expr("explode(sequence(1, pages + 1))"))
-        .selectExpr("concat('https://players.example/event/detail/', o_orderkey, '/result') as event_url", "page_no",
-                    f"{html} as html")
+    paged = orders.withColumn("pages", F.expr("cast(1 + o_custkey % 3 as int)")).withColumn(
+        "page_no", F.expr("explode(sequence(1, pages + 1))")
     )
+    url = F.expr("concat('https://players.example/event/detail/', o_orderkey, '/result') as event_url")
+    return select_once(paged, [url, "page_no"], F.expr(html).alias("html"))
 
 
 def deck_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,7 +245,7 @@ def deck_pages(spark: SparkSession, folder: str) -> DataFrame:
     Card 1 is an energy card, card 2 has no code, card 4 no name; the first name comes twice, the later one counts.
     Orders in progress have a broken quantity at card 3.
     """
-    orders = table(spark, folder, "orders")
+    orders = page_source(spark, folder, "orders", "o_orderkey")
     card_id = "(40000 + (o_custkey * 7 + i * 13) % 900)"
     entry = f"""concat({card_id}, '_', if(i = 3 and o_orderstatus = 'P', 'x', cast(1 + (o_orderkey + i) % 4 as string)), '_1')"""
     name = f"""case i when 1 then '基本エネルギー' when 2 then concat('plain ', {card_id} % 64)
@@ -254,9 +261,8 @@ def deck_pages(spark: SparkSession, folder: str) -> DataFrame:
         '<script>', array_join(transform(filter(ids, i -> i <> 4), i -> {named}), '\\n'),
         array_join(transform(filter(ids, i -> i % 2 = 0), i -> {pictured}), ''), '</script>',
         '<script>other[1]=\\'no\\';</script>')"""
-    return orders.withColumn("ids", F.expr("sequence(0, cast(o_custkey % 6 as int))")).selectExpr(
-        "concat('D', o_orderkey) as deck_id", f"{html} as html"
-    )
+    listed = orders.withColumn("ids", F.expr("sequence(0, cast(o_custkey % 6 as int))"))
+    return select_once(listed, [F.expr("concat('D', o_orderkey) as deck_id")], F.expr(html).alias("html"))
 
 
 def code_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -265,7 +271,8 @@ def code_pages(spark: SparkSession, folder: str) -> DataFrame:
         if(p_size = 19, '', concat('<img class="x img-regulation" src="r.png" alt=" ', p_brand, ' ">')), '<p>',
         if(p_size = 20, 'none', concat(lpad(p_partkey % 1000, 3, '0'),
             case p_size % 3 when 0 then '&nbsp;/&nbsp;' when 1 then ' / ' else '/ ' end, '100')), '</p>')"""
-    return table(spark, folder, "part").selectExpr("cast(p_partkey as string) as card_id", f"{html} as html")
+    keys = [F.expr("cast(p_partkey as string) as card_id")]
+    return select_once(page_source(spark, folder, "part", "p_partkey"), keys, F.expr(html).alias("html"))
 
 
 # ---- documents -------------------------------------------------------------------------------------------------------
@@ -277,7 +284,7 @@ def event_documents(spark: SparkSession, folder: str) -> DataFrame:
         'player_name', concat('p"', i, '\\n'), 'player_id', if(i = 2, '', cast(o_custkey % 50 + i as string)),
         'player_area', o_orderpriority, 'deck_url', '', 'deck_id', concat('D', o_orderkey))"""
     results_sql = f"if(o_custkey % 6 = 0, array(), transform(sequence(1, cast(o_custkey % 6 as int)), i -> {result}))"
-    return table(spark, folder, "orders").selectExpr(
+    return page_source(spark, folder, "orders", "o_orderkey").selectExpr(
         "concat('u/', o_orderkey) as event_url", "cast(o_orderkey as string) as event_id", "o_orderpriority as event_title",
         "date_format(o_orderdate, 'yyyy-MM-dd') as event_date", "concat('Host ', o_custkey % 20) as event_host",
         "'' as event_address", "o_orderstatus as event_location",

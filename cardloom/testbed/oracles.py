@@ -164,11 +164,9 @@ EVENT_DOCUMENTS = """document_results AS (
            o_orderpriority AS player_area, '' AS deck_url, 'D' || o_orderkey AS deck_id, 'u/' || o_orderkey AS event_url
     FROM orders, range(1, 6) AS r(i) WHERE i <= o_custkey % 6)"""
 
-TAG_TEXT = (
-    r"replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, "
-    r"'\s*(?:<!--(?s:.*?)-->|<script(?s:.*?)</script>|<style(?s:.*?)</style>|<[^>]+>)\s*', '', 'g'), "
-    r"'^\s+|\s+$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
-).replace('""', '"')
+TAG_TEXT = r"""replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0},
+    '\s*(?:<!--(?s:.*?)-->|<script(?s:.*?)</script>|<style(?s:.*?)</style>|<[^>]+>)\s*', '', 'g'),
+    '^\s+|\s+$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"""
 
 ORACLES: dict[str, str] = {
     "event_totals": f"""WITH {COUNTS} SELECT count(*) AS total_events, CAST(sum(participants) AS BIGINT) AS total_participants,

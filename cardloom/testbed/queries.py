@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import dates, markup, urls
 from cardloom.functions.cards import card_code_of, card_name_of
+from cardloom.functions.once import explode_once
 from cardloom.operators import audit, codes, decks, events, paging, products, summaries
 from cardloom.plans import summary
 from cardloom.plans.catalog import product_catalog
@@ -163,7 +164,7 @@ def norm_dates(spark, folder):
 
 @query
 def url_code(spark, folder):
-    return inputs.table(spark, folder, "pages").select("page_id", urls.query_value(F.col("url"), "page").alias("code"))
+    return inputs.page_source(spark, folder, "pages", "page_id").select("page_id", urls.query_value(F.col("url"), "page").alias("code"))
 
 
 @query
@@ -320,13 +321,13 @@ def missing_decks(spark, folder):
 
 @query
 def page_text(spark, folder):
-    return inputs.table(spark, folder, "pages").select("page_id", markup.stripped_text(F.col("html")).alias("text"))
+    return inputs.page_source(spark, folder, "pages", "page_id").select("page_id", markup.stripped_text(F.col("html")).alias("text"))
 
 
 @query
 def page_header(spark, folder):
     html = F.col("html")
-    return inputs.table(spark, folder, "pages").select(
+    return inputs.page_source(spark, folder, "pages", "page_id").select(
         "page_id",
         markup.stripped_text(markup.inner(html, "title")).alias("title"),
         markup.stripped_text(markup.inner(html, "h1")).alias("h1"),
@@ -337,7 +338,7 @@ def page_header(spark, folder):
 @query
 def page_links(spark, folder):
     links = F.transform(markup.tags_of(F.col("html"), "a"), lambda tag: markup.attribute(tag, "href"))
-    return inputs.table(spark, folder, "pages").select("page_id", F.posexplode(links).alias("pos", "href"))
+    return explode_once(inputs.page_source(spark, folder, "pages", "page_id"), ["page_id"], links, "pos", "href")
 
 
 @query
@@ -379,7 +380,7 @@ def flat_events(spark, folder):
 def event_scan_roundtrip(spark, folder):
     path = fresh_path(spark, "events")
     sinks.write_documents(inputs.event_documents(spark, folder), path, "event_year")
-    read, _ = sources.read_document_lines(spark, path, f"{EVENT_DDL}, event_year string")
+    read, _ = sources.read_document_lines(spark, path, EVENT_DDL, "event_year")
     return events.results_of(read)
 
 
@@ -389,7 +390,7 @@ def deck_scan_roundtrip(spark, folder):
     documents = decks.parse_deck_pages(inputs.deck_pages(spark, folder))
     prefix = F.left(F.regexp_extract("deck_id", r"(\d+)", 1), F.lit(1))
     sinks.write_documents(documents.withColumn("shard", prefix), path, "shard", "deck_id")
-    read, _ = sources.read_document_lines(spark, path, f"{DECK_DDL}, shard string")
+    read, _ = sources.read_document_lines(spark, path, DECK_DDL, "shard")
     return decks.cards_of(read)
 
 
@@ -408,7 +409,7 @@ def _half_broken_lines(spark, folder) -> str:
 def deck_scan_tolerant(spark, folder):
     good, bad = sources.read_document_lines(spark, _half_broken_lines(spark, folder), DECK_DDL)
     return good.select("deck_id", F.lit("read").alias("state")).unionByName(
-        bad.select(F.regexp_extract("line", '"deck_id":"([^"]*)"', 1).alias("deck_id"), F.lit("rejected").alias("state"))
+        bad.select(F.regexp_extract("text", '"deck_id":"([^"]*)"', 1).alias("deck_id"), F.lit("rejected").alias("state"))
     )
 
 
