@@ -230,7 +230,10 @@ def union_products(*sources: DataFrame) -> DataFrame:
         within = F.col("site_no") if "site_no" in source.columns else F.lit(0)
         numbered.append(source.withColumn("source_no", F.lit(number)).withColumn("site_no", within))
     union = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), numbered)
-    return union.select(*ORDER_COLUMNS, *[or_empty(F.col(name)).alias(name) for name in PRODUCT_COLUMNS])
+    filled = [
+        (or_empty(F.col(name)) if name in union.columns else F.lit("")).alias(name) for name in PRODUCT_COLUMNS
+    ]
+    return union.select(*ORDER_COLUMNS, *filled)
 
 
 def number_sites(items: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES) -> DataFrame:
