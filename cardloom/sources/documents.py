@@ -41,7 +41,8 @@ def read_deck_documents(spark: SparkSession, folder: str) -> DataFrame:
 def read_deck_documents_tolerant(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Readable deck documents as in :func:`read_deck_documents`, and the rejected files: ``deck_file, text``.
 
-    An unreadable or empty file is rejected and the read goes on.
+    An unreadable file is rejected and the read goes on. An empty file holds no deck either, but Spark passes over it
+    before anything is read, so it is not among the rejected ones.
     """
     try:
         files = spark.read.text(f"{folder}/{_DECK_FILES}", wholetext=True)
