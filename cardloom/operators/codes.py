@@ -9,6 +9,7 @@ from cardloom.constants import CARD_NUMBER_PATTERN
 from cardloom.functions import markup
 from cardloom.functions.once import explode_once, select_once
 from cardloom.functions.text import NO_BREAK_SPACE, is_blank, strip
+from cardloom.operators.joins import hot_key_join
 from cardloom.operators.paging import number_rows
 
 
@@ -102,7 +103,7 @@ def backfill_codes(cards: DataFrame, codes: DataFrame) -> DataFrame:
     card that is missing everywhere makes a hot key, which Spark splits as ``codes`` has one row for it.
     """
     blank = cards_without_code(cards)
-    filled = blank.join(codes.select("card_id", F.col("card_code").alias("new_code")), "card_id", "left")
+    filled = hot_key_join(blank, codes.select("card_id", F.col("card_code").alias("new_code")), "card_id", "left")
     other = cards.where(~is_blank(F.col("card_code"))).withColumn("filled", F.lit(False))
     return (
         filled.withColumn("filled", F.coalesce(F.col("new_code"), F.lit("")) != "")
@@ -114,9 +115,8 @@ def backfill_codes(cards: DataFrame, codes: DataFrame) -> DataFrame:
 
 def backfill_report(cards: DataFrame, codes: DataFrame, file: str = "deck_file") -> DataFrame:
     """How many card ids are filled and in how many deck files: ``cards_updated, files_updated``; nothing is written."""
-    resolved = cards_without_code(cards).select("card_id", file).join(
-        codes.where("card_code <> ''").select("card_id"), "card_id", "left_semi"
-    )
+    blank = cards_without_code(cards).select("card_id", file)
+    resolved = hot_key_join(blank, codes.where("card_code <> ''").select("card_id"), "card_id", "left_semi")
     return resolved.agg(
         F.count_distinct("card_id").alias("cards_updated"), F.count_distinct(file).alias("files_updated")
     )
@@ -133,7 +133,7 @@ def backfill_documents(decks: DataFrame, codes: DataFrame, key: str = "deck_file
     )
     wanted = explode_once(decks, [key], blanks, "pos", "card_id").select(key, "card_id")
     found = (
-        wanted.join(codes.where("card_code <> ''").select("card_id", "card_code"), "card_id")
+        hot_key_join(wanted, codes.where("card_code <> ''").select("card_id", "card_code"), "card_id")
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_set(F.struct("card_id", "card_code"))).alias("found"))
     )
@@ -145,4 +145,4 @@ def backfill_documents(decks: DataFrame, codes: DataFrame, key: str = "deck_file
             .otherwise(card["card_code"]),
         ),
     )
-    return decks.join(found, key).withColumn("cards", refilled).select(*decks.columns)
+    return hot_key_join(decks, found, key).withColumn("cards", refilled).select(*decks.columns)

@@ -21,6 +21,7 @@ from cardloom.functions.cards import card_code_of, card_name_of, is_key_card, nu
 from cardloom.functions.once import explode_once, let
 from cardloom.functions.text import or_empty
 from cardloom.functions.urls import deck_url
+from cardloom.operators.joins import hot_key_join
 
 
 def parse_deck_pages(pages: DataFrame) -> DataFrame:
@@ -44,6 +45,13 @@ def parse_deck_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def merge_deck_copies(decks: DataFrame) -> DataFrame:
+    """One document per deck id where a page was landed more than once; copies are merged map-side."""
+    fields = [name for name in decks.columns if name != "deck_id"]
+    merged = decks.groupBy("deck_id").agg(F.max(F.struct(*fields)).alias("document"))
+    return merged.select("deck_id", "document.*")
+
+
 def _page_cards(page: Column) -> Column:
     # Reversed lists: the first hit is the last entry. Position 0 is no hit.
     entries = lambda pattern, group: F.reverse(
@@ -188,7 +196,7 @@ def flat_deck_lists(events: DataFrame, decks: DataFrame) -> DataFrame:
     codes = decks.select("deck_id", "deck_code").where("deck_id <> ''").groupBy("deck_id").agg(
         F.max("deck_code").alias("deck_code")
     )
-    return results.join(codes, "deck_id", "left").select(
+    return hot_key_join(results, codes, "deck_id", "left").select(
         "event_url", "player_name", F.col("rank").alias("player_rank"), F.lit("").alias("deck_type"), "deck_url",
         or_empty(F.col("deck_code")).alias("deck_code"),
     )

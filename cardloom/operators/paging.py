@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cardloom.functions import markup
 from cardloom.functions.once import explode_once, select_once
 from cardloom.functions.urls import event_id_of
+from cardloom.operators.joins import hot_key_join
 
 
 def reading_stops(
@@ -48,11 +49,12 @@ def read_until(
     ``pages`` should then hold only what is needed.
     """
     if known_keys is not None:
-        pages = pages.where(F.col(key).isin(list(known_keys)))
-        stops = F.broadcast(stops)
+        joined = pages.where(F.col(key).isin(list(known_keys))).join(F.broadcast(stops), key, "left")
+    else:
+        joined = hot_key_join(pages, stops, key, "left")
     before_empty = F.col("first_empty").isNull() | (F.col("page_no") < F.col("first_empty"))
     up_to_last = F.col("first_last").isNull() | (F.col("page_no") <= F.col("first_last"))
-    return pages.join(stops, key, "left").where(before_empty & up_to_last).select(*pages.columns)
+    return joined.where(before_empty & up_to_last).select(*pages.columns)
 
 
 def event_links(listing: DataFrame) -> DataFrame:

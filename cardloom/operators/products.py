@@ -25,6 +25,7 @@ from cardloom.functions.dates import japanese_date, month_first_date, release_so
 from cardloom.functions.once import explode_once, select_once
 from cardloom.functions.text import clean_lines, or_empty, scalar_text
 from cardloom.functions.urls import absolute_url, image_code, query_value
+from cardloom.operators.joins import hot_key_join
 from cardloom.operators.paging import read_until, reading_stops
 from cardloom.schemas import API_RESPONSE_DDL
 
@@ -209,7 +210,7 @@ def with_prices(items: DataFrame, prices: DataFrame) -> DataFrame:
     hot partitions otherwise.
     """
     keyed = items.drop("price").withColumn("code_key", F.lower("code"))
-    joined = keyed.join(prices, ["price_language", "code_key"], "left")
+    joined = hot_key_join(keyed, prices, ["price_language", "code_key"], "left")
     return joined.withColumn("price", or_empty(F.col("price"))).drop("code_key")
 
 

@@ -16,6 +16,7 @@ from cardloom.operators.codes import (
     upsert_cache,
 )
 from cardloom.operators.decks import cards_of
+from cardloom.operators.joins import hot_key_join
 from cardloom.sinks.documents import write_code_cache
 from cardloom.sources.documents import read_code_cache
 
@@ -40,7 +41,7 @@ def plan_backfill(decks: DataFrame, cache: DataFrame, code_pages: DataFrame) ->
     cards = cards_of(decks, "deck_id", "deck_file")
     missing = missing_codes(cards)
     to_fetch = codes_to_fetch(missing, cache)
-    codes = fetched_codes(code_pages.join(to_fetch, "card_id", "left_semi"))
+    codes = fetched_codes(hot_key_join(code_pages, to_fetch, "card_id", "left_semi"))
     new_cache = upsert_cache(cache, codes)
     return BackfillPlan(
         missing=missing,

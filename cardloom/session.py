@@ -16,6 +16,8 @@ CLUSTER_SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # Building a column would otherwise look up the calling line each time, which takes longer than planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

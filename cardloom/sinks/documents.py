@@ -51,16 +51,16 @@ def write_products(products: DataFrame, path: str, undated: str = "first") -> bo
 
 
 def write_documents(
-    documents: DataFrame, path: str, partition: str = "event_date", spread: str = "event_id", mode: str = "overwrite"
+    documents: DataFrame, path: str, partition: str = "event_date", mode: str = "overwrite"
 ) -> None:
     """Event or deck documents as JSON lines, one folder per ``partition`` value.
 
-    A folder per event or a file per deck would be millions of tiny files. Range partitioning by date and ``spread``
-    gives each task few dates and splits a date with very many documents over several tasks. With
-    ``mode='overwrite'`` only the partitions that occur in ``documents`` are replaced.
+    A folder per event or a file per deck would be millions of tiny files. Rebalancing brings a date together, so that
+    it becomes few files, and splits a date with very many documents over several tasks. With ``mode='overwrite'``
+    only the partitions that occur in ``documents`` are replaced.
     """
     (
-        documents.repartitionByRange(partition, spread)
+        documents.hint("rebalance", partition)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)

@@ -21,8 +21,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def page_source(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table whose rows are, or become, pages to parse."""
+def spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table with much work per row behind it, spread over the cores when it is one small file."""
     return spread(table(spark, folder, name), key)
 
 
@@ -32,7 +32,7 @@ def page_source(spark: SparkSession, folder: str, name: str, key: str) -> DataFr
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """One result per lineitem; suppliers in debt have no player id, seventh places no deck."""
     joined = (
-        table(spark, folder, "lineitem")
+        spread_table(spark, folder, "lineitem", "l_orderkey")
         .join(table(spark, folder, "orders"), F.expr("l_orderkey = o_orderkey"))
         .join(table(spark, folder, "supplier"), F.expr("l_suppkey = s_suppkey"))
         .join(table(spark, folder, "nation"), F.expr("s_nationkey = n_nationkey"))
@@ -52,7 +52,7 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
 
 def result_keys(spark: SparkSession, folder: str) -> DataFrame:
     """The part of :func:`results` that needs no join: event, rank, deck."""
-    return table(spark, folder, "lineitem").selectExpr(
+    return spread_table(spark, folder, "lineitem", "l_orderkey").selectExpr(
         "cast(l_orderkey as string) as event_id",
         "concat(l_linenumber, '位') as rank",
         "if(l_linenumber = 7, '', concat(l_orderkey, '-', l_partkey)) as deck_id",
@@ -71,7 +71,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 def events_with_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Events with their number of results; orders without lineitems have none."""
-    counts = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("results"))
+    counts = spread_table(spark, folder, "lineitem", "l_orderkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("results"))
     orders = table(spark, folder, "orders")
     return orders.join(counts, F.expr("o_orderkey = l_orderkey"), "left").selectExpr(
         "cast(o_orderkey as string) as event_id", "o_orderkey as position", "o_orderstatus as state",
@@ -81,7 +81,7 @@ def events_with_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def cards(spark: SparkSession, folder: str) -> DataFrame:
     """One card entry per lineitem; small parts have a blank code, the smallest one of only spaces."""
-    joined = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.expr("l_partkey = p_partkey"))
+    joined = spread_table(spark, folder, "lineitem", "l_orderkey").join(table(spark, folder, "part"), F.expr("l_partkey = p_partkey"))
     return joined.selectExpr(
         "cast(l_orderkey as string) as deck_id",
         "concat('deck_', l_orderkey, '.json') as deck_file",
@@ -121,7 +121,7 @@ def stored_decks(spark: SparkSession, folder: str) -> DataFrame:
 
 def api_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One response per part with up to four products; the last part lies beyond ``maxPage``."""
-    part = page_source(spark, folder, "part", "p_partkey")
+    part = spread_table(spark, folder, "part", "p_partkey")
     last = table(spark, folder, "part").agg(F.max("p_partkey")).scalar()
     day = "date_add(date'2020-01-01', cast(p_partkey % 3000 as int))"
     product = f"""concat(
@@ -155,7 +155,7 @@ def api_pages(spark: SparkSession, folder: str) -> DataFrame:
 def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One catalogue page per part on one of two sites. The last tenth of the pages of the first site lies behind a
     page without a next link, the last twentieth of the second site behind pages without a list."""
-    part = page_source(spark, folder, "part", "p_partkey")
+    part = spread_table(spark, folder, "part", "p_partkey")
     last = table(spark, folder, "part").agg(F.max("p_partkey")).scalar()
     day = "date_add(date'2020-01-01', cast(p_partkey % 3000 as int))"
     item = f"""concat('<li class="expansion new">',
@@ -193,7 +193,7 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
              else '' end,
         '</section><p>建議零售價：2元</p>')"""
     keys = [F.expr("if(p_size % 2 = 0, 'hk-en', 'hk') as lang"), F.expr("concat('p', p_partkey) as code")]
-    return select_once(page_source(spark, folder, "part", "p_partkey"), keys, F.expr(html).alias("html"))
+    return select_once(spread_table(spark, folder, "part", "p_partkey"), keys, F.expr(html).alias("html"))
 
 
 # ---- listing, event, deck and card pages -----------------------------------------------------------------------------
@@ -201,7 +201,7 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One listing page per event row: a link of its own and one to a busy id. The last tenth has only the latter."""
-    rows = page_source(spark, folder, "events", "event_id")
+    rows = spread_table(spark, folder, "events", "event_id")
     last = table(spark, folder, "events").agg(F.max("event_id")).scalar()
     html = """concat('<ul>',
         if(event_id < last_event - last_event div 10,
@@ -215,7 +215,7 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Result pages of one event per order: one to three pages, and behind the last one a page nobody reaches."""
-    orders = page_source(spark, folder, "orders", "o_orderkey")
+    orders = spread_table(spark, folder, "orders", "o_orderkey")
     row = """concat('<tr><td>', (page_no - 1) * 3 + j, '位</td><td> ', o_custkey % 100, 'pt</td><td><b>nama', j,
         '</b>プレイヤーID：', o_custkey * 10 + j, '<br>エリア：', o_orderpriority, ' </td><td>x</td><td>',
         if(j = 3, '', concat('<a href="https://deck.example/deck/confirm.html/deckID/D', o_orderkey, '-', page_no, '-', j,
@@ -245,7 +245,7 @@ def deck_pages(spark: SparkSession, folder: str) -> DataFrame:
     Card 1 is an energy card, card 2 has no code, card 4 no name; the first name comes twice, the later one counts.
     Orders in progress have a broken quantity at card 3.
     """
-    orders = page_source(spark, folder, "orders", "o_orderkey")
+    orders = spread_table(spark, folder, "orders", "o_orderkey")
     card_id = "(40000 + (o_custkey * 7 + i * 13) % 900)"
     entry = f"""concat({card_id}, '_', if(i = 3 and o_orderstatus = 'P', 'x', cast(1 + (o_orderkey + i) % 4 as string)), '_1')"""
     name = f"""case i when 1 then '基本エネルギー' when 2 then concat('plain ', {card_id} % 64)
@@ -272,7 +272,7 @@ def code_pages(spark: SparkSession, folder: str) -> DataFrame:
         if(p_size = 20, 'none', concat(lpad(p_partkey % 1000, 3, '0'),
             case p_size % 3 when 0 then '&nbsp;/&nbsp;' when 1 then ' / ' else '/ ' end, '100')), '</p>')"""
     keys = [F.expr("cast(p_partkey as string) as card_id")]
-    return select_once(page_source(spark, folder, "part", "p_partkey"), keys, F.expr(html).alias("html"))
+    return select_once(spread_table(spark, folder, "part", "p_partkey"), keys, F.expr(html).alias("html"))
 
 
 # ---- documents -------------------------------------------------------------------------------------------------------
@@ -284,7 +284,7 @@ def event_documents(spark: SparkSession, folder: str) -> DataFrame:
         'player_name', concat('p"', i, '\\n'), 'player_id', if(i = 2, '', cast(o_custkey % 50 + i as string)),
         'player_area', o_orderpriority, 'deck_url', '', 'deck_id', concat('D', o_orderkey))"""
     results_sql = f"if(o_custkey % 6 = 0, array(), transform(sequence(1, cast(o_custkey % 6 as int)), i -> {result}))"
-    return page_source(spark, folder, "orders", "o_orderkey").selectExpr(
+    return spread_table(spark, folder, "orders", "o_orderkey").selectExpr(
         "concat('u/', o_orderkey) as event_url", "cast(o_orderkey as string) as event_id", "o_orderpriority as event_title",
         "date_format(o_orderdate, 'yyyy-MM-dd') as event_date", "concat('Host ', o_custkey % 20) as event_host",
         "'' as event_address", "o_orderstatus as event_location",

@@ -164,7 +164,7 @@ def norm_dates(spark, folder):
 
 @query
 def url_code(spark, folder):
-    return inputs.page_source(spark, folder, "pages", "page_id").select("page_id", urls.query_value(F.col("url"), "page").alias("code"))
+    return inputs.spread_table(spark, folder, "pages", "page_id").select("page_id", urls.query_value(F.col("url"), "page").alias("code"))
 
 
 @query
@@ -321,13 +321,13 @@ def missing_decks(spark, folder):
 
 @query
 def page_text(spark, folder):
-    return inputs.page_source(spark, folder, "pages", "page_id").select("page_id", markup.stripped_text(F.col("html")).alias("text"))
+    return inputs.spread_table(spark, folder, "pages", "page_id").select("page_id", markup.stripped_text(F.col("html")).alias("text"))
 
 
 @query
 def page_header(spark, folder):
     html = F.col("html")
-    return inputs.page_source(spark, folder, "pages", "page_id").select(
+    return inputs.spread_table(spark, folder, "pages", "page_id").select(
         "page_id",
         markup.stripped_text(markup.inner(html, "title")).alias("title"),
         markup.stripped_text(markup.inner(html, "h1")).alias("h1"),
@@ -338,7 +338,7 @@ def page_header(spark, folder):
 @query
 def page_links(spark, folder):
     links = F.transform(markup.tags_of(F.col("html"), "a"), lambda tag: markup.attribute(tag, "href"))
-    return explode_once(inputs.page_source(spark, folder, "pages", "page_id"), ["page_id"], links, "pos", "href")
+    return explode_once(inputs.spread_table(spark, folder, "pages", "page_id"), ["page_id"], links, "pos", "href")
 
 
 @query
@@ -389,7 +389,7 @@ def deck_scan_roundtrip(spark, folder):
     path = fresh_path(spark, "decks")
     documents = decks.parse_deck_pages(inputs.deck_pages(spark, folder))
     prefix = F.left(F.regexp_extract("deck_id", r"(\d+)", 1), F.lit(1))
-    sinks.write_documents(documents.withColumn("shard", prefix), path, "shard", "deck_id")
+    sinks.write_documents(documents.withColumn("shard", prefix), path, "shard")
     read, _ = sources.read_document_lines(spark, path, DECK_DDL, "shard")
     return decks.cards_of(read)
 
