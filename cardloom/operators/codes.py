@@ -146,3 +146,9 @@ def backfill_documents(decks: DataFrame, codes: DataFrame, key: str = "deck_file
         ),
     )
     return hot_key_join(decks, found, key).withColumn("cards", refilled).select(*decks.columns)
+
+
+def with_changes(decks: DataFrame, changed: DataFrame, key: str = "deck_file") -> DataFrame:
+    """All documents, the changed ones in their new form. Write the outcome to a new path, not over what it reads."""
+    same = hot_key_join(decks, changed.select(key).distinct(), key, "left_anti").select(*changed.columns)
+    return same.unionByName(changed)

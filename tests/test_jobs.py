@@ -182,7 +182,8 @@ def test_backfill_run_again_fills_nothing(spark, tmp_path):
     assert rows(report) == [(3, 2)]
     saved = read_code_cache(spark, f"{tmp_path}/cache", "lines")
     rewritten = spark.read.schema(f"{DECK_DDL}, deck_file string").json(f"{tmp_path}/decks")
-    merged = documents.join(rewritten, "deck_file", "left_anti").select(*rewritten.columns).unionByName(rewritten)
+    merged = codes.with_changes(documents, rewritten)
+    assert merged.count() == documents.count()
     again = backfill.plan_backfill(merged, saved, pages)
     assert rows(again.report) == [(0, 0)] and again.changed.count() == 0
 
