@@ -34,6 +34,17 @@ PRODUCT_COLUMNS = (
     "link_pokemon_center",
 )
 
+# --- fixed values: date texts, names with codes, parts of links --------------------------------------------------------
+JAPANESE_DATE = r"(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日"
+EVENT_DATE = r"(\d{4})年(\d{1,2})月(\d{1,2})日"
+MONTH_FIRST_DATE = r"(\d{1,2})-(\d{1,2})-(\d{4})"
+NAME_AND_CODE = r"^(.+)\(([^)]+)\)$"
+EVENT_LINK = "/event/detail/"
+DECK_LINK = "deckID"
+EXPANSION_PARAMETER = "expansionCodes"
+IMAGE_FOLDER = "/images/"
+IMAGE_ENDINGS = (".jpg", ".png")
+
 # --- fixed values: text patterns of the pages ------------------------------------------------------------------------
 PRICE_LABEL = "建議零售價[：:]"
 PRICE_UNIT = "元"

@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cardloom.constants import ENERGY_MARKERS, OTHER_RANK_SUFFIX, RANK_SUFFIXES, RANK_UNIT
+from cardloom.constants import ENERGY_MARKERS, NAME_AND_CODE, OTHER_RANK_SUFFIX, RANK_SUFFIXES, RANK_UNIT
 from cardloom.functions.text import strip
 
-_NAME_AND_CODE = r"(?d)^(.+)\(([^)]+)\)$"
+_NAME_AND_CODE = f"(?d){NAME_AND_CODE}"  # only a line feed ends a line
 
 
 def card_name_of(full_name: Column) -> Column:

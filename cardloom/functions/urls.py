@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cardloom.constants import JAPAN_BASE_URL, PLAYERS_BASE_URL
+from cardloom.constants import (
+    DECK_LINK,
+    EVENT_LINK,
+    IMAGE_ENDINGS,
+    IMAGE_FOLDER,
+    JAPAN_BASE_URL,
+    PLAYERS_BASE_URL,
+)
 
 
 def absolute_url(path: Column, base: str) -> Column:
@@ -24,26 +33,26 @@ def query_value(url: Column, name: str) -> Column:
 
 def image_code(path: Column) -> Column:
     """Text after the last ``/images/`` without its ``.jpg`` and ``.png``; ``''`` if the folder is not there."""
-    name = F.substring_index(path, "/images/", -1)
-    bare = F.replace(F.replace(name, F.lit(".jpg"), F.lit("")), F.lit(".png"), F.lit(""))
-    return F.when(F.contains(path, F.lit("/images/")), bare).otherwise(F.lit(""))
+    name = F.substring_index(path, IMAGE_FOLDER, -1)
+    bare = reduce(lambda text, ending: F.replace(text, F.lit(ending), F.lit("")), IMAGE_ENDINGS, name)
+    return F.when(F.contains(path, F.lit(IMAGE_FOLDER)), bare).otherwise(F.lit(""))
 
 
 def event_url(event_id: Column) -> Column:
-    return F.concat(F.lit(f"{PLAYERS_BASE_URL}/event/detail/"), event_id, F.lit("/result"))
+    return F.concat(F.lit(f"{PLAYERS_BASE_URL}{EVENT_LINK}"), event_id, F.lit("/result"))
 
 
 def event_id_of(url: Column) -> Column:
     """Digits after ``/event/detail/``, ``''`` if there are none."""
-    return F.regexp_extract(url, r"(?U)/event/detail/(\d+)", 1)
+    return F.regexp_extract(url, rf"(?U){EVENT_LINK}(\d+)", 1)
 
 
 def deck_url(deck_id: Column) -> Column:
-    return F.concat(F.lit(f"{JAPAN_BASE_URL}/deck/confirm.html/deckID/"), deck_id)
+    return F.concat(F.lit(f"{JAPAN_BASE_URL}/deck/confirm.html/{DECK_LINK}/"), deck_id)
 
 
 def deck_id_of(url: Column) -> Column:
-    return F.regexp_extract(url, "deckID/([^/]+)", 1)
+    return F.regexp_extract(url, f"{DECK_LINK}/([^/]+)", 1)
 
 
 def catalog_page_url(list_url: Column, page_no: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.constants import EVENT_LINK
 from cardloom.functions import markup
 from cardloom.functions.once import explode_once, select_once
 from cardloom.functions.urls import event_id_of
@@ -60,7 +61,7 @@ def read_until(
 def event_links(listing: DataFrame) -> DataFrame:
     """Event ids linked from listing pages: ``page_no, pos, event_id``, one row per link."""
     hrefs = F.transform(
-        markup.tags_of(F.col("html"), "a", markup.value_contains("href", "/event/detail/")),
+        markup.tags_of(F.col("html"), "a", markup.value_contains("href", EVENT_LINK)),
         lambda tag: event_id_of(markup.attribute(tag, "href")),
     )
     return explode_once(listing, ["page_no"], hrefs, "pos", "event_id").where("event_id <> ''")

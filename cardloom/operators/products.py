@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.constants import (
+    EXPANSION_PARAMETER,
     HONG_KONG_BASE_URL,
     HONG_KONG_EN,
     HONG_KONG_ZH,
@@ -141,7 +142,7 @@ def catalog_items(pages: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES) ->
         "product_name",
         F.lit("").alias("price"),
         month_first_date(F.col("date_text")).alias("release_date"),
-        query_value(F.col("link"), "expansionCodes").alias("code"),
+        query_value(F.col("link"), EXPANSION_PARAMETER).alias("code"),
         "link",
         "image_url",
         F.lit("").alias("include"),

@@ -6,6 +6,8 @@ builds none: it repeats only the rule the page was made by.
 
 from __future__ import annotations
 
+from cardloom.constants import HONG_KONG_BASE_URL, JAPAN_BASE_URL, PLAYERS_BASE_URL
+
 RESULTS = """results AS (
     SELECT CAST(l_orderkey AS VARCHAR) AS event_id, strftime(o_orderdate, '%Y-%m-%d') AS event_date,
            l_linenumber AS pos, l_linenumber || '位' AS rank,
@@ -84,15 +86,15 @@ API = f"""api AS (
            CASE WHEN i = 0 AND p_size = 20 THEN '' ELSE floor(p_retailprice)::INTEGER || '円' END AS price,
            CASE i WHEN 2 THEN '' WHEN 3 THEN '未定' ELSE strftime({DAY}, '%Y-%m-%d') END AS release_date,
            CASE WHEN i < 2 THEN 'p' || p_partkey ELSE '' END AS code,
-           CASE WHEN i % 2 = 0 THEN 'https://www.pokemon-card.com/ex/' ELSE 'https://shop.example/' END || p_partkey AS link,
-           CASE i WHEN 0 THEN 'https://www.pokemon-card.com/products/images/p' || p_partkey || '.jpg'
+           CASE WHEN i % 2 = 0 THEN '{JAPAN_BASE_URL}/ex/' ELSE 'https://shop.example/' END || p_partkey AS link,
+           CASE i WHEN 0 THEN '{JAPAN_BASE_URL}/products/images/p' || p_partkey || '.jpg'
                   WHEN 1 THEN 'https://img.example/x/images/p' || p_partkey || '.png'
-                  WHEN 2 THEN 'https://www.pokemon-card.com/other/p.jpg' ELSE '' END AS image_url,
+                  WHEN 2 THEN '{JAPAN_BASE_URL}/other/p.jpg' ELSE '' END AS image_url,
            'line ' || i || '  box' AS include, '' AS card_only,
            CASE WHEN i = 2 THEN '' ELSE p_type END AS product_type,
            CASE i WHEN 0 THEN '' WHEN 1 THEN 'None' WHEN 2 THEN '0' ELSE '1' END AS beginner_flag,
            p_brand AS stores_available,
-           CASE WHEN i = 0 THEN 'https://www.pokemon-card.com/list/' || p_partkey ELSE '' END AS link_card_list,
+           CASE WHEN i = 0 THEN '{JAPAN_BASE_URL}/list/' || p_partkey ELSE '' END AS link_card_list,
            CASE WHEN i = 1 THEN 'https://pc.example/' || p_partkey ELSE '' END AS link_pokemon_center
     FROM part, range(4) AS r(i)
     WHERE i <= p_size % 4 AND p_size <> 13 AND NOT (i = 1 AND p_size % 7 = 0)
@@ -112,10 +114,10 @@ ITEMS = f"""{SITES}, items AS (
                   ELSE p_type END AS product_name,
            CASE WHEN i < 2 THEN strftime({DAY}, '%Y-%m-%d') ELSE '' END AS release_date,
            CASE i WHEN 0 THEN 'P' || p_partkey WHEN 1 THEN 'Q' || p_partkey ELSE '' END AS code,
-           CASE i WHEN 0 THEN 'https://asia.pokemon-card.com/hk/card-search/list/?expansionCodes=P' || p_partkey || '&x=1'
+           CASE i WHEN 0 THEN '{HONG_KONG_BASE_URL}/hk/card-search/list/?expansionCodes=P' || p_partkey || '&x=1'
                   WHEN 1 THEN 'https://x.example/list?expansionCodes=Q' || p_partkey
-                  ELSE 'https://asia.pokemon-card.com/hk/none' END AS link,
-           CASE i WHEN 0 THEN 'https://asia.pokemon-card.com/img/' || p_partkey || '.png'
+                  ELSE '{HONG_KONG_BASE_URL}/hk/none' END AS link,
+           CASE i WHEN 0 THEN '{HONG_KONG_BASE_URL}/img/' || p_partkey || '.png'
                   WHEN 1 THEN 'https://img.example/' || p_partkey || '.png' ELSE '' END AS image_url,
            'Yes' AS card_only,
            CASE site WHEN 'en' THEN 'hk-en' ELSE 'hk' END AS price_language,
@@ -153,7 +155,7 @@ DECK_CARDS = f"""page_cards AS (
            CASE i WHEN 1 THEN '基本エネルギー' WHEN 2 THEN 'plain ' || {CARD_ID} % 64 ELSE 'card ' || {CARD_ID} % 64 END AS card_name,
            CASE WHEN i IN (1, 2) THEN '' ELSE 'SET ' || lpad(CAST({CARD_ID} % 1000 AS VARCHAR), 3, '0') || '/100' END AS card_code,
            CAST(1 + (o_orderkey + i) % 4 AS INTEGER) AS quantity,
-           CASE WHEN i % 2 = 0 THEN 'https://www.pokemon-card.com/img/' || {CARD_ID} || '.jpg' ELSE '' END AS image_url
+           CASE WHEN i % 2 = 0 THEN '{JAPAN_BASE_URL}/img/' || {CARD_ID} || '.jpg' ELSE '' END AS image_url
     FROM orders, range(6) AS r(i)
     WHERE i <= o_custkey % 6 AND i <> 4 AND NOT (o_orderstatus = 'P' AND i >= 3))"""
 
@@ -217,11 +219,11 @@ ORACLES: dict[str, str] = {
     "url_code": "SELECT page_id, regexp_extract(url, 'page=([^&]*)', 1) AS code FROM pages",
     "split_name_code": """SELECT p_partkey, p_name || CASE p_size % 4 WHEN 2 THEN ' (x)' WHEN 3 THEN '()' ELSE '' END
         AS card_name, CASE WHEN p_size % 4 IN (1, 2) THEN p_brand ELSE '' END AS card_code FROM part""",
-    "deck_file_names": """SELECT CAST(l_orderkey AS VARCHAR) AS event_id, l_orderkey || '-' || l_partkey AS deck_id,
+    "deck_file_names": f"""SELECT CAST(l_orderkey AS VARCHAR) AS event_id, l_orderkey || '-' || l_partkey AS deck_id,
         'deck_' || l_linenumber || CASE l_linenumber WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END || '_'
         || l_orderkey || '-' || l_partkey || '.json' AS deck_file,
-        'https://players.pokemon-card.com/event/detail/' || l_orderkey || '/result' AS event_url,
-        'https://www.pokemon-card.com/deck/confirm.html/deckID/' || l_orderkey || '-' || l_partkey AS deck_url
+        '{PLAYERS_BASE_URL}/event/detail/' || l_orderkey || '/result' AS event_url,
+        '{JAPAN_BASE_URL}/deck/confirm.html/deckID/' || l_orderkey || '-' || l_partkey AS deck_url
         FROM lineitem WHERE l_linenumber <> 7""",
     "api_products": f"WITH {API} SELECT * FROM api",
     "catalog_pages_until_terminal": f"WITH {SITES} SELECT site, page_no FROM reached",

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cardloom.constants import HONG_KONG_BASE_URL, JAPAN_BASE_URL
 from cardloom.operators import codes, decks, events, paging, products
 
 ITEM = (
@@ -40,11 +41,11 @@ def test_catalog_item_fields(spark):
     found = products.catalog_items(catalog(spark, [("zh", 1, page(ITEM + odd, ""))])).orderBy("pos").collect()
     first = found[0].asDict()
     assert first["product_name"] == "S - 超級進化" and first["release_date"] == "2025-11-14" and first["code"] == "M1"
-    assert first["link"] == "https://asia.pokemon-card.com/hk/card-search/list/?expansionCodes=M1&x=1"
-    assert first["image_url"] == "https://asia.pokemon-card.com/img/m1.png"
+    assert first["link"] == f"{HONG_KONG_BASE_URL}/hk/card-search/list/?expansionCodes=M1&x=1"
+    assert first["image_url"] == f"{HONG_KONG_BASE_URL}/img/m1.png"
     assert first["country"] == "Hong Kong (ZH)" and first["card_only"] == "Yes" and first["price_language"] == "hk"
     assert [r["product_name"] for r in found] == ["S - 超級進化", "only title", "", "only series"]
-    assert [r["link"] for r in found][1:] == ["", "https://asia.pokemon-card.com", ""]
+    assert [r["link"] for r in found][1:] == ["", HONG_KONG_BASE_URL, ""]
     assert found[1]["release_date"] == "2025-01-04" and found[2]["image_url"] == "https://i/x.png"
 
 
@@ -86,8 +87,8 @@ def test_api_product_fields(spark):
     )
     first, second = products.api_products(api(spark, body)).orderBy("pos").collect()
     assert tuple(first)[2:] == (
-        "Japan", "拡張パック M2a", "550円", "2025-11-28", "m2a", "https://www.pokemon-card.com/ex/m2a/",
-        "https://www.pokemon-card.com/products/2025/images/m2a.jpg", "a b", "", "拡張パック", "None", "s", "", "http://pc/",
+        "Japan", "拡張パック M2a", "550円", "2025-11-28", "m2a", f"{JAPAN_BASE_URL}/ex/m2a/",
+        f"{JAPAN_BASE_URL}/products/2025/images/m2a.jpg", "a b", "", "拡張パック", "None", "s", "", "http://pc/",
     )
     assert second["product_name"] == "only" and second["price"] == "" and second["beginner_flag"] == "1"
 
@@ -181,10 +182,10 @@ def test_deck_page(spark):
     assert code == "AAA-BBB" and cards == [("47259", 2), ("47258", 3)]
     assert row["cards"][0].asDict() == {
         "card_id": "47259", "card_name": "マリィex", "card_code": "SVOM 007/019", "quantity": 2,
-        "image_url": "https://www.pokemon-card.com/n.jpg",
+        "image_url": f"{JAPAN_BASE_URL}/n.jpg",
     }
     assert row["cards"][1]["card_code"] == "" and row["cards"][1]["image_url"] == ""
-    assert row["deck_url"] == "https://www.pokemon-card.com/deck/confirm.html/deckID/AAA-BBB"
+    assert row["deck_url"] == f"{JAPAN_BASE_URL}/deck/confirm.html/deckID/AAA-BBB"
 
 
 def test_packed_lists(spark):
