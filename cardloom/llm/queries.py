@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardloom.llm import mixing, quality, sharding, urls
+from cardloom.llm import decontaminate, mixing, quality, sharding, simhash, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -39,3 +39,14 @@ def op8_bounded_ring(spark, folder):
 
 ORACLES["op5_golden_mix"] = mixing.MIX_SQL
 ORACLES["op7_url_vocabulary"] = urls.judge_sql()
+
+
+@_query
+def op3_golay_simhash(spark, folder):
+    return simhash.simhash_components(_read(spark, folder, "documents"))
+
+
+@_query
+def op10_winnowing(spark, folder):
+    found = decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.drop("text_key")
