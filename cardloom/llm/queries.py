@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardloom.llm import decontaminate, mixing, quality, sharding, simhash, urls
+from cardloom.llm import decontaminate, mixing, quality, sharding, simhash, substrings, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -50,3 +50,8 @@ def op3_golay_simhash(spark, folder):
 def op10_winnowing(spark, folder):
     found = decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
     return found.drop("text_key")
+
+
+@_query
+def op4_suffix_levels(spark, folder):
+    return substrings.substring_report(_read(spark, folder, "documents"))

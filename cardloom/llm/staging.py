@@ -19,9 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(table: DataFrame, name: str) -> DataFrame:
     """Write ``table`` to the shared folder and read it from there, which cuts its lineage.
 
-    A stage survives the loss of any executor, and what reads it twice does not compute it twice.
+    A stage survives the loss of any executor, and what reads it twice does not compute it twice. Afterwards the shuffle
+    files it was made from are let go: Spark's cleaner drops them once the driver's garbage is collected, which a mostly
+    idle driver would put off.
     """
     spark = table.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    stage = spark.read.schema(table.schema).parquet(path)
+    stage.stage_path = path
+    return stage
+
+
+def drop_stage(stage: DataFrame) -> None:
+    """Delete a table that ``staged`` wrote; what still reads it fails from here on."""
+    jvm, conf = stage.sparkSession.sparkContext._jvm, stage.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(stage.stage_path)
+    path.getFileSystem(conf).delete(path, True)
