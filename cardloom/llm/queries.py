@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardloom.llm import decontaminate, mixing, quality, sharding, simhash, substrings, urls
+from cardloom.llm import classlm, decontaminate, mixing, quality, sharding, simhash, substrings, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -55,3 +55,8 @@ def op10_winnowing(spark, folder):
 @_query
 def op4_suffix_levels(spark, folder):
     return substrings.substring_report(_read(spark, folder, "documents"))
+
+
+@_query
+def op2_class_ngrams(spark, folder):
+    return classlm.class_scores(_read(spark, folder, "documents"))
