@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardloom.llm import classlm, decontaminate, mixing, quality, sharding, simhash, substrings, urls
+from cardloom.llm import chaining, classlm, decontaminate, mixing, pii, quality, sharding, simhash, substrings, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -60,3 +60,13 @@ def op4_suffix_levels(spark, folder):
 @_query
 def op2_class_ngrams(spark, folder):
     return classlm.class_scores(_read(spark, folder, "documents"))
+
+
+@_query
+def op1_skip_chain_pii(spark, folder):
+    return pii.personal_data(_read(spark, folder, "documents"))
+
+
+@_query
+def op9_chained_passages(spark, folder):
+    return chaining.fuzzy_passages(_read(spark, folder, "documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +38,17 @@ def drop_stage(stage: DataFrame) -> None:
     jvm, conf = stage.sparkSession.sparkContext._jvm, stage.sparkSession.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(stage.stage_path)
     path.getFileSystem(conf).delete(path, True)
+
+
+def in_order(docs: DataFrame, once: bool = False) -> DataFrame:
+    """``doc_id``, ``text``, and the order of documents as ``key`` and ``part``.
+
+    ``part`` is 0 if all ids differ, else the text's hash. A null ``doc_id`` comes first. Rows that are equal in both
+    columns are one document; with ``once`` only one of them stays.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    differ = ids.isEmpty()
+    part = F.lit(0).cast("long") if differ else F.xxhash64("text")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select("doc_id", "text", key.alias("key"), part.alias("part"))
+    return rows.dropDuplicates(["key", "part"]) if once and not differ else rows

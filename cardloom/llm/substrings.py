@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm import words as W
-from cardloom.llm.staging import drop_stage, staged
+from cardloom.llm.staging import drop_stage, in_order, staged
 
 #: Bytes of a duplicate string, and of an anchor's gram.
 LENGTH, GRAM = 100, 24
@@ -158,16 +158,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [table.column(name).take(pa.array(of)) for name in _KEY]
         return pa.RecordBatch.from_arrays([*keys, pa.array(first), pa.array(count)], names=[*_KEY, "first", "count"])
 
-    rest = None
-    for batch in batches:
-        whole = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        grams = whole.column("gram").to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(grams, grams[-1])) if len(grams) else 0
-        rest = whole.slice(cut)
-        if cut:
-            yield runs(whole.slice(0, cut))
-    if rest is not None and rest.num_rows:
-        yield runs(rest)
+    yield from map(runs, W.whole_groups(batches, ["gram"]))
 
 
 def _as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,18 +233,9 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "kept": pa.array(texts, pa.binary())})
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text``, and the order of documents: ``key``, and ``part`` where the ids are not unique."""
-    ids = docs.select("doc_id")
-    twice = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    part = F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64("text")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return docs.select("doc_id", "text", key.alias("key"), part.alias("part"))
-
-
 def _with_matches(docs: DataFrame, batches: int, together: int) -> DataFrame:
     """``docs`` with ``firsts`` and ``later``, what ``removed_runs`` needs."""
-    keyed = _keyed(docs)
+    keyed = in_order(docs)
     edges = keyed.approxQuantile("key", [i / batches for i in range(1, batches)], 0.01)
     bounds = [None, *sorted({int(edge) for edge in edges}), None]
     index = SuffixIndex()

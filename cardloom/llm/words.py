@@ -135,3 +135,23 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
     """The texts of an Arrow column as bytes, null as empty."""
     for value in column.cast(pa.binary()):
         yield value.as_py() or b""
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted batches again, cut so that no group of equal (integer) ``names`` is torn apart."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        joined = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        same = np.ones(joined.num_rows, dtype=bool)
+        for name in names:
+            column = joined.column(name).to_numpy(zero_copy_only=False)
+            same &= column == column[-1]
+        others = np.flatnonzero(~same)
+        cut = int(others[-1]) + 1 if len(others) else 0
+        rest = joined.slice(cut)
+        if cut:
+            yield joined.slice(0, cut)
+    if rest is not None:
+        yield rest
