@@ -236,7 +236,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_matches(docs: DataFrame, batches: int, together: int) -> DataFrame:
     """``docs`` with ``firsts`` and ``later``, what ``removed_runs`` needs."""
     keyed = in_order(docs)
-    edges = keyed.approxQuantile("key", [i / batches for i in range(1, batches)], 0.01)
+    edges = keyed.approxQuantile("key", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = [None, *sorted({int(edge) for edge in edges}), None]
     index = SuffixIndex()
     for low, high in zip(bounds, bounds[1:], strict=False):

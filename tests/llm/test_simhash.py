@@ -1,0 +1,113 @@
+import random
+
+import numpy as np
+import xxhash
+
+from cardloom.llm import components, simhash
+from tests.llm.helpers import SPACED, empty, frame, lowered, odd_rows, prose, vocabulary
+
+
+def brute_fingerprint(text):
+    words = SPACED.findall(lowered(text))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_groups(prints):
+    """Smallest id of each fingerprint's group, None last."""
+    parent = {p: p for p in prints}
+
+    def find(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    for a in prints:
+        for b in prints:
+            if (a ^ b).bit_count() <= 2:
+                parent[find(a)] = find(b)
+    return find
+
+
+def least_ids(rows):
+    prints = [brute_fingerprint(text) for _, text in rows]
+    find = brute_groups(set(prints))
+    least = {}
+    for (i, _), p in zip(rows, prints, strict=True):
+        ids = [x for x in (i, least.get(find(p))) if x is not None]
+        least[find(p)] = min(ids) if ids else None
+    return least
+
+
+def check(spark, rows):
+    found = simhash.simhash_components(frame(spark, rows)).collect()
+    prints = [brute_fingerprint(text) for _, text in rows]
+    find, least = brute_groups(set(prints)), least_ids(rows)
+    wanted = [(i, f"{p:016x}", least[find(p)]) for (i, _), p in zip(rows, prints, strict=True)]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted))
+
+
+def corpus():
+    draw, words = random.Random(4), vocabulary(4)
+    rows = [(100 + i, prose(draw, words, draw.randint(1, 60))) for i in range(40)]
+    base = prose(draw, words, 300).split()
+    for i in range(40):
+        base[draw.randrange(300)] = draw.choice(words)
+        rows.append((200 + i, " ".join(base)))
+    return rows + [(i + 300, text) for i, text in rows[:15]] + odd_rows()
+
+
+def test_against_brute_force(spark):
+    check(spark, corpus())
+
+
+def test_full_buckets_are_linked_exactly(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED", 1)
+    check(spark, corpus())
+
+
+def test_near_links_connect_what_is_near(spark, monkeypatch):
+    draw = random.Random(6)
+    centre = draw.getrandbits(64)
+    prints = {centre} | {centre ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for _ in range(150)}
+    prints |= {draw.getrandbits(64) for _ in range(50)}
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    for paired in (simhash.PAIRED, 3):
+        monkeypatch.setattr(simhash, "PAIRED", paired)
+        links = simhash.near_links(spark.createDataFrame(signed, "fp long")).collect()
+        assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in links)
+        roots = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        find = brute_groups(prints)
+        groups = {}
+        for p, (s,) in zip(prints, signed, strict=True):
+            groups.setdefault(find(p), set()).add(roots.get(s, s))
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({g.pop() for g in groups.values()})
+
+
+def test_golay_is_perfect_and_near_words_share_an_index():
+    draw = np.random.default_rng(1)
+    words = draw.integers(0, 1 << 23, 300)
+    indices = simhash.codeword_indices(words)
+    assert {len(set(row)) for row in indices.tolist()} <= {1, 6}
+    for a in range(23):
+        other = words ^ (1 << a) ^ (1 << int(draw.integers(23)))
+        shared = [set(x) & set(y) for x, y in zip(indices.tolist(), simhash.codeword_indices(other).tolist(), strict=True)]
+        assert all(shared)
+
+
+def test_components_of_a_long_path_and_a_hub(spark):
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (None, 7), (3, 2)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    rows = corpus()
+    table = frame(spark, rows)
+    kept = simhash.keep_one_of_each_group(table)
+    assert kept.columns == table.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert sorted(map(str, ids)) == sorted(map(str, least_ids(rows).values()))
+    assert simhash.simhash_components(empty(spark)).count() == simhash.keep_one_of_each_group(empty(spark)).count() == 0
