@@ -16,8 +16,8 @@ SPLITS = 256
 def _ring(spark: SparkSession, shards: int, virtual: int) -> DataFrame:
     """Each place of the ring with the virtual node that follows it clockwise (``arc``, by ring order) and its shard."""
     nodes = spark.range(shards * virtual).select(
-        (F.col("id") % shards).cast("int").alias("shard"),
-        F.xxhash64(F.lit("node"), F.col("id")).bitwiseAND(RING - 1).alias("place"),
+        F.floor(F.col("id") / virtual).cast("int").alias("shard"),
+        F.xxhash64(F.lit("node"), F.floor(F.col("id") / virtual), F.col("id") % virtual).bitwiseAND(RING - 1).alias("place"),
     )
     nodes = nodes.groupBy("place").agg(F.min("shard").alias("shard"))  # of nodes at one place the first shard stands
     in_order = Window.orderBy("place")  # the ring has a fixed number of nodes

@@ -1,0 +1,105 @@
+import random
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from cardloom.llm import mixing
+from tests.llm.helpers import SPACED, empty, frame, odd_rows, prose, vocabulary
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def targets(sizes):
+    """Water-filling by rounds: share the rest by weight, stop what is above its limit, share again."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    fixed, total = {}, sum(sizes.values())
+    while True:
+        open_ = [s for s in order if s not in fixed]
+        rest = total - sum(fixed.values())
+        share = {s: weight[s] * rest / sum(weight[o] for o in open_) for s in open_}
+        above = [s for s in open_ if share[s] > 3 * sizes[s]]
+        if not above:
+            return {**fixed, **share}
+        fixed |= {s: 3 * sizes[s] for s in above}
+
+
+def check(spark, rows):
+    found = mixing.mix_digest(frame(spark, rows, SCHEMA)).collect()
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len(SPACED.findall(text or ""))
+    goal = targets(dict(sizes))
+    by_source, taken = {}, Counter()
+    wanted = sorted((str(d), len(SPACED.findall(t or "")), sizes[s], round(goal[s], 6)) for d, t, s in rows)
+    assert sorted((str(r.doc_id), r["size"], r.source_size, round(r.target, 6)) for r in found) == wanted
+    assert all(0 <= r.taken <= 3 * r["size"] for r in found)
+    for r in found:
+        by_source[r.source_size, round(r.target, 6)] = r.target
+        taken[r.source_size, round(r.target, 6)] += r.taken
+    several = Counter((sizes[s], round(goal[s], 6)) for s in sizes)
+    for key, target in by_source.items():
+        assert abs(taken[key] - several[key] * target) <= several[key] * (mixing.BLOCK + 1)
+    return sorted(map(str, map(tuple, found)))
+
+
+def corpus():
+    draw, words = random.Random(21), vocabulary(21)
+    rows = [(d, t, draw.choice(["b", None, "é"])) for d, t in odd_rows()]
+    for i in range(300):
+        source = "big" if i % 3 == 0 else draw.choice(["a", "b", "B", "z", "", None, "é"])
+        rows.append((100 + i, prose(draw, words, draw.choice((1, 20, 90, 400))), source))
+    return rows + [(900, "", "no words"), (901, None, "no words"), (902, "one", "tiny")]
+
+
+def test_targets_limits_and_reruns(spark):
+    rows = corpus()
+    first = check(spark, rows)
+    random.Random(1).shuffle(rows)
+    assert check(spark, rows) == first
+
+
+def test_one_source_and_none(spark):
+    check(spark, [(i, "a b c d " * 30, "only") for i in range(9)])
+    assert mixing.mix_digest(empty(spark, SCHEMA)).count() == 0
+    assert [r.taken for r in mixing.mix_digest(frame(spark, [(1, None, "s"), (2, " ", None)], SCHEMA)).collect()] == [0, 0]
+
+
+def test_ranks_are_gapless_in_any_chunks(spark, monkeypatch):
+    goal = spark.createDataFrame([(0, "a", 500, 700.0), (1, "b", 10, 30.0), (2, "c", 900, 680.0)], "sid long, source string, source_size long, target double")
+    whole = sorted(map(tuple, mixing.schedule(goal, 4).collect()))
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    assert sorted(map(tuple, mixing.schedule(goal, 4).collect())) == whole
+    for sid, target in ((0, 700), (1, 30), (2, 680)):
+        ranks = [rank for _, s, rank in whole if s == sid]
+        assert sorted(ranks) == list(range(len(ranks))) and len(ranks) * 4 >= target
+        for n in (50, 150, 300):  # in every stretch of the schedule alike
+            assert abs(sum(s == sid for slot, s, _ in whole if slot < n) - n * target / 1410) < 3
+
+
+def test_documents_come_as_often_as_their_words_are_taken(spark):
+    table = frame(spark, corpus(), SCHEMA)
+    mixed = mixing.mix_documents(table)
+    assert mixed.columns == table.columns
+    copies = Counter(str(r.doc_id) for r in mixed.collect())
+    wanted = Counter()
+    for r in mixing.mix_digest(table).collect():
+        wanted[str(r.doc_id)] += int(r.taken / r["size"] + 0.5) if r["size"] else 0
+    assert copies == +wanted
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_table_equals_sql(spark, folder):
+    path = f"/root/testdata/{folder}/documents.parquet"
+    found = mixing.mix_digest(spark.read.parquet(path))
+    oracle = duckdb.connect()
+    oracle.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    wanted = oracle.execute(mixing.MIX_SQL).fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, wanted))
+
+
+def test_native_plan(spark):
+    plan = mixing.mix_digest(frame(spark, corpus()[:20], SCHEMA).withColumn("extra", F.lit(1)))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
