@@ -8,8 +8,6 @@ They are stated here, together and as they are, and used by name everywhere else
 JAPAN_BASE_URL = "https://www.pokemon-card.com"
 HONG_KONG_BASE_URL = "https://asia.pokemon-card.com"
 PLAYERS_BASE_URL = "https://players.pokemon-card.com"
-HONG_KONG_EN_LIST_URL = "https://asia.pokemon-card.com/hk-en/card-search/"
-HONG_KONG_ZH_LIST_URL = "https://asia.pokemon-card.com/hk/card-search/"
 
 # --- fixed values: country labels of the product table ---------------------------------------------------------------
 JAPAN = "Japan"
@@ -72,15 +70,3 @@ UNKNOWN = "Unknown"
 
 # --- fixed values: date sort key of undated products -----------------------------------------------------------------
 UNDATED_SORT_KEY = "9999-12-31"
-
-# --- fixed values: character references that occur in the pages; the ampersand itself is decoded last ----------------
-CHARACTER_REFERENCES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&middot;", "·"),
-    ("&copy;", "©"),
-    ("&yen;", "¥"),
-)

@@ -1,8 +1,10 @@
 """Elements, attributes and text of web pages as string expressions.
 
-Pages are machine-made: attribute values are quoted, ``>`` does not occur inside them, and an element that is looked
-for holds no element of the same tag. Under these conditions the patterns below find what a tree search would find;
-they are linear in the page length and stay inside the JVM. Tag and attribute names match in any case, values exactly.
+Pages are machine-made: attribute values are quoted and ``>`` does not occur inside them. Elements may hold elements of
+the same tag: the text behind an opening tag is cut at each further tag of that name, and a running depth tells where
+the element ends, as a tree search would. Comments, and scripts where they are not looked for, are to be taken out first
+(``visible``, ``without_comments``). All this is linear in the page length and stays inside the JVM. Tag and attribute
+names match in any case, values exactly.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cardloom.functions.once import let
 from cardloom.functions.text import decode_no_break_space, decode_references, strip
 
 # A match can start only at "<" (or at white space), which lets the scan skip everything else quickly; ordinary tags
@@ -76,9 +79,17 @@ def opening(tag: str, *conditions: str) -> str:
     return rf"<(?i:{tag})(?=[\s/>]){ahead}[^>]*>"
 
 
-def element(tag: str, *conditions: str) -> str:
-    """Pattern of a whole element; group 1 is what is inside."""
-    return rf"(?s){opening(tag, *conditions)}(.*?)</(?i:{tag})\s*>"
+_HIDDEN = r"(?is)<!--.*?-->|<script(?=[\s/>]).*?</script\s*>|<style(?=[\s/>]).*?</style\s*>"
+
+
+def visible(html: Column) -> Column:
+    """The page without comments, scripts and styles, which may hold what looks like elements."""
+    return F.regexp_replace(html, _HIDDEN, "")
+
+
+def without_comments(html: Column) -> Column:
+    """The page without comments; what looks like one inside a script stays."""
+    return F.regexp_replace(html, r"(?is)(<(script|style)(?=[\s/>]).*?</\2\s*>)|<!--.*?-->", "$1")
 
 
 def found(html: Column, pattern: str) -> Column:
@@ -86,14 +97,40 @@ def found(html: Column, pattern: str) -> Column:
     return F.rlike(html, F.lit(pattern))
 
 
+def upto_end(behind: Column, tag: str) -> Column:
+    """The inside of an element, from the text behind its opening tag; all of it if the element is never closed."""
+    # The blank in front is the first piece's, so that the text behind it is never taken for it.
+    return F.substring(first_level(F.split(F.concat(F.lit(" "), behind), rf"(?i)(?=</?{tag}[\s/>])")), 2, 1 << 30)
+
+
+def first_level(pieces: Column) -> Column:
+    """Pieces, cut in front of each tag of one name, joined up to the tag that closes what the first one is inside of."""
+    start = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("n"))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(F.startswith(piece, F.lit("</")), -1).when(
+            F.rlike(piece, F.lit("^<[^>]*/>")), 0
+        ).otherwise(1)
+        inside = F.struct(depth.alias("depth"), (state["n"] + F.when(depth > 0, 1).otherwise(0)).alias("n"))
+        return F.when(state["depth"] > 0, inside).otherwise(state)
+
+    def cut(parts: Column) -> Column:
+        counted = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["n"]
+        return F.array_join(F.slice(parts, F.lit(1), counted), "")
+
+    return let(pieces, cut)
+
+
 def inner(html: Column, tag: str, *conditions: str) -> Column:
     """Inside of the first such element, ``''`` if there is none."""
-    return F.regexp_extract(html, element(tag, *conditions), 1)
+    return upto_end(F.regexp_extract(html, rf"(?s){opening(tag, *conditions)}(.*)", 1), tag)
 
 
 def inners(html: Column, tag: str, *conditions: str) -> Column:
-    """Insides of all such elements, in page order."""
-    return F.regexp_extract_all(html, F.lit(element(tag, *conditions)), F.lit(1))
+    """Insides of all such elements, in page order. Where one stands inside another, the outer one is cut before it."""
+    pattern = opening(tag, *conditions)
+    parts = F.filter(F.split(html, f"(?={pattern})"), lambda part: F.rlike(part, F.lit(f"^{pattern}")))
+    return F.transform(parts, lambda part: upto_end(F.regexp_extract(part, f"(?s)^{pattern}(.*)", 1), tag))
 
 
 def tag_of(html: Column, tag: str, *conditions: str) -> Column:

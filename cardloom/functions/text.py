@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import zlib
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cardloom.constants import CHARACTER_REFERENCES
+from cardloom.functions.once import let
 
 NO_BREAK_SPACE = "\u00a0"
 
@@ -44,10 +45,81 @@ def clean_lines(text: Column) -> Column:
 
 
 def decode_references(text: Column) -> Column:
-    """Decode the character references of the pages, no-break space included; ``&amp;`` last, so nothing decodes twice."""
-    spaced = decode_no_break_space(text)
-    decoded = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), CHARACTER_REFERENCES, spaced)
-    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+    """Decode all named and numeric character references, each once; what is no reference stays.
+
+    The text is cut in front of every ``&``; each piece then starts with at most one reference, is decoded by itself and
+    joined again, so nothing decodes twice. Texts without ``&`` are left alone.
+    """
+    pieces = F.split(text, "(?=&)")
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, _decoded), "")).otherwise(text)
+
+
+# A reference by name or number. Names without a semicolon are the few old ones that browsers know that way.
+_REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+_OLD_REFERENCE = rf"^&({'|'.join(sorted((n for n in html5 if not n.endswith(';')), key=len, reverse=True))})"
+
+
+def _decoded(piece: Column) -> Column:
+    parts = F.struct(
+        piece.alias("piece"),
+        F.regexp_extract(piece, _REFERENCE, 1).alias("whole"),
+        F.regexp_extract(piece, _OLD_REFERENCE, 1).alias("old"),
+    )
+    return F.when(F.startswith(piece, F.lit("&")), let(parts, _character_and_rest)).otherwise(piece)
+
+
+def _character_and_rest(parts: Column) -> Column:
+    piece, whole, old = parts["piece"], parts["whole"], parts["old"]
+    after = lambda name, more: F.substring(piece, F.char_length(name) + 1 + more, F.char_length(piece))
+    number = F.when(F.rlike(whole, F.lit("^#[xX]")), F.conv(F.substring(whole, 3, 8), 16, 10)).otherwise(
+        F.substring(whole, 2, 8)
+    )
+    return F.coalesce(
+        F.when(F.startswith(whole, F.lit("#")), F.concat(_character(number.try_cast("int")), after(whole, 2))),
+        F.when(whole != "", F.concat(_named(F.concat(whole, F.lit(";"))), after(whole, 2))),
+        F.when(old != "", F.concat(_named(old), after(old, 1))),
+        piece,
+    )
+
+
+# The standard library's table of named references as lines of name and characters, dealt into short texts by the
+# checksum of the name: a search in a literal text costs less than building a map for each row.
+_BUCKETS, _LINE, _IS = 16, "\x01", "\x02"
+
+
+def _named(name: Column) -> Column:
+    dealt = [_LINE] * _BUCKETS
+    for key, character in html5.items():
+        dealt[zlib.crc32(key.encode()) % _BUCKETS] += f"{key}{_IS}{character}{_LINE}"
+    lines = F.get(F.array(*map(F.lit, dealt)), (F.crc32(name) % _BUCKETS).cast("int"))
+    start = F.concat(F.lit(_LINE), name, F.lit(_IS))
+    return F.when(F.contains(lines, start), F.split_part(F.split_part(lines, start, F.lit(2)), F.lit(_LINE), F.lit(1)))
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point, U+FFFD for those that are none; 128 to 159 count as Windows-1252."""
+    odd = F.try_element_at(F.create_map(*[F.lit(x) for pair in _WINDOWS.items() for x in pair]), number)
+    high = F.hex(
+        F.when(number < 0x80, number)
+        .when(number < 0x800, 0xC080 + F.shiftright(number, 6) * 256 + number.bitwiseAND(63))
+        .when(
+            number < 0x10000,
+            0xE08080 + F.shiftright(number, 12) * 65536 + F.shiftright(number, 6).bitwiseAND(63) * 256 + number.bitwiseAND(63),
+        )
+        .otherwise(
+            F.lit(0xF0808080)
+            + F.shiftright(number, 18).cast("bigint") * 16777216
+            + F.shiftright(number, 12).bitwiseAND(63) * 65536
+            + F.shiftright(number, 6).bitwiseAND(63) * 256
+            + number.bitwiseAND(63)
+        )
+        .cast("bigint")
+    )
+    none = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    return F.when(none, F.lit("\ufffd")).otherwise(F.coalesce(odd, F.decode(F.unhex(high), "UTF-8")))
+
+
+_WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
 
 
 def decode_no_break_space(text: Column) -> Column:

@@ -10,6 +10,7 @@ from cardloom.functions import markup
 from cardloom.functions.once import explode_once, select_once
 from cardloom.functions.text import NO_BREAK_SPACE, is_blank, strip
 from cardloom.operators.joins import hot_key_join
+from cardloom.session import OPEN_STAGES, Stages
 from cardloom.operators.paging import number_rows
 
 
@@ -122,18 +123,27 @@ def backfill_report(cards: DataFrame, codes: DataFrame, file: str = "deck_file")
     )
 
 
-def backfill_documents(decks: DataFrame, codes: DataFrame, key: str = "deck_file") -> DataFrame:
-    """The deck documents in which a code is filled, with all their cards; other documents are left out.
-
-    ``key`` identifies a document. Only the blank ids leave the documents: they meet the codes and come back as one
-    small map per changed document, no larger than its card list, which is applied inside the row.
-    """
+def blank_ids(decks: DataFrame, *keys: str) -> DataFrame:
+    """The ids of cards with a blank code, once per document: the key columns and ``card_id``."""
     blanks = F.array_distinct(
         F.transform(F.filter("cards", lambda card: is_blank(card["card_code"])), lambda card: card["card_id"])
     )
-    wanted = explode_once(decks, [key], blanks, "pos", "card_id").select(key, "card_id")
+    return explode_once(decks, list(keys), blanks, "pos", "card_id").select(*keys, "card_id")
+
+
+def backfill_documents(
+    decks: DataFrame, codes: DataFrame, key: str = "deck_file", stages: Stages = OPEN_STAGES
+) -> DataFrame:
+    """The deck documents in which a code is filled, with all their cards; other documents are left out.
+
+    ``key`` identifies a document. Documents with a blank code are staged, so that what they are made from is worked out
+    once; complete ones go no further. Only the blank ids leave the staged documents: they meet the codes and come back
+    as one small map per changed document, no larger than its card list, which is applied inside the row.
+    """
+    blank = F.exists("cards", lambda card: is_blank(card["card_code"]))
+    open_decks = stages.write(decks.where(blank), "decks-to-fill")
     found = (
-        hot_key_join(wanted, codes.where("card_code <> ''").select("card_id", "card_code"), "card_id")
+        hot_key_join(blank_ids(open_decks, key), codes.where("card_code <> ''").select("card_id", "card_code"), "card_id")
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_set(F.struct("card_id", "card_code"))).alias("found"))
     )
@@ -145,7 +155,7 @@ def backfill_documents(decks: DataFrame, codes: DataFrame, key: str = "deck_file
             .otherwise(card["card_code"]),
         ),
     )
-    return hot_key_join(decks, found, key).withColumn("cards", refilled).select(*decks.columns)
+    return hot_key_join(open_decks, found, key).withColumn("cards", refilled).select(*decks.columns)
 
 
 def with_changes(decks: DataFrame, changed: DataFrame, key: str = "deck_file") -> DataFrame:

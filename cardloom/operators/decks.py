@@ -18,7 +18,7 @@ from cardloom.constants import (
 )
 from cardloom.functions import markup
 from cardloom.functions.cards import card_code_of, card_name_of, is_key_card, number_of, set_of
-from cardloom.functions.once import explode_once, let
+from cardloom.functions.once import explode_once, let, select_once
 from cardloom.functions.text import or_empty
 from cardloom.functions.urls import deck_url
 from cardloom.operators.joins import hot_key_join
@@ -30,12 +30,11 @@ def parse_deck_pages(pages: DataFrame) -> DataFrame:
     Names and images are page-local lists in which a later entry wins; a card without a name is dropped, a card
     without an image keeps ``''``. A quantity that is no integer ends the deck there.
     """
-    scripts = F.array_join(
-        F.filter(markup.inners(F.col("html"), "script"), lambda script: F.contains(script, F.lit(DECK_SCRIPT_MARK))),
-        "\n",
-    )
+    bodies = F.regexp_extract_all("html", F.lit(r"(?is)<script(?=[\s/>])[^>]*>(.*?)</script\s*>"), F.lit(1))
+    scripts = F.array_join(F.filter(bodies, lambda script: F.contains(script, F.lit(DECK_SCRIPT_MARK))), "\n")
     cards = let(F.struct(packed_cards(F.col("html")).alias("listed"), scripts.alias("scripts")), _page_cards)
     others = [name for name in pages.columns if name not in ("deck_id", "html")]
+    pages = select_once(pages, [*others, "deck_id"], markup.without_comments(F.col("html")).alias("html"))
     return pages.select(
         *others,
         deck_url(F.col("deck_id")).alias("deck_url"),
@@ -94,11 +93,29 @@ def _named_cards(lists: Column) -> Column:
 
 
 def _deck_code(html: Column) -> Column:
-    # The element whose own text holds the label, up to its closing tag; the code follows the bracket.
-    labelled = rf"<(\w+)(?=[\s/>])[^>]*>([^<]*{DECK_CODE_LABEL}(?s:.*?))</\1\s*>"
-    return F.regexp_extract(
-        markup.stripped_text(F.regexp_extract(html, labelled, 2)), rf"(?d){DECK_CODE_OPEN_END}(.+)", 1
-    )
+    """What follows the label in the element whose own text holds it, up to the end of the line.
+
+    The label may stand behind children of that element or void tags. Its element is the last one that is still open in
+    front of it: closed elements are taken out from the inside, a level at a time, and of what is left the last tag counts.
+    """
+    shown = markup.visible(html)
+    before = F.regexp_replace(F.regexp_extract(shown, rf"(?s)^(.*?){DECK_CODE_LABEL}", 1), _VOID_TAG, "")
+    for _ in range(_LEVELS):
+        before = F.regexp_replace(before, r"<(\w+)(?=[\s>])[^>]*>[^<]*</\1\s*>", "")
+    tag = F.regexp_extract(before, r"(?s)^.*<(\w+)", 1)
+    behind = F.regexp_extract(shown, rf"(?s)({DECK_CODE_LABEL}.*)", 1)
+
+    def inside(parts: Column) -> Column:
+        pieces = F.split(parts["behind"], F.concat(F.lit("(?i)(?=</?"), parts["tag"], F.lit("[\\s/>])")))
+        return F.when(parts["tag"] == "", parts["behind"]).otherwise(markup.first_level(pieces))
+
+    own = let(F.struct(behind.alias("behind"), tag.alias("tag")), inside)
+    return F.regexp_extract(markup.stripped_text(own), rf"(?d){DECK_CODE_OPEN_END}(.+)", 1)
+
+
+# Levels of closed elements in front of the label that are taken out.
+_LEVELS = 6
+_VOID_TAG = r"<(?i:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)(?=[\s/>])[^>]*>|<[^>]*/>"
 
 
 def packed_cards(html: Column) -> Column:

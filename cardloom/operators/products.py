@@ -27,8 +27,11 @@ from cardloom.functions.once import explode_once, select_once
 from cardloom.functions.text import clean_lines, or_empty, scalar_text
 from cardloom.functions.urls import absolute_url, image_code, query_value
 from cardloom.operators.joins import hot_key_join
-from cardloom.operators.paging import read_until, reading_stops
+from cardloom.operators.paging import one_of_each, read_until, reading_stops
 from cardloom.schemas import API_RESPONSE_DDL
+from cardloom.session import OPEN_STAGES, Stages
+
+_CORRUPT = "corrupt_record"
 
 
 @dataclass(frozen=True)
@@ -47,24 +50,39 @@ HONG_KONG_SITES = (Site("en", HONG_KONG_EN, "hk-en"), Site("zh", HONG_KONG_ZH, "
 # ---- API responses ---------------------------------------------------------------------------------------------------
 
 
-def readable_api_pages(pages: DataFrame) -> DataFrame:
-    """Responses that a page-by-page read reaches: pages 1 to ``maxPage`` of page 1, before the first unreadable one.
+def readable_api_pages(pages: DataFrame, stages: Stages = OPEN_STAGES) -> DataFrame:
+    """Responses that a page-by-page read reaches: pages 1 to ``maxPage`` of page 1, before the first one that is
+    unreadable or not there.
 
-    ``pages`` has ``page_no int, body string``. The result has ``page_no, response``, error responses left out.
+    ``pages`` has ``page_no int, body string``. The result has ``page_no, response``, error responses left out. Bodies
+    are parsed once into a staged table; a second parse is for those only that do not fit the declared fields. Copies
+    of a page count once.
     """
-    response = F.from_json("body", API_RESPONSE_DDL)
-    last_page = (
-        pages.where("page_no = 1").select(response.alias("r")).agg(F.max(F.coalesce("r.maxPage", F.lit(1)))).scalar()
+    response = F.from_json("body", f"{API_RESPONSE_DDL}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT})
+    parsed = select_once(pages, ["page_no", "body"], response.alias("response"))
+    suspect = F.col("response").isNull() | F.col(f"response.{_CORRUPT}").isNotNull()
+    broken = ~F.startswith(F.ltrim("body"), F.lit("{")) | F.when(suspect, F.try_parse_json("body").isNull()).otherwise(False)
+    kept = parsed.select(
+        "page_no",
+        F.coalesce(broken, F.lit(True)).alias("broken"),
+        F.col("response").dropFields(_CORRUPT).alias("response"),
+        F.xxhash64("body").alias("copy"),
     )
-    unreadable = F.try_parse_json("body").isNull() | ~F.startswith(F.ltrim("body"), F.lit("{"))
-    broken_page = pages.where(unreadable).agg(F.min("page_no")).scalar()
-    reached = (F.col("page_no") <= last_page) & (broken_page.isNull() | (F.col("page_no") < broken_page))
-    return select_once(pages.where(reached), ["page_no"], response.alias("response")).where("response.result = 1")
-
-
-def api_products(pages: DataFrame) -> DataFrame:
+    landed = stages.write(kept, "api-responses")
+    first = landed.groupBy("page_no").agg(F.max("copy").alias("copy"))
+    landed = landed.join(first, ["page_no", "copy"]).dropDuplicates(["page_no"])
+    last_page = landed.where("page_no = 1").agg(F.max(F.coalesce("response.maxPage", F.lit(1)))).scalar()
+    numbers = landed.where("not broken").select("page_no").distinct()
+    following = numbers.where("page_no >= 1").select((F.col("page_no") + 1).alias("page_no"))
+    gap = following.join(numbers, "page_no", "left_anti").agg(F.min("page_no")).scalar()
+    starts = numbers.where("page_no >= 1").agg(F.min("page_no")).scalar()
+    reached = landed.where(~F.col("broken") & (F.col("page_no") <= last_page) & (F.col("page_no") < gap) & (starts == 1))
+    return reached.where("response.result = 1").select("page_no", "response")
+
+
+def api_products(pages: DataFrame, stages: Stages = OPEN_STAGES) -> DataFrame:
     """Products of the landed API responses: ``page_no, pos`` and the product columns, named products only."""
-    items = explode_once(readable_api_pages(pages), ["page_no"], F.col("response.products"), "pos", "item")
+    items = explode_once(readable_api_pages(pages, stages), ["page_no"], F.col("response.products"), "pos", "item")
     field = lambda name: or_empty(F.col(f"item.{name}"))
     link = lambda name: absolute_url(field(name), JAPAN_BASE_URL)
     title = field("productTitle")
@@ -94,22 +112,35 @@ _LIST = ("ul", markup.has_class("expansionList"))
 _ITEM = ("li", markup.has_class("expansion"))
 
 
-def catalog_pages(pages: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES) -> DataFrame:
-    """Catalogue pages that following the next-page links reaches. ``pages`` has ``site, page_no, html``."""
+def catalog_pages(
+    pages: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES, stages: Stages = OPEN_STAGES
+) -> DataFrame:
+    """Catalogue pages that following the next-page links reaches: ``site, page_no, items``.
+
+    ``pages`` has ``site, page_no, html``. Each page is read once: it becomes its marks and the insides of its items,
+    which are staged. A page that is not there ends its site; copies of a page count once.
+    """
     html = F.col("html")
-    items = markup.inner(html, *_LIST)
+    keys = [site.key for site in sites]
+    chosen = pages.where(F.col("site").isin(keys))
+    shown = select_once(chosen, ["site", "page_no"], markup.visible(html).alias("html"))
     next_item = markup.inner(
         markup.inner(html, "nav", markup.has_class("pagination")), "li", markup.has_class("paginationItem next")
     )
-    keys = [site.key for site in sites]
-    no_items = ~markup.found(items, markup.opening(*_ITEM))
-    no_next = ~markup.found(next_item, markup.opening("a"))
-    return read_until(pages, reading_stops(pages, "site", no_items, no_next, keys), "site", keys)
+    parsed = select_once(
+        shown,
+        ["site", "page_no"],
+        (~markup.found(next_item, markup.opening("a"))).alias("is_last"),
+        markup.inners(markup.inner(html, *_LIST), *_ITEM).alias("items"),
+    )
+    parsed = parsed.select("site", "page_no", (F.size("items") == 0).alias("is_empty"), "is_last", "items")
+    slim = one_of_each(stages.write(parsed, "catalogue-pages"), "site", "page_no")
+    return read_until(slim, reading_stops(slim, "site", keys), "site", keys).select("site", "page_no", "items")
 
 
 def catalog_items(pages: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES) -> DataFrame:
-    """Items of reached catalogue pages: ``site, page_no, pos``, the nine product columns such a page has, and
-    ``price_language``; the price is still empty. Items with neither a name nor a link are dropped."""
+    """Items of reached catalogue pages (``catalog_pages``): ``site, page_no, pos``, the nine product columns such a page
+    has, and ``price_language``; the price is still empty. Items with neither a name nor a link are dropped."""
     item = F.col("item")
     title = markup.stripped_text(markup.inner(item, "h3", markup.has_class("expansionTitle")))
     series = ("span", markup.has_class("series"))
@@ -125,9 +156,8 @@ def catalog_items(pages: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES) ->
     date_text = F.coalesce(
         F.nullif(date_attribute, F.lit("")), markup.stripped_text(markup.inner(item, *time))
     )
-    items = markup.inners(markup.inner(F.col("html"), *_LIST), *_ITEM)
     parsed = select_once(
-        explode_once(pages, ["site", "page_no"], items, "pos", "item"),
+        explode_once(pages, ["site", "page_no"], F.col("items"), "pos", "item"),
         ["site", "page_no", "pos"],
         name.alias("product_name"),
         date_text.alias("date_text"),
@@ -179,7 +209,7 @@ def detail_prices(pages: DataFrame) -> DataFrame:
     Copies of a page are merged by an aggregate with map-side combine before anything is joined to them. Pages
     without a price are left out, as a missing row and an empty price mean the same to :func:`with_prices`.
     """
-    section = markup.inner(F.col("html"), "section", markup.has_class("section-product"))
+    section = markup.inner(markup.visible(F.col("html")), "section", markup.has_class("section-product"))
     data_part = markup.inner(F.col("section"), "div", markup.has_class("data-product"))
     box_part = markup.inner(F.col("section"), "div", markup.has_class("box-red"))
     paragraph_prices = F.filter(

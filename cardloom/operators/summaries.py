@@ -21,6 +21,11 @@ def _count() -> Column:
     return F.count(F.lit(1))
 
 
+def _first(counts: DataFrame, n: int | None, *order: str | Column) -> DataFrame:
+    """The first ``n`` rows in the given order; without ``n`` all rows, not sorted."""
+    return counts if n is None else counts.orderBy(*order).limit(n)
+
+
 def event_totals(events: DataFrame, participants: str | Column = NESTED_RESULTS) -> DataFrame:
     """Number of events and of participants, and participants per event to one decimal (NULL without events)."""
     people = F.expr(participants) if isinstance(participants, str) else participants
@@ -32,23 +37,24 @@ def event_totals(events: DataFrame, participants: str | Column = NESTED_RESULTS)
 
 
 def events_by_date(
-    events: DataFrame, n: int = 10, first_date: str | None = None, last_date: str | None = None
+    events: DataFrame, n: int | None = 10, first_date: str | None = None, last_date: str | None = None
 ) -> DataFrame:
-    """The ``n`` latest dates with their number of events, optionally between two dates (inclusive)."""
+    """The ``n`` latest dates (all with ``None``) with their number of events, optionally between two dates (inclusive)."""
     dated = events.select(F.coalesce("event_date", F.lit(UNKNOWN)).alias("event_date"))
     if first_date is not None:
         dated = dated.where(F.col("event_date") >= first_date)
     if last_date is not None:
         dated = dated.where(F.col("event_date") <= last_date)
     counts = dated.groupBy("event_date").agg(_count().alias("event_count"))
-    return counts.orderBy(F.desc("event_date")).limit(n)
+    return _first(counts, n, F.desc("event_date"))
 
 
-def top_hosts(events: DataFrame, n: int = 10, width: int = 50) -> DataFrame:
-    """The ``n`` hosts with the most events. Names are cut to ``width`` characters first, which merges hosts."""
-    hosts = events.select(truncate(F.coalesce("event_host", F.lit(UNKNOWN)), width).alias("host"))
+def top_hosts(events: DataFrame, n: int | None = 10, width: int | None = 50) -> DataFrame:
+    """The ``n`` hosts with the most events. Names are cut to ``width`` characters first, which merges hosts; ``None`` lifts either limit."""
+    host = F.coalesce("event_host", F.lit(UNKNOWN))
+    hosts = events.select((host if width is None else truncate(host, width)).alias("host"))
     counts = hosts.groupBy("host").agg(_count().alias("event_count"))
-    return counts.orderBy(F.desc("event_count"), "host").limit(n)
+    return _first(counts, n, F.desc("event_count"), "host")
 
 
 # ---- players ---------------------------------------------------------------------------------------------------------
@@ -110,13 +116,13 @@ def first_place_total(results: DataFrame) -> DataFrame:
 NESTED_CARDS = "coalesce(size(cards), 0)"
 
 
-def card_usage(cards: DataFrame, n: int = 30) -> DataFrame:
+def card_usage(cards: DataFrame, n: int | None = 30) -> DataFrame:
     """The ``n`` cards with the most copies over all decks, by name and code."""
     keyed = cards.where("card_name <> ''").select(
         card_key(F.col("card_name"), F.col("card_code")).alias("card_key"), F.col("quantity").cast("bigint")
     )
     copies = keyed.groupBy("card_key").agg(F.sum("quantity").alias("copies"))
-    return copies.orderBy(F.desc("copies"), "card_key").limit(n)
+    return _first(copies, n, F.desc("copies"), "card_key")
 
 
 def deck_size_stats(decks: DataFrame, entries: str | Column = NESTED_CARDS) -> DataFrame:
@@ -160,13 +166,13 @@ def deck_key_cards(cards: DataFrame, k: int = 3, markers: Sequence[str] = ENERGY
     return ranked.where(F.col("rank") <= k).select("deck_id", "rank", "card_name", "copies")
 
 
-def deck_archetypes(cards: DataFrame, n: int = 20, markers: Sequence[str] = ENERGY_MARKERS) -> DataFrame:
+def deck_archetypes(cards: DataFrame, n: int | None = 20, markers: Sequence[str] = ENERGY_MARKERS) -> DataFrame:
     """The ``n`` key cards that lead the most decks: ``key_card, deck_count``."""
     key_cards = deck_key_cards(cards, 1, markers).select(F.col("card_name").alias("key_card"))
     return archetype_counts(key_cards, n)
 
 
-def archetype_counts(key_cards: DataFrame, n: int = 20) -> DataFrame:
+def archetype_counts(key_cards: DataFrame, n: int | None = 20) -> DataFrame:
     """Count decks by their ``key_card``; decks without one are absent."""
     counts = key_cards.where("key_card is not null").groupBy("key_card").agg(_count().alias("deck_count"))
-    return counts.orderBy(F.desc("deck_count"), "key_card").limit(n)
+    return _first(counts, n, F.desc("deck_count"), "key_card")

@@ -5,20 +5,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cardloom.operators.codes import (
     backfill_documents,
     backfill_report,
+    blank_ids,
     cache_status,
     codes_to_fetch,
     fetched_codes,
     missing_codes,
     upsert_cache,
+    with_changes,
 )
 from cardloom.operators.decks import cards_of
 from cardloom.operators.joins import hot_key_join
-from cardloom.sinks.documents import write_code_cache
-from cardloom.sources.documents import read_code_cache
+from cardloom.schemas import DECK_DDL
+from cardloom.session import OPEN_STAGES, Stages
+from cardloom.sinks.documents import write_code_cache, write_documents
+from cardloom.sources.documents import read_code_cache, read_document_lines
 
 
 @dataclass(frozen=True)
@@ -54,15 +59,33 @@ def plan_backfill(decks: DataFrame, cache: DataFrame, code_pages: DataFrame) ->
 
 
 def run_backfill(
-    spark: SparkSession, decks: DataFrame, cache: DataFrame, code_pages: DataFrame, cache_path: str, decks_path: str
+    spark: SparkSession, store: str, cache: DataFrame, code_pages: DataFrame, cache_path: str, partition: str
 ) -> DataFrame:
-    """Write the new cache and then the changed documents, both to new paths; gives the report.
+    """Write the new cache to a new path, then fill the deck documents of a store where they are; gives the report.
 
-    The cache is written first, as it is the costly part, and read back: Spark then knows its size and broadcasts it
-    to the update join when it is small. Running again on the outcome finds nothing left that the cache can fill.
+    ``store`` is a folder of JSON lines, one folder per ``partition`` value, as ``write_documents`` makes it. Only
+    partitions with a change are worked out anew: their documents, filled and unchanged, are staged, and then replace
+    the partition. A run that ends in between leaves partitions in their old or their new form, and running again fills
+    the rest; on a full store it changes nothing. The cache is written first, as it is the costly part.
     """
-    plan = plan_backfill(decks, cache, code_pages)
-    write_code_cache(plan.cache, cache_path)
-    saved = read_code_cache(spark, cache_path, layout="lines")
-    backfill_documents(decks, saved).write.mode("errorifexists").json(decks_path)
-    return backfill_report(cards_of(decks, "deck_id", "deck_file"), saved)
+    folder = f"{partition}_folder"
+    with Stages() as stages:
+        decks, _ = read_document_lines(spark, store, f"{DECK_DDL}, deck_file string, {partition} string", folder)
+        plan = plan_backfill(decks, cache, code_pages)
+        write_code_cache(plan.cache, cache_path)
+        saved = read_code_cache(spark, cache_path, layout="lines")
+        report = OPEN_STAGES.write(backfill_report(cards_of(decks, "deck_id", "deck_file"), saved), "backfill-report")
+        known = saved.where("card_code <> ''").select("card_id")
+        touched = hot_key_join(blank_ids(decks, folder), known, "card_id", "left_semi").select(folder).distinct()
+        name = F.coalesce(folder, F.lit(""))
+        names = [row["name"] for row in touched.select(name.alias("name")).collect()]  # folders of the store
+        for start in range(0, len(names), FOLDERS_AT_ONCE):
+            few = decks.where(name.isin(names[start : start + FOLDERS_AT_ONCE]))
+            changed = backfill_documents(few, saved, stages=stages)
+            whole = stages.write(with_changes(few, changed).drop(folder), "filled-decks")
+            write_documents(whole, store, partition)
+    return report
+
+
+#: Partitions that are worked out in one go; a filter on their names prunes the files that are read.
+FOLDERS_AT_ONCE = 1000

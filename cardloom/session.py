@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 # Adaptive execution sizes the shuffles at run time and splits hot join partitions; nothing here depends on the
 # number of cores. The initial partition number is deliberately high, as adaptive execution merges what is small.
@@ -29,20 +29,59 @@ def with_settings(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, and where it is unset a folder of the warehouse.
 
-    Only a local session without the setting gets a folder of its own; on a cluster the setting is required, because
-    a folder of one machine would be lost with that machine and invisible to the others.
+    The warehouse is the other place that driver and executors share; the rule is the same on every master.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cardloom-"))
-    return spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cardloom-stages"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; no two calls give the same one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Stages:
+    """Tables written to the shared folder and read from there, each worked out once; ``drop`` deletes them.
+
+    Jobs drop their stages when they have written what is made of them. An operator that gives a lazy table keeps its
+    stages in :data:`OPEN_STAGES` until the caller has used the table and calls ``OPEN_STAGES.drop()``.
+    """
+
+    def __init__(self) -> None:
+        self._written: list[tuple[SparkSession, str]] = []
+
+    def write(self, table: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(table.sparkSession, name)
+        table.write.parquet(path)
+        self._written.append((table.sparkSession, path))
+        return table.sparkSession.read.schema(table.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self._written:
+            spark, path = self._written.pop()
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.drop()
+
+
+OPEN_STAGES = Stages()
+
+
+def numbered(stages: Stages, ordered: DataFrame, name: str) -> DataFrame:
+    """A sorted table with the ``position`` of each row from 1, as written: rows before its file, then rows in it.
+
+    Only the files are counted in one place, never the rows.
+    """
+    written = stages.write(ordered, name)
+    placed = written.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("line"))
+    files = placed.groupBy("file").agg(F.count("*").alias("rows"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    return placed.join(starts, "file").select(*ordered.columns, (F.col("start") + F.col("line") + 1).alias("position"))

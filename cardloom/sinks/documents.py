@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.constants import PRODUCT_COLUMNS
 from cardloom.operators.products import sort_products
-from cardloom.session import fresh_path
+from cardloom.session import Stages
 
 # Bounds the size of one output file, so that a date with very many events still becomes several files.
 MAX_RECORDS_PER_FILE = 1_000_000
@@ -41,12 +41,11 @@ def write_products(products: DataFrame, path: str, undated: str = "first") -> bo
     A global sort reads its input twice, first to find the ranges. The products are therefore written to the shared
     folder before they are sorted, so that the pages behind them are parsed once.
     """
-    staged_path = fresh_path(products.sparkSession, "products-unsorted")
-    products.write.parquet(staged_path)
-    staged = products.sparkSession.read.schema(products.schema).parquet(staged_path)
-    if staged.isEmpty():
-        return False
-    write_csv(sort_products(staged, undated).select(*PRODUCT_COLUMNS), path)
+    with Stages() as stages:
+        staged = stages.write(products, "products-unsorted")
+        if staged.isEmpty():
+            return False
+        write_csv(sort_products(staged, undated).select(*PRODUCT_COLUMNS), path)
     return True
 
 
@@ -55,17 +54,22 @@ def write_documents(
 ) -> None:
     """Event or deck documents as JSON lines, one folder per ``partition`` value.
 
+    The value also stays in the row, as the name of a folder cannot tell a blank value from none; the folder is named
+    after ``<partition>_folder``.
+
     A folder per event or a file per deck would be millions of tiny files. Rebalancing brings a date together, so that
     it becomes few files, and splits a date with very many documents over several tasks. With ``mode='overwrite'``
     only the partitions that occur in ``documents`` are replaced.
     """
+    folder = f"{partition}_folder"
     (
-        documents.hint("rebalance", partition)
+        documents.withColumn(folder, F.coalesce(F.col(partition).cast("string"), F.lit("")))
+        .hint("rebalance", folder)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .option("ignoreNullFields", False)
-        .partitionBy(partition)
+        .partitionBy(folder)
         .json(path)
     )
 

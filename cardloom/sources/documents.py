@@ -17,35 +17,40 @@ _DECK_FILES = "event_*/deck_*.json"
 _FOLDER_EVENT_ID = r"event_([^_/]+)_[^/]*/[^/]+$"
 
 
-def read_event_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``event_*/event_info.json`` under a folder: the event document and its ``folder``."""
+def read_event_documents(spark: SparkSession, folder: str, files: str = _EVENT_FILES) -> DataFrame:
+    """All ``event_*/event_info.json`` (or ``files``) under a folder: the event document and its ``folder``."""
     reader = spark.read.schema(EVENT_DDL).option("multiLine", True).option("mode", "FAILFAST")
-    found = _load(reader, f"{folder}/{_EVENT_FILES}")
+    found = _load(reader, f"{folder}/{files}")
     if found is None:
         return spark.createDataFrame([], f"{EVENT_DDL}, folder string")
     return found.select("*", F.regexp_replace(FILE_PATH, "/[^/]*$", "").alias("folder"))
 
 
-def read_deck_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``event_*/deck_*.json`` under a folder: the deck document, ``event_id`` and ``deck_file``.
+def read_deck_documents(
+    spark: SparkSession, folder: str, files: str = _DECK_FILES, event_id: str = _FOLDER_EVENT_ID
+) -> DataFrame:
+    """All ``event_*/deck_*.json`` (or ``files``) under a folder: the deck document, ``event_id`` and ``deck_file``.
 
-    One unreadable file fails the read; :func:`read_deck_documents_tolerant` goes on.
+    The event id is group 1 of a pattern on the path. One unreadable file fails the read; :func:`read_deck_documents_tolerant` goes on.
     """
     reader = spark.read.schema(DECK_DDL).option("multiLine", True).option("mode", "FAILFAST")
-    found = _load(reader, f"{folder}/{_DECK_FILES}")
+    found = _load(reader, f"{folder}/{files}")
     if found is None:
         return spark.createDataFrame([], f"{DECK_DDL}, event_id string, deck_file string")
-    return _with_lineage(found)
+    return _with_lineage(found, event_id)
 
 
-def read_deck_documents_tolerant(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_deck_documents_tolerant(
+    spark: SparkSession, folder: str, files: str = _DECK_FILES, event_id: str = _FOLDER_EVENT_ID
+) -> tuple[DataFrame, DataFrame]:
     """Readable deck documents as in :func:`read_deck_documents`, and the rejected files: ``deck_file, text``.
 
-    An unreadable file is rejected and the read goes on. An empty file holds no deck either, but Spark passes over it
-    before anything is read, so it is not among the rejected ones.
+    An unreadable file is rejected and the read goes on. Spark passes over empty files before anything is read, so they
+    are what its listing of the folder has and the read has not.
     """
     try:
-        files = spark.read.text(f"{folder}/{_DECK_FILES}", wholetext=True)
+        texts = spark.read.text(f"{folder}/{files}", wholetext=True)
+        listed = spark.createDataFrame([(path,) for path in texts.inputFiles()], "deck_file string")
     except AnalysisException as error:
         if not path_is_missing(error):
             raise
@@ -53,11 +58,12 @@ def read_deck_documents_tolerant(spark: SparkSession, folder: str) -> tuple[Data
             spark.createDataFrame([], f"{DECK_DDL}, event_id string, deck_file string"),
             spark.createDataFrame([], "deck_file string, text string"),
         )
-    lineage = [
-        F.regexp_extract(FILE_PATH, _FOLDER_EVENT_ID, 1).alias("event_id"), F.col(FILE_PATH).alias("deck_file")
-    ]
-    good, bad = _good_and_bad(files.select("value", *lineage), DECK_DDL, "event_id", "deck_file")
-    return good, bad.select("deck_file", "text")
+    lineage = [F.regexp_extract(FILE_PATH, event_id, 1).alias("event_id"), F.col(FILE_PATH).alias("deck_file")]
+    good, bad = _good_and_bad(texts.select("value", *lineage), DECK_DDL, "event_id", "deck_file")
+    place = F.regexp_replace("deck_file", "^file:/+", "/")
+    read = texts.select(F.col(FILE_PATH).alias("deck_file")).select(place.alias("place"))
+    empty = listed.withColumn("place", place).join(read, "place", "left_anti")
+    return good, bad.select("deck_file", "text").unionByName(empty.select("deck_file", F.lit("").alias("text")))
 
 
 def read_document_lines(
@@ -79,10 +85,10 @@ def _good_and_bad(texts: DataFrame, schema: str, *keep: str) -> tuple[DataFrame,
     return good, parsed.where(broken).select(*keep, F.col("value").alias("text"))
 
 
-def _with_lineage(found: DataFrame) -> DataFrame:
+def _with_lineage(found: DataFrame, event_id: str) -> DataFrame:
     path = F.col(FILE_PATH)
     return found.select(
-        "*", F.regexp_extract(path, _FOLDER_EVENT_ID, 1).alias("event_id"), path.alias("deck_file")
+        "*", F.regexp_extract(path, event_id, 1).alias("event_id"), path.alias("deck_file")
     )
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from cardloom.functions.urls import event_url
+
 FILE_PATH = "_metadata.file_path"
 
 
@@ -17,14 +19,13 @@ def read_whole_files(spark: SparkSession, path: str, content: str, **keys: str)
     return files.select(*columns, F.col("value").alias(content))
 
 
-def spread(table: DataFrame, *keys: str) -> DataFrame:
-    """Spread a stored table over all cores if it is read in fewer tasks than there are cores.
+def spread(table: DataFrame) -> DataFrame:
+    """Deal the rows out evenly, whatever their keys, to as many tasks as the session has shuffle partitions.
 
-    Parsing a page costs far more than reading it, so a small table in one file would keep one core busy. A table of
-    many files, as on a cluster, stays as it is and is not shuffled.
+    Parsing a page costs far more than moving it, and a few large files would keep few cores busy. No key decides where a
+    row goes, and the plan is the same for all sizes.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, *keys)
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_api_responses(spark: SparkSession, path: str, page_pattern: str = r"(\d+)[^/\d]*$") -> DataFrame:
@@ -43,6 +44,12 @@ def read_listing_pages(spark: SparkSession, path: str) -> DataFrame:
     return read_whole_files(spark, path, "html", page_no=r"(\d+)\.html$").withColumn("page_no", _int("page_no"))
 
 
+def read_event_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed result pages ``{event_id}/{page_no}.html`` of events: ``event_url, page_no, html``."""
+    pages = read_whole_files(spark, path, "html", event_id=r"([^/]+)/\d+\.html$", page_no=r"(\d+)\.html$")
+    return pages.select(event_url(F.col("event_id")).alias("event_url"), _int("page_no").alias("page_no"), "html")
+
+
 def read_detail_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed price pages ``{lang}/{code}.html``: ``lang, code, html``."""
     return read_whole_files(spark, path, "html", lang=r"([^/]+)/[^/]+\.html$", code=r"([^/]+)\.html$")

@@ -101,10 +101,11 @@ API = f"""api AS (
       AND p_partkey < (SELECT max(p_partkey) FROM part))"""
 
 SITES = """bounds AS (SELECT max(p_partkey) AS m FROM part), reached AS (
-    SELECT part.*, CASE WHEN p_size % 2 = 0 THEN 'en' ELSE 'zh' END AS site, CAST(p_partkey + 1 AS INTEGER) AS page_no
+    SELECT part.*, CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'zh' END AS site,
+           CAST(p_partkey // 2 + 1 AS INTEGER) AS page_no
     FROM part, bounds
-    WHERE CASE WHEN p_size % 2 = 0
-               THEN p_partkey <= (SELECT min(p_partkey) FROM part WHERE p_size % 2 = 0 AND p_partkey >= m - m // 10)
+    WHERE CASE WHEN p_partkey % 2 = 0
+               THEN p_partkey <= (SELECT min(p_partkey) FROM part WHERE p_partkey % 2 = 0 AND p_partkey >= m - m // 10)
                ELSE p_partkey < m - m // 20 END)"""
 
 ITEMS = f"""{SITES}, items AS (
@@ -125,9 +126,9 @@ ITEMS = f"""{SITES}, items AS (
     FROM reached, range(3) AS r(i) WHERE i <= p_size % 4)"""
 
 PRODUCTS = f"""{API}, {ITEMS}, products AS (
-    SELECT * EXCLUDE (page_no, pos) FROM api
+    SELECT 0 AS source_no, 0 AS site_no, * FROM api
     UNION ALL BY NAME
-    SELECT country, product_name, price, release_date, code, link, image_url, '' AS include, card_only,
+    SELECT 1 AS source_no, CASE site WHEN 'en' THEN 0 ELSE 1 END AS site_no, page_no, pos, country, product_name, price, release_date, code, link, image_url, '' AS include, card_only,
            '' AS product_type, '' AS beginner_flag, '' AS stores_available, '' AS link_card_list,
            '' AS link_pokemon_center FROM items)"""
 
@@ -146,6 +147,8 @@ EVENT_ROWS = """event_rows AS (
     SELECT *, CAST(1 + o_custkey % 3 AS INTEGER) AS pages, CAST(p AS INTEGER) AS page_no, CAST(j AS INTEGER) AS j
     FROM orders, range(1, 4) AS a(p), range(1, 4) AS b(j) WHERE p <= 1 + o_custkey % 3)"""
 
+PLACE = "CASE o_orderstatus WHEN 'O' THEN 'L' WHEN 'F' THEN 'Caféあ' ELSE 'カードラボ' || o_custkey END"
+
 CARD_ID = "(40000 + (o_custkey * 7 + i * 13) % 900)"
 
 # Cards of the deck pages: card 4 has no name, and a broken quantity at card 3 ends the deck of an order in progress.
@@ -230,8 +233,10 @@ ORACLES: dict[str, str] = {
     "catalog_items": f"""WITH {ITEMS} SELECT site, page_no, pos, country, product_name, release_date, code, link, image_url,
         card_only FROM items""",
     "price_enrich": f"WITH {ITEMS} SELECT page_no, pos, price_language, code, price FROM items",
-    "products_union_sorted": f"""WITH {PRODUCTS} SELECT CASE release_date WHEN '' THEN '9999-12-31' ELSE release_date END
-        AS sort_key, * FROM products""",
+    "products_union_sorted": f"""WITH {PRODUCTS}, keyed AS (
+        SELECT CASE release_date WHEN '' THEN '9999-12-31' ELSE release_date END AS sort_key, * FROM products)
+        SELECT * EXCLUDE (source_no, site_no, page_no, pos),
+        row_number() OVER (ORDER BY sort_key DESC, source_no, site_no, page_no, pos) AS position FROM keyed""",
     "missing_codes": f"""WITH {MISSING} SELECT card_id, max(card_name) AS card_name, count(*) AS occurrences FROM missing
         GROUP BY card_id""",
     "missing_code_files": f"WITH {MISSING} SELECT card_id, 'deck_' || deck_id || '.json' AS deck_file FROM missing",
@@ -252,9 +257,9 @@ ORACLES: dict[str, str] = {
         FROM cards LEFT JOIN codes ON cards.card_id = codes.card_id""",
     "backfill_report": f"""WITH {MISSING}, {CODES} SELECT count(DISTINCT missing.card_id) AS cards_updated,
         count(DISTINCT deck_id) AS files_updated FROM missing JOIN codes ON missing.card_id = codes.card_id""",
-    "backfill_documents": f"""WITH {DECK_CARDS}, {CODES}, known AS (
+    "backfill_documents": f"""WITH {DECK_CARDS}, {CODES}, known AS MATERIALIZED (
         SELECT CAST(CAST(card_id AS BIGINT) + 40000 AS VARCHAR) AS card_id, card_code AS new_code FROM codes),
-        joined AS (SELECT page_cards.*, new_code FROM page_cards LEFT JOIN known ON page_cards.card_id = known.card_id)
+        joined AS MATERIALIZED (SELECT page_cards.*, new_code FROM page_cards LEFT JOIN known ON page_cards.card_id = known.card_id)
         SELECT deck_id, pos, card_id, CASE WHEN card_code = '' THEN coalesce(new_code, '') ELSE card_code END AS card_code
         FROM joined WHERE deck_id IN (SELECT deck_id FROM joined WHERE card_code = '' AND new_code IS NOT NULL)""",
     "discover_ids": f"""WITH {LISTING} SELECT CAST(row_number() OVER (ORDER BY page_no, pos) AS INTEGER) AS position, event_id
@@ -276,12 +281,12 @@ ORACLES: dict[str, str] = {
     "page_links": """WITH tags AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages)
         SELECT page_id, CAST(unnest(range(len(hrefs))) AS INTEGER) AS pos, replace(unnest(hrefs), '&amp;', '&') AS href
         FROM tags""",
-    "event_headers": """SELECT 'https://players.example/event/detail/' || o_orderkey || '/result' AS event_url,
+    "event_headers": f"""SELECT 'https://players.example/event/detail/' || o_orderkey || '/result' AS event_url,
         CAST(o_orderkey AS VARCHAR) AS event_id,
         CASE WHEN o_orderstatus = 'F' THEN 'Top' ELSE 'Cup' || o_orderpriority END AS event_title,
         strftime(o_orderdate, '%Y-%m-%d') AS event_date, 'Host ' || o_custkey AS event_host,
         '〒123-4567 City ' || o_custkey AS event_address,
-        CASE o_orderstatus WHEN 'O' THEN 'L' ELSE 'カードラボ' || o_custkey END AS event_location FROM orders""",
+        {PLACE} AS event_location FROM orders""",
     "event_result_rows": f"""WITH {EVENT_ROWS} SELECT CAST(o_orderkey AS VARCHAR) AS event_id, page_no,
         CAST(j - 1 AS INTEGER) AS pos, ((page_no - 1) * 3 + j) || '位' AS rank, (o_custkey % 100) || 'pt' AS points,
         'nama' || j AS player_name, CAST(o_custkey * 10 + j AS VARCHAR) AS player_id, o_orderpriority AS player_area,
@@ -296,10 +301,41 @@ ORACLES: dict[str, str] = {
         'C' || event_id AS deck_code FROM document_results""",
     "flat_events": """SELECT o_orderpriority AS event_name, strftime(o_orderdate, '%Y-%m-%d') AS event_date,
         o_orderstatus AS event_location, 'u/' || o_orderkey AS event_url, '' AS event_type FROM orders""",
-    "event_scan_roundtrip": f"WITH {EVENT_DOCUMENTS} SELECT * EXCLUDE (event_url) FROM document_results",
-    "deck_scan_roundtrip": f"WITH {DECK_CARDS} SELECT * EXCLUDE (deck_code) FROM page_cards",
-    "deck_scan_tolerant": """SELECT 'D' || o_orderkey AS deck_id,
+    "event_scan_roundtrip": """SELECT CAST(s_suppkey AS VARCHAR) AS event_id,
+        CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '2025-01-02' END AS event_date, s_name AS event_title,
+        CAST(s_suppkey % 4 AS INTEGER) AS results, CAST(s_suppkey AS VARCHAR) AS folder FROM supplier""",
+    "deck_scan_roundtrip": """SELECT 'S' || s_suppkey AS deck_id, CAST(s_suppkey AS VARCHAR) AS event_id,
+        'deck=' || s_suppkey AS deck_file, CAST(s_suppkey AS VARCHAR) AS card_id, s_name AS card_name, '' AS card_code,
+        CAST(s_nationkey AS INTEGER) AS quantity, '' AS image_url FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0""",
+    "deck_scan_tolerant": """SELECT 'deck=' || s_suppkey AS deck_file,
+        CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 THEN 'rejected' ELSE 'read' END AS state FROM supplier""",
+    "code_cache_scan": """SELECT CAST(s_suppkey AS VARCHAR) AS card_id, s_name AS card_code FROM supplier
+        UNION SELECT 'n' || s_nationkey, 'N ' || s_nationkey FROM supplier""",
+    "products_csv_roundtrip": f"WITH {PRODUCTS} SELECT * EXCLUDE (source_no, site_no, page_no, pos) FROM products",
+    "event_counts_by_date": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS event_date, count(*) AS event_count FROM orders
+        JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
+    "host_counts": """SELECT c_name AS host, count(*) AS event_count FROM orders JOIN customer ON o_custkey = c_custkey
+        GROUP BY 1""",
+    "card_copies": f"""WITH {CARDS} SELECT CASE WHEN card_code <> '' THEN card_name || ' (' || card_code || ')'
+        ELSE card_name END AS card_key, CAST(sum(quantity) AS BIGINT) AS copies FROM cards GROUP BY 1""",
+    "archetype_counts_all": f"""WITH {KEY_CARDS} SELECT card_name AS key_card, count(*) AS deck_count FROM key_cards
+        WHERE rank = 1 GROUP BY card_name""",
+    "ingest_all_candidates": f"""WITH {AUDIT} SELECT o_orderkey AS position, event_id, status FROM audit
+        WHERE status <> 'complete' AND (status = 'partial' OR participants > 0)""",
+    "ingest_run": f"""SELECT CAST(o_orderkey AS VARCHAR) AS event_id,
+        CASE WHEN o_orderkey % 10 = 7 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS event_date,
+        {PLACE} AS event_location,
+        3 * (1 + o_custkey % 3) AS expected, 2 * (1 + o_custkey % 3) AS expected_named, 3 * (1 + o_custkey % 3) AS results,
+        CASE WHEN o_orderkey % 10 = 3 THEN 1 ELSE 2 END * (1 + o_custkey % 3) AS decks FROM orders""",
+    "backfill_run": f"""WITH {DECK_CARDS}, {CODES}, known AS MATERIALIZED (
+        SELECT CAST(CAST(card_id AS BIGINT) + 40000 AS VARCHAR) AS card_id, card_code AS new_code FROM codes)
+        SELECT deck_id, pos, page_cards.card_id,
+        CASE WHEN card_code = '' THEN coalesce(new_code, '') ELSE card_code END AS card_code
+        FROM page_cards LEFT JOIN known ON page_cards.card_id = known.card_id""",
+    "decoded_references": """SELECT page_id, 'éああ…&lt;&none; ' || replace(url, '&amp;', '&') AS text FROM pages""",
+    "event_lines_roundtrip": f"WITH {EVENT_DOCUMENTS} SELECT * EXCLUDE (event_url) FROM document_results",
+    "deck_lines_roundtrip": f"WITH {DECK_CARDS} SELECT * EXCLUDE (deck_code) FROM page_cards",
+    "deck_lines_tolerant": """SELECT 'D' || o_orderkey AS deck_id,
         CASE WHEN contains(CAST(o_orderkey AS VARCHAR), '7') THEN 'rejected' ELSE 'read' END AS state FROM orders""",
-    "code_cache_scan": f"WITH {CACHE} SELECT * FROM cache",
-    "products_csv_roundtrip": f"WITH {PRODUCTS} SELECT * FROM products",
+    "code_cache_lines": f"WITH {CACHE} SELECT * FROM cache",
 }

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from cardloom.functions import dates, markup, urls
 from cardloom.functions.cards import card_code_of, card_name_of
 from cardloom.functions.once import explode_once
+from cardloom.functions.text import decode_references
 from cardloom.operators import audit, codes, decks, events, paging, products, summaries
-from cardloom.plans import summary
+from cardloom.plans import backfill, ingest, summary
 from cardloom.plans.catalog import product_catalog
 from cardloom.schemas import DECK_DDL, EVENT_DDL
-from cardloom.session import fresh_path
+from cardloom.session import OPEN_STAGES, fresh_path, numbered
 from cardloom.sinks import documents as sinks
 from cardloom.sources import documents as sources
 from cardloom.testbed import inputs
@@ -47,6 +48,16 @@ def events_in_range(spark, folder):
     return summaries.events_by_date(inputs.events(spark, folder), 10, "1996-01-01", "1998-12-31")
 
 
+@query
+def event_counts_by_date(spark, folder):
+    return summaries.events_by_date(inputs.events(spark, folder), None)
+
+
+@query
+def host_counts(spark, folder):
+    return summaries.top_hosts(inputs.events(spark, folder), None, None)
+
+
 @query
 def top_hosts(spark, folder):
     # a prefix that merges customers, as the cut merges hosts
@@ -104,6 +115,16 @@ def card_usage(spark, folder):
     return summaries.card_usage(inputs.cards(spark, folder))
 
 
+@query
+def card_copies(spark, folder):
+    return summaries.card_usage(inputs.cards(spark, folder), None)
+
+
+@query
+def archetype_counts_all(spark, folder):
+    return summaries.deck_archetypes(inputs.cards(spark, folder), None, ENERGY_STAND_INS)
+
+
 def _deck_totals(spark, folder):
     totals = summaries.deck_card_totals(inputs.cards(spark, folder))
     return inputs.decks(spark, folder).join(totals, "deck_id", "left").fillna(0, ["copies", "entries"])
@@ -164,7 +185,7 @@ def norm_dates(spark, folder):
 
 @query
 def url_code(spark, folder):
-    return inputs.spread_table(spark, folder, "pages", "page_id").select("page_id", urls.query_value(F.col("url"), "page").alias("code"))
+    return inputs.spread_table(spark, folder, "pages").select("page_id", urls.query_value(F.col("url"), "page").alias("code"))
 
 
 @query
@@ -219,7 +240,9 @@ def _catalog(spark, folder):
 
 @query
 def products_union_sorted(spark, folder):
-    return products.sort_products(_catalog(spark, folder))
+    """The sorted products, each with its place in the order."""
+    unsorted = OPEN_STAGES.write(_catalog(spark, folder), "products-unsorted")
+    return numbered(OPEN_STAGES, products.sort_products(unsorted), "products")
 
 
 # ---- card codes ------------------------------------------------------------------------------------------------------
@@ -281,6 +304,21 @@ def backfill_documents(spark, folder):
     return decks.cards_of(changed).select("deck_id", "pos", "card_id", "card_code")
 
 
+@query
+def backfill_run(spark, folder):
+    """The store after a back-fill in place."""
+    store, cache_path = fresh_path(spark, "decks"), fresh_path(spark, "cache")
+    moved = lambda t: t.withColumn("card_id", (F.col("card_id").cast("bigint") + 40000).cast("string"))
+    documents = decks.parse_deck_pages(inputs.deck_pages(spark, folder))
+    documents = documents.withColumn("deck_file", F.col("deck_id")).withColumn("shard", F.substring("deck_id", 2, 1))
+    sinks.write_documents(documents, store, "shard")
+    backfill.run_backfill(
+        spark, store, moved(inputs.code_cache(spark, folder)), moved(inputs.code_pages(spark, folder)), cache_path, "shard"
+    )
+    read, _ = sources.read_document_lines(spark, store, f"{DECK_DDL}, deck_file string", "shard_folder")
+    return decks.cards_of(read).select("deck_id", "pos", "card_id", "card_code")
+
+
 # ---- ingest ----------------------------------------------------------------------------------------------------------
 
 
@@ -306,10 +344,31 @@ def ingest_audit(spark, folder):
 
 @query
 def ingest_candidates(spark, folder):
+    landed = inputs.events_with_counts(spark, folder).selectExpr("event_id", "participants as landed")
+    return audit.ingest_candidates(_audit(spark, folder, "o_orderkey as position"), landed, 50)
+
+
+@query
+def ingest_all_candidates(spark, folder):
     landed = inputs.events_with_counts(spark, folder).selectExpr("event_id", "participants as landed")
     return audit.ingest_candidates(_audit(spark, folder, "o_orderkey as position"), landed)
 
 
+@query
+def ingest_run(spark, folder):
+    """The store after a run and a run again."""
+    store = fresh_path(spark, "store")
+    landed = (
+        inputs.order_listing(spark, folder), inputs.landed_event_pages(spark, folder), inputs.order_deck_pages(spark, folder)
+    )
+    for _ in range(2):
+        ingest.run_ingest(spark, *landed, store)
+    events, results, decks = ingest.stored(spark, store)
+    counts = lambda table, name: table.groupBy("event_id").agg(F.count("*").alias(name))
+    joined = events.join(counts(results, "results"), "event_id", "left").join(counts(decks, "decks"), "event_id", "left")
+    return joined.select("event_id", "event_date", "event_location", "expected", "expected_named", "results", "decks")
+
+
 @query
 def missing_decks(spark, folder):
     results = inputs.result_keys(spark, folder).drop("flag")
@@ -321,13 +380,13 @@ def missing_decks(spark, folder):
 
 @query
 def page_text(spark, folder):
-    return inputs.spread_table(spark, folder, "pages", "page_id").select("page_id", markup.stripped_text(F.col("html")).alias("text"))
+    return inputs.spread_table(spark, folder, "pages").select("page_id", markup.stripped_text(F.col("html")).alias("text"))
 
 
 @query
 def page_header(spark, folder):
     html = F.col("html")
-    return inputs.spread_table(spark, folder, "pages", "page_id").select(
+    return inputs.spread_table(spark, folder, "pages").select(
         "page_id",
         markup.stripped_text(markup.inner(html, "title")).alias("title"),
         markup.stripped_text(markup.inner(html, "h1")).alias("h1"),
@@ -338,7 +397,7 @@ def page_header(spark, folder):
 @query
 def page_links(spark, folder):
     links = F.transform(markup.tags_of(F.col("html"), "a"), lambda tag: markup.attribute(tag, "href"))
-    return explode_once(inputs.spread_table(spark, folder, "pages", "page_id"), ["page_id"], links, "pos", "href")
+    return explode_once(inputs.spread_table(spark, folder, "pages"), ["page_id"], links, "pos", "href")
 
 
 @query
@@ -373,29 +432,73 @@ def flat_events(spark, folder):
     return decks.flat_events(inputs.event_documents(spark, folder))
 
 
+@query
+def decoded_references(spark, folder):
+    pages = inputs.spread_table(spark, folder, "pages")
+    raw = F.concat(F.lit("&eacute;&#12354;&#x3042;&hellip;&amp;lt;&none; "), F.col("url"))
+    return pages.select("page_id", decode_references(raw).alias("text"))
+
+
 # ---- file round trips ------------------------------------------------------------------------------------------------
 
 
+def _one_file_each(table, key, path):
+    """One text file per row, each in a folder of its own."""
+    table.repartition(key).write.partitionBy(key).text(path)
+    return path
+
+
 @query
 def event_scan_roundtrip(spark, folder):
+    path = _one_file_each(inputs.supplier_event_documents(spark, folder), "event", fresh_path(spark, "events"))
+    read = sources.read_event_documents(spark, path, "event=*/*.txt")
+    place = F.regexp_extract("folder", "event=([^/]*)$", 1).alias("folder")
+    return read.select("event_id", "event_date", "event_title", F.size("results").alias("results"), place)
+
+
+@query
+def deck_scan_roundtrip(spark, folder):
+    whole = inputs.supplier_deck_documents(spark, folder).where("deck % 5 <> 0 and deck % 7 <> 0")
+    path = _one_file_each(whole, "deck", fresh_path(spark, "decks"))
+    read = sources.read_deck_documents(spark, path, "deck=*/*.txt", "deck=([^/]*)/[^/]*$")
+    file = F.regexp_extract("deck_file", "(deck=[^/]*)/[^/]*$", 1).alias("deck_file")
+    return read.select("deck_id", "event_id", file, F.explode("cards").alias("c")).select("deck_id", "event_id", "deck_file", "c.*")
+
+
+@query
+def deck_scan_tolerant(spark, folder):
+    path = _one_file_each(inputs.supplier_deck_documents(spark, folder), "deck", fresh_path(spark, "decks"))
+    good, bad = sources.read_deck_documents_tolerant(spark, path, "deck=*/*.txt", "deck=([^/]*)/[^/]*$")
+    file = F.regexp_extract("deck_file", "(deck=[^/]*)/[^/]*$", 1).alias("deck_file")
+    return good.select(file, F.lit("read").alias("state")).unionByName(bad.select(file, F.lit("rejected").alias("state")))
+
+
+@query
+def code_cache_scan(spark, folder):
+    path = _one_file_each(inputs.supplier_code_objects(spark, folder), "part", fresh_path(spark, "cache"))
+    return sources.read_code_cache(spark, f"{path}/part=*/*.txt", layout="object")
+
+
+@query
+def event_lines_roundtrip(spark, folder):
     path = fresh_path(spark, "events")
     sinks.write_documents(inputs.event_documents(spark, folder), path, "event_year")
-    read, _ = sources.read_document_lines(spark, path, EVENT_DDL, "event_year")
+    read, _ = sources.read_document_lines(spark, path, EVENT_DDL, "event_year_folder")
     return events.results_of(read)
 
 
 @query
-def deck_scan_roundtrip(spark, folder):
+def deck_lines_roundtrip(spark, folder):
     path = fresh_path(spark, "decks")
     documents = decks.parse_deck_pages(inputs.deck_pages(spark, folder))
     prefix = F.left(F.regexp_extract("deck_id", r"(\d+)", 1), F.lit(1))
     sinks.write_documents(documents.withColumn("shard", prefix), path, "shard")
-    read, _ = sources.read_document_lines(spark, path, DECK_DDL, "shard")
+    read, _ = sources.read_document_lines(spark, path, DECK_DDL, "shard_folder")
     return decks.cards_of(read)
 
 
 def _half_broken_lines(spark, folder) -> str:
-    """Deck documents as lines, those of decks in progress cut in the middle."""
+    """Deck documents as lines, those whose id holds a 7 cut in the middle."""
     path = fresh_path(spark, "deck-lines")
     documents = decks.parse_deck_pages(inputs.deck_pages(spark, folder))
     line = F.to_json(F.struct(*documents.columns))
@@ -406,7 +509,7 @@ def _half_broken_lines(spark, folder) -> str:
 
 
 @query
-def deck_scan_tolerant(spark, folder):
+def deck_lines_tolerant(spark, folder):
     good, bad = sources.read_document_lines(spark, _half_broken_lines(spark, folder), DECK_DDL)
     return good.select("deck_id", F.lit("read").alias("state")).unionByName(
         bad.select(F.regexp_extract("text", '"deck_id":"([^"]*)"', 1).alias("deck_id"), F.lit("rejected").alias("state"))
@@ -414,7 +517,7 @@ def deck_scan_tolerant(spark, folder):
 
 
 @query
-def code_cache_scan(spark, folder):
+def code_cache_lines(spark, folder):
     path = fresh_path(spark, "cache")
     sinks.write_code_cache(inputs.code_cache(spark, folder), path)
     return sources.read_code_cache(spark, path, layout="lines")

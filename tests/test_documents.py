@@ -4,6 +4,7 @@ import csv
 import glob
 import io
 import json
+import os
 
 import pytest
 
@@ -63,14 +64,14 @@ def test_broken_files(spark, folder):
         sources.read_deck_documents(spark, str(folder)).collect()
     good, bad = sources.read_deck_documents_tolerant(spark, str(folder))
     assert sorted((r["deck_id"], r["event_id"]) for r in good.collect()) == [("A", "848638"), ("B", "848639")]
-    assert sorted(r["deck_file"].rsplit("/")[-1] for r in bad.collect()) == ["deck_2nd_C.json"]
+    assert sorted(r["deck_file"].rsplit("/")[-1] for r in bad.collect()) == ["deck_2nd_C.json", "deck_D.json"]
 
 
 def test_code_cache(spark, tmp_path):
     path = tmp_path / "cache.json"
-    write(path, {"47198": "SVN 023/045", "47281": "SVOD 010/018"})
+    write(path, {"31": "ABC 001/050", "32": "XYZ 020/060"})
     cache = sources.read_code_cache(spark, str(path))
-    assert dict(map(tuple, cache.collect())) == {"47198": "SVN 023/045", "47281": "SVOD 010/018"}
+    assert dict(map(tuple, cache.collect())) == {"31": "ABC 001/050", "32": "XYZ 020/060"}
     sinks.write_code_cache(cache, str(tmp_path / "new"))
     again = sources.read_code_cache(spark, str(tmp_path / "new"), layout="lines")
     assert sorted(again.collect()) == sorted(cache.collect())
@@ -116,7 +117,7 @@ def test_documents_by_partition_replace_only_their_partitions(spark, tmp_path):
     sinks.write_documents(spark.createDataFrame(rows, schema), path)
     changed = spark.createDataFrame([("u", "C", "c", [], "e2", "2025-01-02")], schema)
     sinks.write_documents(changed, path)
-    read, bad = sources.read_document_lines(spark, path, f"{DECK_DDL}, event_id string", "event_date")
+    read, bad = sources.read_document_lines(spark, path, f"{DECK_DDL}, event_id string, event_date string")
     assert sorted((r["deck_id"], r["event_date"], len(r["cards"])) for r in read.collect()) == [
         ("A", "2025-01-01", 1), ("C", "2025-01-02", 0),
     ]
@@ -135,30 +136,50 @@ def test_landed_pages(spark, tmp_path):
     assert [tuple(r) for r in landed.read_listing_pages(spark, f"{tmp_path}/site/en/*.html").collect()] == [(2, "<p>2</p>\n")]
 
 
-def test_spread_leaves_wide_tables_alone(spark):
-    wide = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism)
-    assert landed.spread(wide, "id") is wide
-    assert landed.spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_event_pages(spark, tmp_path):
+    write(tmp_path / "events" / "77" / "2.html", "<p>e</p>")
+    (row,) = landed.read_event_pages(spark, f"{tmp_path}/events/*/*.html").collect()
+    assert (event_id(row["event_url"]), row["page_no"], row["html"]) == ("77", 2, "<p>e</p>")
+
+
+def event_id(url):
+    return url.split("/event/detail/")[1].split("/")[0]
+
+
+def test_spread_has_one_plan_for_all_sizes(spark):
+    for partitions in (1, 64):
+        plan = landed.spread(spark.range(0, 100, 1, partitions))._jdf.queryExecution().toString()
+        assert "RoundRobinPartitioning" in plan and "hashpartitioning" not in plan
+
+
+def test_blank_and_missing_dates_survive_storage(spark, tmp_path):
+    schema = f"{DECK_DDL}, event_date string"
+    rows = [("u", name, "", [], date) for name, date in (("A", ""), ("B", None), ("C", "2025-01-01"))]
+    sinks.write_documents(spark.createDataFrame(rows, schema), str(tmp_path / "d"))
+    read, _ = sources.read_document_lines(spark, str(tmp_path / "d"), schema)
+    assert sorted((r["deck_id"], r["event_date"]) for r in read.collect()) == [("A", ""), ("B", None), ("C", "2025-01-01")]
 
 
 class FakeSession:
     """As much of a session as the shared folder needs."""
 
-    def __init__(self, configured, master):
-        self.conf = {"spark.checkpoint.dir": configured} if configured else {}
-        self.sparkContext, self.master, self.folder = self, master, None
+    def __init__(self, **conf):
+        self.conf, self.sparkContext = conf, self
 
     def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
+        return None
 
 
 def test_shared_folder_comes_from_the_session(tmp_path):
-    path = session.fresh_path(FakeSession(str(tmp_path), "spark://x"), "x")
-    assert path.startswith(str(tmp_path)) and path != session.fresh_path(FakeSession(str(tmp_path), "spark://x"), "x")
-    local = FakeSession(None, "local[2]")
-    assert session.shared_folder(local) == session.shared_folder(local) == local.folder
-    with pytest.raises(ValueError):
-        session.shared_folder(FakeSession(None, "spark://x"))
+    made = FakeSession(**{"spark.checkpoint.dir": str(tmp_path)})
+    path = session.fresh_path(made, "x")
+    assert path.startswith(str(tmp_path)) and path != session.fresh_path(made, "x")
+    assert session.shared_folder(FakeSession(**{"spark.sql.warehouse.dir": "hdfs://w/"})) == "hdfs://w/cardloom-stages"
+
+
+def test_stages_are_dropped(spark):
+    with session.Stages() as stages:
+        table = stages.write(spark.range(5), "five")
+        path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert table.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)

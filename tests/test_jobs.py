@@ -1,7 +1,7 @@
-"""Composite jobs: results against plain Python, and running again changes nothing."""
+"""Composite jobs: golden rows, and running again changes nothing."""
 
-import random
-from collections import Counter, defaultdict
+import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,34 +9,28 @@ from pyspark.sql import functions as F
 from cardloom.operators import audit, codes, decks, summaries
 from cardloom.plans import backfill, catalog, ingest, summary
 from cardloom.schemas import DECK_DDL, EVENT_DDL, STORED_RESULTS_DDL
-from cardloom.sources.documents import read_code_cache
-
-ENERGY = "基本エネルギー"
-
-
-def make_documents(seed=5):
-    random.seed(seed)
-    events, deck_rows = [], []
-    for e in range(12):
-        results = []
-        for p in range(random.randint(0, 6)):
-            player = random.choice(["", "1", "2", "3", "4"])
-            results.append((f"{p + 1}位", "1pt", f"name{e}{p}", player, f"area{p}", "", f"D{e}-{p}"))
-        events.append(("u", f"{e:02d}", "t", f"2025-01-{1 + e // 2:02d}", f"host{e % 3}", "", "", results))
-    for d in range(30):
-        names = [random.choice(["a", "b", "c", "", ENERGY, "Fire Energy"]) for _ in range(random.randint(0, 8))]
-        cards = [(str(random.randint(1, 9)), n, random.choice(["", "X 001/002"]), random.randint(1, 4), "") for n in names]
-        deck_rows.append(("u", f"d{d:02d}", "", cards))
-    return events, deck_rows
+from cardloom.sinks.documents import write_documents
+from cardloom.sources.documents import read_code_cache, read_document_lines
+
+EVENTS = [
+    ("u", "01", "t", "2025-01-01", "north", "", "", [
+        ("1位", "9pt", "Ann", "1", "east", "", "d1"), ("2位", "5pt", "Bob", "2", "west", "", "d2"), ("3位", "1pt", "?", "", "", "", "")]),
+    ("u", "02", "t", "2025-01-01", "south", "", "", []),
+    ("u", "03", "t", "2025-01-03", "north", "", "", [
+        ("1位", "9pt", "Bob B", "2", "west", "", "d3"), ("2位", "5pt", "Ann", "1", "south", "", "d1")]),
+    ("u", "04", "t", "2025-01-02", "north", "", "", [("1位", "9pt", "Bobby", "2", "north", "", "d2")]),
+]
+DECKS = [
+    ("u", "d1", "", [("1", "Fox", "X 001/002", 2, ""), ("2", "Owl", "", 3, ""), ("3", "Fox", "Y 001/002", 2, "")]),
+    ("u", "d2", "", [("4", "基本エネルギー", "", 9, ""), ("2", "Owl", "", 1, ""), ("5", "Elk", "", 1, ""), ("6", "Fire Energy", "", 4, "")]),
+    ("u", "d3", "", [("7", "", "", 4, ""), ("1", "Fox", "X 001/002", 1, "")]),
+    ("u", "d4", "", []),
+]
 
 
 @pytest.fixture(scope="module")
 def documents(spark):
-    events, deck_rows = make_documents()
-    return (
-        events, deck_rows, spark.createDataFrame(events, EVENT_DDL).repartition(3),
-        spark.createDataFrame(deck_rows, DECK_DDL).repartition(3),
-    )
+    return spark.createDataFrame(EVENTS, EVENT_DDL).repartition(3), spark.createDataFrame(DECKS, DECK_DDL).repartition(3)
 
 
 def rows(table):
@@ -44,76 +38,49 @@ def rows(table):
 
 
 def test_event_and_player_reports(documents):
-    events, _, table, deck_table = documents
-    reports = summary.summarize(table, deck_table)
-    people = sum(len(e[7]) for e in events)
-    assert rows(reports["event_totals"]) == [(len(events), people, round(people / len(events), 1))]
-    by_date = Counter(e[3] for e in events)
-    assert rows(reports["events_by_date"]) == sorted(by_date.items(), reverse=True)[:10]
-    hosts = Counter(e[4] for e in events)
-    assert rows(reports["top_hosts"]) == sorted(hosts.items(), key=lambda x: (-x[1], x[0]))
-    stats = defaultdict(lambda: {"events": [], "ranks": [], "decks": []})
-    for e in events:
-        for rank, _, name, player, area, _, deck_id in e[7]:
-            if player:
-                stats[player].update(name=name, area=area)
-                stats[player]["events"].append(e[1])
-                stats[player]["ranks"].append(rank)
-                stats[player]["decks"].append(deck_id)
-    expected = sorted((p, s["name"], s["area"], len(s["events"]), s["ranks"].count("1位")) for p, s in stats.items())
-    assert sorted(rows(reports["player_stats"])) == expected
-    history = reports["player_appearances"].orderBy("event_date", "event_id", "pos").collect()
-    for player, s in stats.items():
-        own = [r for r in history if r["player_id"] == player]
-        assert [r["event_id"] for r in own] == s["events"]
-        assert [r["rank"] for r in own] == s["ranks"] and [r["deck_id"] for r in own] == s["decks"]
-    assert rows(reports["player_total"]) == [(len(stats),)]
-    winners = sorted(((p, n, a, w) for p, n, a, _, w in expected if w), key=lambda x: (-x[3], x[0]))
-    assert rows(reports["first_places"]) == [(i, *w) for i, w in enumerate(winners, 1)]
-    assert rows(reports["first_place_total"]) == [(len(winners),)]
-    top = sorted(((p, n, a, c) for p, n, a, c, _ in expected), key=lambda x: (-x[3], x[0]))
-    assert rows(reports["top_players"]) == [(i, *t) for i, t in enumerate(top, 1)]
+    reports = summary.summarize(*documents)
+    assert rows(reports["event_totals"]) == [(4, 6, 1.5)]
+    assert rows(reports["events_by_date"]) == [("2025-01-03", 1), ("2025-01-02", 1), ("2025-01-01", 2)]
+    assert rows(reports["top_hosts"]) == [("north", 3), ("south", 1)]
+    assert sorted(rows(reports["player_stats"])) == [("1", "Ann", "south", 2, 1), ("2", "Bob B", "west", 3, 2)]
+    assert sorted(rows(reports["player_appearances"])) == [
+        ("1", "2025-01-01", "01", 0, "1位", "d1"), ("1", "2025-01-03", "03", 1, "2位", "d1"),
+        ("2", "2025-01-01", "01", 1, "2位", "d2"), ("2", "2025-01-02", "04", 0, "1位", "d2"),
+        ("2", "2025-01-03", "03", 0, "1位", "d3"),
+    ]
+    assert rows(reports["player_total"]) == [(2,)] and rows(reports["first_place_total"]) == [(2,)]
+    assert rows(reports["first_places"]) == [(1, "2", "Bob B", "west", 2), (2, "1", "Ann", "south", 1)]
+    assert rows(reports["top_players"]) == [(1, "2", "Bob B", "west", 3), (2, "1", "Ann", "south", 2)]
 
 
 def test_deck_reports(documents):
-    _, deck_rows, table, deck_table = documents
-    reports = summary.summarize(table, deck_table)
-    usage = Counter()
-    for *_, cards in deck_rows:
-        for _, name, code, quantity, _ in cards:
-            if name:
-                usage[f"{name} ({code})" if code else name] += quantity
-    assert rows(reports["card_usage"]) == sorted(usage.items(), key=lambda x: (-x[1], x[0]))[:30]
-    sizes = [len(cards) for *_, cards in deck_rows]
-    (found,) = rows(reports["deck_size_stats"])
-    assert found[0] == len(sizes) and found[2:4] == (min(sizes), max(sizes))
-    assert abs(found[1] - sum(sizes) / len(sizes)) <= 0.05 and found[4] == found[1]
-    totals = {d: (sum(c[3] for c in cards), len(cards)) for _, d, _, cards in deck_rows}
-    assert {r[0]: r[1:] for r in rows(reports["deck_card_totals"])} == totals
-
-
-def leading(cards, k):
-    counts = {}
-    for _, name, _, quantity, _ in cards:
-        if name and "エネルギー" not in name and "Energy" not in name:
-            counts[name] = counts.get(name, 0) + quantity
-    return sorted(counts.items(), key=lambda x: -x[1])[:k]
+    reports = summary.summarize(*documents)
+    assert rows(reports["card_usage"]) == [
+        ("基本エネルギー", 9), ("Fire Energy", 4), ("Owl", 4), ("Fox (X 001/002)", 3), ("Fox (Y 001/002)", 2), ("Elk", 1),
+    ]
+    assert rows(reports["deck_size_stats"]) == [(4, 2.3, 0, 4, 2.3)]
+    assert sorted(rows(reports["deck_card_totals"])) == [("d1", 7, 3), ("d2", 15, 4), ("d3", 5, 2), ("d4", 0, 0)]
 
 
 def test_key_cards_flat_and_in_documents(documents):
-    _, deck_rows, _, deck_table = documents
-    expected = {d: leading(cards, 3) for _, d, _, cards in deck_rows}
-    flat = defaultdict(dict)
-    for deck_id, rank, name, copies in rows(summaries.deck_key_cards(decks.cards_of(deck_table))):
-        flat[deck_id][rank] = (name, copies)
-    assert {d: [flat[d][r] for r in sorted(flat[d])] for d in expected} == expected
-    nested = deck_table.select("deck_id", decks.key_cards_in(F.col("cards"), 3).alias("top")).collect()
-    assert {r["deck_id"]: [(t["card_name"], t["copies"]) for t in r["top"]] for r in nested} == expected
-    archetypes = Counter(top[0][0] for top in expected.values() if top)
-    ordered = sorted(archetypes.items(), key=lambda x: (-x[1], x[0]))
-    assert rows(summary.summarize_deck_archetypes(deck_table)) == ordered
-    assert rows(summaries.deck_archetypes(decks.cards_of(deck_table))) == ordered
-    assert sum(n for _, n in ordered) <= len(deck_rows)
+    _, table = documents
+    assert sorted(rows(summaries.deck_key_cards(decks.cards_of(table)))) == [
+        ("d1", 1, "Fox", 4), ("d1", 2, "Owl", 3), ("d2", 1, "Owl", 1), ("d2", 2, "Elk", 1), ("d3", 1, "Fox", 1),
+    ]
+    nested = table.select("deck_id", decks.key_cards_in(F.col("cards"), 3).alias("top")).collect()
+    assert {r["deck_id"]: [(t["card_name"], t["copies"]) for t in r["top"]] for r in nested} == {
+        "d1": [("Fox", 4), ("Owl", 3)], "d2": [("Owl", 1), ("Elk", 1)], "d3": [("Fox", 1)], "d4": [],
+    }
+    assert rows(summary.summarize_deck_archetypes(table)) == [("Fox", 2), ("Owl", 1)]
+    assert rows(summaries.deck_archetypes(decks.cards_of(table))) == [("Fox", 2), ("Owl", 1)]
+
+
+def test_limits_are_optional(documents):
+    table, deck_table = documents
+    assert sorted(rows(summaries.events_by_date(table, None))) == [("2025-01-01", 2), ("2025-01-02", 1), ("2025-01-03", 1)]
+    assert rows(summaries.top_hosts(table, 1, 3)) == [("nor", 3)] and len(rows(summaries.top_hosts(table, None, None))) == 2
+    assert len(rows(summaries.card_usage(decks.cards_of(deck_table), None))) == 6
+    assert sorted(rows(summaries.deck_archetypes(decks.cards_of(deck_table), None))) == [("Fox", 2), ("Owl", 1)]
 
 
 def test_empty_inputs(spark):
@@ -175,17 +142,26 @@ def test_backfill_plan(spark):
     assert filled.count() == cards.count() and filled.where("filled").count() == 4
 
 
-def test_backfill_run_again_fills_nothing(spark, tmp_path):
+def test_backfill_run_fills_the_store_and_again_nothing(spark, tmp_path):
     cache, pages = backfill_inputs(spark)
-    documents = deck_documents(spark)
-    report = backfill.run_backfill(spark, documents, cache, pages, f"{tmp_path}/cache", f"{tmp_path}/decks")
+    store = f"{tmp_path}/decks"
+    day = F.when(F.col("deck_id").isin("A", "B"), "").otherwise("2025-01-02")
+    write_documents(deck_documents(spark).withColumn("event_date", day), store)
+    untouched = {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{store}/*/part-*")}
+    report = backfill.run_backfill(spark, store, cache, pages, f"{tmp_path}/cache", "event_date")
     assert rows(report) == [(3, 2)]
+    schema = f"{DECK_DDL}, deck_file string, event_date string"
+    read = lambda: read_document_lines(spark, store, schema)[0]
+    found = {r["deck_file"]: ([c["card_code"] for c in r["cards"]], r["event_date"]) for r in read().collect()}
+    assert found == {
+        "fa": (["ONE 001/001", "OLD 001/002", "THREE 003/003", "ONE 001/001"], ""), "fb": (["OLD 001/002"], ""),
+        "fc": (["FOUR 004/004", ""], "2025-01-02"), "fd": ([""], "2025-01-02"),
+    }
+    assert not set(untouched) & set(glob.glob(f"{store}/*/part-*"))
+    before = {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{store}/*/part-*")}
     saved = read_code_cache(spark, f"{tmp_path}/cache", "lines")
-    rewritten = spark.read.schema(f"{DECK_DDL}, deck_file string").json(f"{tmp_path}/decks")
-    merged = codes.with_changes(documents, rewritten)
-    assert merged.count() == documents.count()
-    again = backfill.plan_backfill(merged, saved, pages)
-    assert rows(again.report) == [(0, 0)] and again.changed.count() == 0
+    assert rows(backfill.run_backfill(spark, store, saved, pages, f"{tmp_path}/cache2", "event_date")) == [(0, 0)]
+    assert {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{store}/*/part-*")} == before
 
 
 def test_backfill_with_copies_of_a_document(spark):
@@ -250,6 +226,29 @@ def test_ingest_after_a_lost_run(spark, tmp_path):
     assert [sorted(rows(t)) for t in ingest.stored(spark, broken)] == [sorted(rows(t)) for t in ingest.stored(spark, whole)]
 
 
+def test_ingest_with_copies_and_blank_dates(spark, tmp_path):
+    listing, pages, deck_pages = landed(spark)
+    blank = pages.withColumn("html", F.regexp_replace("html", "2025年1月5日", ""))
+    ingest.run_ingest(spark, listing.unionAll(listing), blank.unionAll(blank), deck_pages.unionAll(deck_pages), str(tmp_path))
+    events, results, deck_table = ingest.stored(spark, str(tmp_path))
+    assert dict(rows(events.where("event_id < '107'").select("event_id", "event_date"))) == {
+        "103": "2025-01-03", "105": "", "106": "2025-01-06",
+    }
+    assert events.count() == 7 and results.count() == 14 and deck_table.count() == 13
+    assert set(rows(events.select("expected", "expected_named"))) == {(2, 2)}
+
+
+def test_blank_ids_need_not_count(spark, tmp_path):
+    listing, pages, deck_pages = landed(spark)
+    nameless = pages.withColumn("html", F.regexp_replace("html", "D103-2", ""))
+    nameless = nameless.withColumn("html", F.regexp_replace("html", '<a href="/deck/confirm.html/deckID/">d</a>', ""))
+    ingest.run_ingest(spark, listing, nameless, deck_pages, str(tmp_path))
+    counted = ingest.run_ingest(spark, listing, nameless, deck_pages, str(tmp_path))
+    assert sorted(r["event_id"] for r in counted.collect()) == ["103", "105"]
+    named = ingest.run_ingest(spark, listing, nameless, deck_pages, str(tmp_path), count_blank_ids=False)
+    assert [r["event_id"] for r in named.collect()] == ["105"]
+
+
 def test_audit_statuses(spark):
     listed = spark.createDataFrame([(str(n),) for n in range(6)], "event_id string")
     stored = spark.createDataFrame([("0", 2), ("1", 2), ("2", 0), ("3", 0)], "event_id string, expected bigint")

@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from cardloom.constants import HONG_KONG_BASE_URL, JAPAN_BASE_URL
+from cardloom.functions import markup
+from cardloom.functions.text import decode_references
 from cardloom.operators import codes, decks, events, paging, products
+from cardloom.session import Stages
 
 ITEM = (
     '<li class="expansion"><a class="expansionLink" href="/hk/card-search/list/?expansionCodes=M1&amp;x=1">'
@@ -38,7 +41,7 @@ def test_catalog_item_fields(spark):
         '<li class="expansion"><a class="expansionLink" href=""></a><img src="https://i/x.png"></li>'
         '<li class="expansion"><span class="series">only series</span></li><li class="expansion"><p>x</p></li>'
     )
-    found = products.catalog_items(catalog(spark, [("zh", 1, page(ITEM + odd, ""))])).orderBy("pos").collect()
+    found = products.catalog_items(products.catalog_pages(catalog(spark, [("zh", 1, page(ITEM + odd, ""))]))).orderBy("pos").collect()
     first = found[0].asDict()
     assert first["product_name"] == "S - 超級進化" and first["release_date"] == "2025-11-14" and first["code"] == "M1"
     assert first["link"] == f"{HONG_KONG_BASE_URL}/hk/card-search/list/?expansionCodes=M1&x=1"
@@ -234,3 +237,106 @@ def test_discovery_counts_pages_without_links(spark):
     rows = [(1, '<a href="/event/detail/1">'), (2, "<p>none</p>"), (3, '<a href="/event/detail/2">')]
     found = paging.discover_event_ids(spark.createDataFrame(rows, "page_no int, html string"))
     assert [r["event_id"] for r in found.collect()] == ["1"]
+
+
+# ---- whole elements, comments, references ----------------------------------------------------------------------------
+
+
+def one(spark, html, column):
+    return spark.createDataFrame([(html,)], "html string").select(column.alias("out")).first()["out"]
+
+
+def event_page(spark, *bodies, url="https://p/event/detail/5/result"):
+    return spark.createDataFrame([(url, n, body) for n, body in bodies], "event_url string, page_no int, html string")
+
+
+def test_element_ends_where_its_depth_does(spark):
+    html = F.col("html")
+    page = "<div class='a'><div>1<div>2</div></div><div/>3<br></div><div>4</div>"
+    assert one(spark, page, markup.inner(html, "div", markup.has_class("a"))) == "<div>1<div>2</div></div><div/>3<br>"
+    assert one(spark, "<DIV class='a'>x<p>y", markup.inner(html, "div", markup.has_class("a"))) == "x<p>y"
+    assert one(spark, "<p>x</p>", markup.inner(html, "div")) == ""
+    items = "<ul><li class='e'>1<ul><li>2</li></ul>3</li><li>4</li><li class='e'>5</li></ul>"
+    assert one(spark, items, markup.inners(html, "li", markup.has_class("e"))) == ["1<ul><li>2</li></ul>3", "5"]
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert one(spark, deep, markup.inner(html, "div")) == deep[5:-6]
+
+
+def test_hidden_markup_is_no_page(spark):
+    html = F.col("html")
+    page = "a<!-- <p>x</p> --><script>'<p>y</p>'</script><STYLE>p{}</STYLE><p>z</p>"
+    assert one(spark, page, markup.visible(html)) == "a<p>z</p>"
+    assert one(spark, "<script>/*<!--*/</script>1<!--2-->3", markup.without_comments(html)) == "<script>/*<!--*/</script>13"
+
+
+def test_character_references(spark):
+    import html as standard
+
+    texts = ["Pok&eacute;mon &#12354; &#x3042;&hellip;", "&amp;lt; &amp;amp; &lt;", "&none; & &; &#; &#x; &#0; &#x110000; &#xD800;",
+             "&copy 1 &copyx &notit; &Aacute&aacute;", "&#128;&#150;&#128512;&NotEqualTilde;", "", "no reference"]
+    table = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    found = table.orderBy("n").select(decode_references(F.col("t")).alias("out")).collect()
+    assert [r["out"] for r in found] == [standard.unescape(t) for t in texts]
+
+
+def test_venue_with_children(spark):
+    body = '<div class="shop-info"><div>A</div><div>B</div></div>'
+    assert events.event_headers(event_page(spark, (1, body))).first()["event_location"] == "AB"
+
+
+def test_price_of_the_product_with_children(spark):
+    html = ('<section class="section-product"><p>建議零售價：9元</p><div class="data-product"><div>x</div>建議零售價：5元</div>'
+            "</section>")
+    pages = spark.createDataFrame([("hk", "c", html)], "lang string, code string, html string")
+    assert products.detail_prices(pages).first()["price"] == "5元"
+
+
+RESULT = '<tr><td>1位</td><td>1pt</td><td>pプレイヤーID：1</td><td></td><td></td></tr>'
+
+
+def test_commented_table_and_copies_and_gaps(spark):
+    table = f"<!-- <table><tr></tr></table> --><table><tr></tr>{RESULT}</table>"
+    more = table + '<button class="next">n</button>'
+    assert events.event_results(event_page(spark, (1, table))).count() == 1
+    assert events.event_results(event_page(spark, (1, more), (1, more), (2, table), (2, table))).count() == 2
+    assert events.event_results(event_page(spark, (1, more), (3, table))).count() == 1
+    assert events.event_results(event_page(spark, (2, more), (3, table))).count() == 0
+    assert events.event_headers(event_page(spark, (1, more), (1, more))).count() == 1
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    """What is scanned are the pages once, then slim rows."""
+    pages = event_page(spark, (1, f"<table><tr></tr>{RESULT}</table>"))
+    pages.write.parquet(f"{tmp_path}/pages")
+    stages = Stages()
+    found = events.event_results(spark.read.parquet(f"{tmp_path}/pages"), stages)
+    plan = found._jdf.queryExecution().toString()
+    assert f"{tmp_path}/pages" not in plan and "html" not in plan and found.count() == 1
+    stages.drop()
+
+
+def test_deck_code_behind_children(spark):
+    for html, code in (
+        ("<p>foo<br>【デッキコード】ABC</p><p>x</p>", "ABC"),
+        ("<p><b>foo</b>【デッキコード】ABC</p>", "ABC"),
+        ("<div><p>【デッキコード】<b>A<i>B</i></b>C</p>z</div>", "ABC"),
+        ("<!-- 【デッキコード】NO --><div><p><i>a</i><img>【デッキコード】AB</p>z</div>", "AB"),
+        ("<p>none</p>", ""),
+    ):
+        pages = spark.createDataFrame([("D", html)], "deck_id string, html string")
+        assert decks.parse_deck_pages(pages).first()["deck_code"] == code, html
+
+
+def test_api_gap_and_copies(spark):
+    body = '{"result":1,"maxPage":4,"products":[{"productTitle":"j"}]}'
+    pages = lambda *numbers: spark.createDataFrame([(n, body) for n in numbers], "page_no int, body string")
+    assert products.api_products(pages(1, 2, 2, 3)).count() == 3
+    assert products.api_products(pages(1, 2, 4)).count() == 2
+    assert products.api_products(pages(2, 3)).count() == 0
+
+
+def test_listing_gap(spark):
+    link = '<a href="/event/detail/{}/result">r</a>'
+    listing = lambda *numbers: spark.createDataFrame([(n, link.format(n)) for n in numbers], "page_no int, html string")
+    ids = lambda table: sorted(r["event_id"] for r in paging.discover_event_ids(table).collect())
+    assert ids(listing(1, 2, 4)) == ["1", "2"] and ids(listing(2, 3)) == [] and ids(listing(1, 1, 2)) == ["1", "2"]

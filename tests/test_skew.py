@@ -84,7 +84,8 @@ def test_missing_decks_split_a_hot_event(small_limits):
 
 def test_reading_stops_for_a_hot_event(small_limits):
     pages = hot(small_limits).select(F.col("key").alias("event_id"), F.col("id").alias("page_no"), F.lit("x").alias("results"))
-    stops = paging.reading_stops(pages, "event_id", F.col("page_no") == 29_000, F.col("page_no") == 15_000)
+    marked = pages.withColumns({"is_empty": F.col("page_no") == 29_000, "is_last": F.col("page_no") == 15_000})
+    stops = paging.reading_stops(marked, "event_id").withColumn("first_gap", F.lit(None).cast("long"))
     rows, plan = run(paging.read_until(pages, stops, "event_id"))
     # page 15000 is the hot event's last page, page 29000 an empty one of event 1000
     keys = [(n, "hot" if n % 3 == 0 else str(n % 2000)) for n in range(ROWS)]
