@@ -50,8 +50,12 @@ def decode_references(text: Column) -> Column:
     The text is cut in front of every ``&``; each piece then starts with at most one reference, is decoded by itself and
     joined again, so nothing decodes twice. Texts without ``&`` are left alone.
     """
-    pieces = F.split(text, "(?=&)")
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, _decoded), "")).otherwise(text)
+
+    def decode(bound: Column) -> Column:
+        pieces = F.transform(F.split(bound, "(?=&)"), _decoded)
+        return F.when(F.contains(bound, F.lit("&")), F.array_join(pieces, "")).otherwise(bound)
+
+    return let(text, decode)
 
 
 # A reference by name or number. Names without a semicolon are the few old ones that browsers know that way.
@@ -87,18 +91,26 @@ def _character_and_rest(parts: Column) -> Column:
 _BUCKETS, _LINE, _IS = 16, "\x01", "\x02"
 
 
-def _named(name: Column) -> Column:
+def _dealt() -> list[str]:
     dealt = [_LINE] * _BUCKETS
     for key, character in html5.items():
         dealt[zlib.crc32(key.encode()) % _BUCKETS] += f"{key}{_IS}{character}{_LINE}"
-    lines = F.get(F.array(*map(F.lit, dealt)), (F.crc32(name) % _BUCKETS).cast("int"))
+    return dealt
+
+
+_NAMES = _dealt()
+
+
+def _named(name: Column) -> Column:
+    lines = F.get(F.array(*map(F.lit, _NAMES)), (F.crc32(name) % _BUCKETS).cast("int"))
     start = F.concat(F.lit(_LINE), name, F.lit(_IS))
-    return F.when(F.contains(lines, start), F.split_part(F.split_part(lines, start, F.lit(2)), F.lit(_LINE), F.lit(1)))
+    found = F.split_part(F.split_part(lines, start, F.lit(2)), F.lit(_LINE), F.lit(1))
+    return F.nullif(found, F.lit(""))
 
 
 def _character(number: Column) -> Column:
     """The character of a code point, U+FFFD for those that are none; 128 to 159 count as Windows-1252."""
-    odd = F.try_element_at(F.create_map(*[F.lit(x) for pair in _WINDOWS.items() for x in pair]), number)
+    odd = F.when(number.between(128, 159), F.substring(F.lit(_WINDOWS), number - 127, F.lit(1)))
     high = F.hex(
         F.when(number < 0x80, number)
         .when(number < 0x800, 0xC080 + F.shiftright(number, 6) * 256 + number.bitwiseAND(63))
@@ -119,7 +131,7 @@ def _character(number: Column) -> Column:
     return F.when(none, F.lit("\ufffd")).otherwise(F.coalesce(odd, F.decode(F.unhex(high), "UTF-8")))
 
 
-_WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+_WINDOWS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
 
 
 def decode_no_break_space(text: Column) -> Column:
