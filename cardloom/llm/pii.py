@@ -164,14 +164,18 @@ def _features(token: str, before: str, after: list[str], size: int) -> list[int]
 
 
 def _edges(tokens: list[Tokens]) -> tuple[np.ndarray, np.ndarray]:
-    """Chain edges between neighbouring tokens, and skip edges from each token to the next similar one of its text."""
+    """Chain edges between neighbouring tokens, and skip edges from each token to the next similar one of its text.
+
+    Two tokens that a chain edge joins get no skip edge besides.
+    """
     chain, skip, at = [], [], 0
     for one in tokens:
         latest: dict[str, int] = {}
         for i, key in enumerate(one.keys):
-            if i and one.numbers[i] == one.numbers[i - 1] + 1:
+            joined = i > 0 and one.numbers[i] == one.numbers[i - 1] + 1
+            if joined:
                 chain.append((at + i - 1, at + i))
-            if key in latest and latest[key] != i - 1:
+            if key in latest and not (joined and latest[key] == i - 1):
                 skip.append((at + latest[key], at + i))
             latest[key] = i
         at += len(one.keys)

@@ -102,6 +102,14 @@ def test_similar_tokens_take_the_label_over_skip_edges():
     assert added(crf, settings, "12 apples of 1950, 30 v7.1") == []
 
 
+def test_repeats_that_follow_each_other_have_skip_edges():
+    texts = ["+14155550199 and many words until 14155550199", "+14155550199 14155550199", "a@b.de or A@b.de, then 7 a@b.de"]
+    wanted = [([], [(0, 1)]), ([(0, 1)], []), ([(2, 3)], [(0, 1), (1, 3)])]
+    for text, edges in zip(texts, wanted, strict=True):
+        found = pii._edges([pii.candidates(text, pii.base_spans(text), 64)])
+        assert tuple([tuple(edge) for edge in kind.tolist()] for kind in found) == edges
+
+
 def test_messages_are_exact_on_a_chain():
     import itertools
 
