@@ -24,11 +24,13 @@ class RepetitionLimits:
     """Largest shares that a kept text may have.
 
     ``gram_chars``: by n-gram length, the share of a text's word characters inside n-grams that occur twice or more;
-    overlaps count once. ``line_chars``: the share in lines equal to an earlier line. The base limits: fewest words, and
+    overlaps count once. What repeats in longer n-grams repeats in shorter ones too, so the limits fall with the length.
+    ``top_chars``: by length, the share inside the one n-gram that covers most, if it occurs twice or more. ``line_chars``: the share in lines equal to an earlier line. The base limits: fewest words, and
     percent of words in repeated ``base_gram``-word windows.
     """
 
-    gram_chars: dict[int, float] = field(default_factory=lambda: dict.fromkeys(range(5, 11), 0.25))
+    gram_chars: dict[int, float] = field(default_factory=lambda: {n: (20 - n) / 100 for n in range(5, 11)})
+    top_chars: dict[int, float] = field(default_factory=lambda: {2: 0.20, 3: 0.18, 4: 0.16})
     line_chars: float = 0.25
     base_words: int = 10
     base_gram: int = 5
@@ -62,10 +64,13 @@ def measure(data: bytes, limits: RepetitionLimits) -> Measured:
 
     hashes = W.word_hashes(data, codes=W.CODES)
     repeated, worst, failed = 0, 0.0, False
-    for size in sorted({limits.base_gram, *limits.gram_chars}):
-        again = W.seen_again(W.gram_hashes(hashes, size))
+    for size in sorted({limits.base_gram, *limits.gram_chars, *limits.top_chars}):
+        grams = W.gram_hashes(hashes, size)
+        again = W.seen_again(grams)
         if not again.any():
             break  # a longer repeated window would hold a repeated window of this size
+        if size in limits.top_chars:
+            failed |= _top_chars(grams, again, size, lengths) > limits.top_chars[size] * chars
         inside = W.covered(np.flatnonzero(again), size, n)
         if size == limits.base_gram:
             repeated = int(inside.sum())
@@ -79,6 +84,19 @@ def measure(data: bytes, limits: RepetitionLimits) -> Measured:
     return Measured(n, chars, symbols, dup_lines, repeated, base, kept, line_share, worst)
 
 
+def _top_chars(grams: np.ndarray, again: np.ndarray, size: int, lengths: np.ndarray) -> int:
+    """Characters of the words inside the n-gram, of those that occur again, that covers most; overlaps count once."""
+    at = np.flatnonzero(again)
+    at = at[np.argsort(grams[at], kind="stable")]
+    same = np.zeros(len(at), dtype=bool)
+    same[1:] = grams[at[1:]] == grams[at[:-1]]
+    new = np.full(len(at), size)
+    new[1:][same[1:]] = np.minimum(size, np.diff(at)[same[1:]])
+    sums = np.concatenate(([0], np.cumsum(lengths)))
+    covers = sums[at + size] - sums[at + size - new]
+    return int(np.add.reduceat(covers, np.flatnonzero(~same)).max())
+
+
 def _repeated_lines(data: bytes) -> tuple[int, int]:
     """Lines with a word that equal an earlier line: how many, and the characters of their words."""
     seen: set[bytes] = set()

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from cardloom.llm import quality
 from tests.llm.helpers import SPACED, empty, frame, odd_rows, prose, vocabulary
 
@@ -47,6 +49,37 @@ def test_method_rejects_what_the_base_lets_pass():
     assert found.dup_line_chars > limits.line_chars and not found.kept
 
 
+def test_each_length_rejects_by_itself():
+    from dataclasses import replace
+
+    limits = quality.RepetitionLimits()
+    assert list(limits.gram_chars.values()) == sorted(limits.gram_chars.values(), reverse=True)
+    loose = replace(limits, gram_chars={}, top_chars={})
+    for size in (2, 3, 4):  # half of the characters in one phrase among differing words
+        text = " ".join(" ".join([f"buy{k}" for k in range(size)] + [f"w{i}x{k}" for k in range(size)]) for i in range(20))
+        alone = replace(loose, top_chars={size: limits.top_chars[size]})
+        found = quality.measure(text.encode(), limits)
+        assert not found.base_failed and found.n_repeat_words == 0 and not found.kept
+        assert not quality.measure(text.encode(), alone).kept and quality.measure(text.encode(), loose).kept
+    for size in range(5, 11):  # one phrase of so many words twice, its share just above the limit of its length
+        n = int(2 * size / (limits.gram_chars[size] + 0.005))
+        phrase = " ".join(f"p{k:03}" for k in range(size))
+        text = f"{phrase} {' '.join(f'q{i:03}' for i in range(n - 2 * size))} {phrase}"
+        alone = replace(loose, gram_chars={size: limits.gram_chars[size]})
+        assert not quality.measure(text.encode(), alone).kept and quality.measure(text.encode(), loose).kept
+        assert not quality.measure(text.encode(), limits).kept
+        others = {k: v for k, v in limits.gram_chars.items() if k != size}
+        assert quality.measure(text.encode(), replace(loose, gram_chars=others)).kept
+    assert quality._top_chars(*_grams("a a a a b", 2), 2, np.ones(5, dtype=int)) == 4
+
+
+def _grams(text, size):
+    from cardloom.llm import words as W
+
+    grams = W.gram_hashes(W.word_hashes(text.encode()), size)
+    return grams, W.seen_again(grams)
+
+
 def test_long_text_in_pieces(monkeypatch):
     from cardloom.llm import words as W
 
