@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cardloom.llm import chaining, classlm, decontaminate, mixing, pii, quality, sharding, simhash, substrings, urls
+from cardloom.llm import chaining, classlm, crossparse, decontaminate, divergence, mixing, pii, prefixtrie, quality
+from cardloom.llm import sharding, simhash, substrings, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -70,3 +71,21 @@ def op1_skip_chain_pii(spark, folder):
 @_query
 def op9_chained_passages(spark, folder):
     return chaining.fuzzy_passages(_read(spark, folder, "documents"))
+
+
+@_query
+def op11_z_fast_trie(spark, folder):
+    return prefixtrie.conversation_trie(_read(spark, folder, "conversations"))
+
+
+@_query
+def op12_cross_parsing(spark, folder):
+    return crossparse.languages_of(_read(spark, folder, "documents"))
+
+
+@_query
+def op13_chunk_divergence(spark, folder):
+    return divergence.divergence_audit(_read(spark, folder, "documents"))
+
+
+ORACLES["op13_chunk_divergence"] = divergence.AUDIT_SQL

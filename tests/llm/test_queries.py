@@ -6,8 +6,8 @@ import pytest
 import __spark_entry__ as entry_points
 import corpus_pipeline
 from cardloom.llm import mixing
-from tests.llm import test_classlm, test_decontaminate, test_pii, test_quality, test_sharding, test_simhash
-from tests.llm import test_substrings
+from tests.llm import test_classlm, test_decontaminate, test_pii, test_prefixtrie, test_quality, test_sharding
+from tests.llm import test_simhash, test_substrings
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = entry_points.queries()
@@ -22,7 +22,7 @@ def found(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in QUERIES and len(corpus_pipeline.STAGES) == 5
 
 
@@ -75,7 +75,18 @@ def test_op10(spark):
     assert sorted(map(str, map(tuple, found(spark, "op10_winnowing")))) == wanted
 
 
-@pytest.mark.parametrize("name", ["op5_golden_mix", "op7_url_vocabulary"])
+def test_op11(spark):
+    got = sorted(str(tuple(r)) for r in found(spark, "op11_z_fast_trie"))
+    assert got == test_prefixtrie.brute(rows_of("conversations", "conv_id, turn, role, text"))
+
+
+def test_op12(spark):
+    got = {r.doc_id: r for r in found(spark, "op12_cross_parsing")}
+    right = [got[d].lang_pred == lang for d, lang in rows_of("documents", "doc_id, lang") if got[d].held_out]
+    assert len(got) == len(rows_of("documents")) and sum(right) / len(right) > 0.95
+
+
+@pytest.mark.parametrize("name", ["op5_golden_mix", "op7_url_vocabulary", "op13_chunk_divergence"])
 def test_sql(spark, name):
     oracle = duckdb.connect()
     for table in ("documents", "pages"):
