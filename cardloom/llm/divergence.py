@@ -6,16 +6,18 @@ and block of documents, each globally distinct chunk is cut into terms once, and
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.llm.staging import drop_stage, staged
-from cardloom.llm.words import utf8
 
 #: A term is kept in a language if at least so many of its documents hold it.
 LEAST = 10
@@ -24,67 +26,166 @@ TOP = 10
 #: Scale of the smoothed shares.
 UNIT = 1_000_000_000
 TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Counts that a task holds before it sends them on; bytes of a text that are cut at a time.
-ENTRIES, PIECE = 250_000, 1 << 20
-_COUNTS = "lang string, source string, chunk binary, n long, docs long, ids array<long>"
-_ARROW = pa.schema([
-    ("lang", pa.string()), ("source", pa.string()), ("chunk", pa.binary()), ("n", pa.int64()), ("docs", pa.int64()),
-    ("ids", pa.list_(pa.int64())),
-])
-
-
-def chunks_of(data: bytes) -> Counter:
-    """How often each chunk occurs in a text, A-Z as a-z. A long text is cut piece by piece, between chunks."""
-    found, at = Counter(), 0
-    while at < len(data):
-        end = at + PIECE
-        while end < len(data) and not data[end : end + 1].isspace():
-            end += 1
-        found.update(data[at:end].lower().split())
-        at = end
-    return found
-
-
-def _flushed(block: dict, least: int, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    for (lang, source), held in block.items():
-        chunks, entries = list(held), list(held.values())
-        for at in range(0, len(chunks), rows):
-            some = entries[at : at + rows]
-            columns = [
-                [lang] * len(some), [source] * len(some), chunks[at : at + rows], [e[0] for e in some], [e[1] for e in some],
-                [e[2:] if e[1] < least else None for e in some],
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
-
-
-def _counter(least: int, entries: int):
-    """Documents to rows of (group, chunk): occurrences, documents, and which ones while they are fewer than ``least``.
-
-    A document's number is its place in its partition, the same when a lost task runs again.
-    """
+#: Bytes of text that are counted together in a task; rows sent on at a time.
+BLOCK, ROWS = 24 << 20, 1 << 16
+_COUNTS = "lang string, chunk string, docs long, ids array<long>, sources array<string>, ns array<int>"
+_TERMS = "lang string, source string, term string, n long, ids array<long>"
+
+
+def _run_starts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(ordered, prepend=ordered[0] - 1 if len(ordered) else 0))
+
+
+def block_counts(langs: pa.Array, sources: pa.Array, words: pa.ListArray, first: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of some documents as a row per language and chunk: documents that hold it (and which ones, if they are
+    fewer than ``least``), and the occurrences in each source."""
+    chunks = words.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(words), dtype=np.int64), words.value_lengths().to_numpy())
+    size = len(chunks.dictionary)
+    kept = chunks.indices.to_numpy().astype(np.int64)
+    held = pc.not_equal(chunks.dictionary, "").to_numpy(zero_copy_only=False)[kept] if size else np.zeros(0, dtype=bool)
+    pairs, n = np.unique(doc[held] * size + kept[held], return_counts=True)
+    if not len(pairs):
+        return
+    doc, chunk = pairs // size, pairs % size
+    langs, sources = langs.dictionary_encode(), sources.dictionary_encode()
+    lang, source = (x.indices.to_numpy().astype(np.int64) for x in (langs, sources))
+    key = (lang[doc] * size + chunk) * len(sources.dictionary) + source[doc]
+    order = np.argsort(key, kind="stable")
+    key, doc, n = key[order], doc[order], n[order]
+    parts = _run_starts(key)
+    row_key = key // len(sources.dictionary)
+    rows = _run_starts(row_key)
+    docs = np.diff(np.append(rows, len(key)))
+    few = np.repeat(docs < least, docs)
+    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(docs < least, docs, 0))]), pa.int32()), pa.array(doc[few] + first))
+    upto = pa.array(np.append(np.searchsorted(parts, rows), len(parts)), pa.int32())
+    names = pa.ListArray.from_arrays(upto, sources.dictionary.take(pa.array(key[parts] % len(sources.dictionary))))
+    sums = pa.ListArray.from_arrays(upto, pa.array(np.add.reduceat(n, parts), pa.int32()))
+    columns = [
+        langs.dictionary.take(pa.array(row_key[rows] // size)), chunks.dictionary.take(pa.array(row_key[rows] % size)),
+        pa.array(docs, pa.int64()), ids, names, sums,
+    ]
+    batch = pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "docs", "ids", "sources", "ns"])
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
+def _counter(least: int, block: int):
+    """Documents to the counts of their chunks, block by block. A document's number is its place in its partition, the
+    same when a lost task runs again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block, size = TaskContext.get().partitionId() << 40, {}, 0
+        first, held, size = TaskContext.get().partitionId() << 40, [], 0
+
+        def counted():
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return block_counts(table.column("lang"), table.column("source"), table.column("words"), first, least)
+
         for batch in batches:
-            groups = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), utf8(batch.column("text")))
-            for lang, source, data in groups:
-                number += 1
-                held = block.setdefault((lang, source), {})
-                before = len(held)
-                for chunk, n in chunks_of(data).items():
-                    entry = held.get(chunk)
-                    if entry is None:
-                        held[chunk] = [n, 1, number]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
-                        if entry[1] < least:
-                            entry.append(number)
-                size += len(held) - before
-                if size >= entries:
-                    yield from _flushed(block, least)
-                    block, size = {}, 0
-        yield from _flushed(block, least)
+            words = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text")))
+            columns = [batch.column("lang"), batch.column("source"), words]
+            held.append(pa.RecordBatch.from_arrays(columns, names=["lang", "source", "words"]))
+            size += batch.column("text").nbytes
+            if size >= block:
+                yield from counted()
+                first, held, size = first + sum(b.num_rows for b in held), [], 0
+        if sum(b.num_rows for b in held):
+            yield from counted()
+
+    return run
+
+
+class _Merged:
+    """Counts of a run of chunks: documents of each language, occurrences in each source, and documents' numbers."""
+
+    def __init__(self, docs: pa.Table, ns: pa.Table, ids: pa.Table, least: int) -> None:
+        self.docs = docs.group_by(["chunk", "lang"]).aggregate([("docs", "sum")]).rename_columns(["chunk", "lang", "docs"])
+        self.ns = ns.group_by(["chunk", "lang", "source"]).aggregate([("n", "sum")]).rename_columns(["chunk", "lang", "source", "n"])
+        self.ids, self.least = ids, least
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, least: int) -> _Merged:
+        def flat(name, **lists):
+            row = pc.list_parent_indices(batch.column(name))
+            return pa.table({"chunk": batch.column("chunk").take(row), "lang": batch.column("lang").take(row)} | {k: batch.column(c).flatten() for k, c in lists.items()})
+
+        return cls(pa.table({k: batch.column(k) for k in ("chunk", "lang", "docs")}), flat("sources", source="sources", n="ns"), flat("ids", id="ids"), least)
+
+    def plus(self, other: _Merged) -> _Merged:
+        return _Merged(*(pa.concat_tables(x) for x in ((self.docs, other.docs), (self.ns, other.ns), (self.ids, other.ids))), self.least)
+
+    def split(self, chunk: str) -> tuple[_Merged, _Merged]:
+        """What is of other chunks, and what is of this one, whose documents are dropped where they are too many to matter."""
+        tables = self.docs, self.ns, self.ids
+        rest = [t.filter(pc.not_equal(t["chunk"], chunk)) for t in tables]
+        own = [t.filter(pc.equal(t["chunk"], chunk)) for t in tables]
+        many = own[0].filter(pc.greater_equal(own[0]["docs"], self.least))["lang"]
+        own[2] = own[2].filter(pc.invert(pc.is_in(own[2]["lang"], many.combine_chunks())))
+        return _Merged(*rest, self.least), _Merged(*own, self.least)
+
+    def term_rows(self) -> Iterator[pa.RecordBatch]:
+        """Rows of the terms of these chunks, each of which is tokenized here, once: for each source its occurrences, and
+        with a null source the documents that hold the chunk, and which ones if they are fewer than ``least``."""
+        if not self.docs.num_rows:
+            return
+        chunks = pc.unique(self.docs["chunk"])
+        terms, counts = [], np.zeros(len(chunks), dtype=np.int64)
+        for i, chunk in enumerate(chunks.to_pylist()):
+            found = _TERM.findall(chunk)
+            counts[i] = len(found)
+            terms += found
+        terms = pa.array(terms, pa.string())
+        starts = np.cumsum(counts) - counts
+
+        def expanded(table):
+            at = pc.index_in(table["chunk"].combine_chunks(), chunks).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(at)), counts[at])
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(counts[at]) - counts[at], counts[at])
+            return at, row, terms.take(pa.array(np.repeat(starts[at], counts[at]) + inside))
+
+        _, row, term = expanded(self.ns)
+        own = self.ns.take(pa.array(row))
+        none = pa.nulls(len(row), pa.list_(pa.int64()))
+        yield from self._sent(own["lang"], own["source"], term, own["n"], none)
+
+        langs = pc.unique(self.docs["lang"])
+        at, row, term = expanded(self.docs)
+        key = lambda table, at: at * len(langs) + pc.index_in(table["lang"].combine_chunks(), langs).to_numpy(zero_copy_only=False)
+        own_key = key(self.docs, at)
+        id_key = key(self.ids, pc.index_in(self.ids["chunk"].combine_chunks(), chunks).to_numpy(zero_copy_only=False))
+        order = np.argsort(id_key, kind="stable")
+        begin, end = (np.searchsorted(id_key[order], own_key, side=side) for side in ("left", "right"))
+        docs = self.docs["docs"].to_numpy()
+        few = docs[row] < self.least
+        lengths = np.where(few, (end - begin)[row], 0)
+        place = np.repeat(begin[row], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        numbers = self.ids["id"].to_numpy()[order][place]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(numbers, pa.int64()))
+        yield from self._sent(self.docs["lang"].take(pa.array(row)), pa.nulls(len(row), pa.string()), term, pa.array(docs[row]), lists)
+
+    @staticmethod
+    def _sent(*columns) -> Iterator[pa.RecordBatch]:
+        table = pa.table(list(columns), names=["lang", "source", "term", "n", "ids"]).combine_chunks()
+        for batch in table.to_batches(max_chunksize=ROWS):
+            yield batch
+
+
+_TERM = re.compile(TERM)
+
+
+def _merger(least: int):
+    """Counts in the order of their chunks to the rows of their terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                now = _Merged.of(batch, least)
+                done, rest = (rest.plus(now) if rest else now).split(batch.column("chunk")[-1].as_py())
+                yield from done.term_rows()
+        if rest:
+            yield from rest.term_rows()
 
     return run
 
@@ -93,29 +194,19 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) for name in ("lang", "source", "text")])
 
 
-def term_rows(docs: DataFrame, least: int = LEAST, entries: int = ENTRIES) -> DataFrame:
-    """``lang``, ``source``, ``term`` of each chunk of a group: ``n`` occurrences of the term in it, the group's ``docs``
-    that hold the chunk, the language's ``all_docs`` that do, and their ``ids`` if these are fewer than ``least``.
+def term_rows(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """``lang``, ``source``, ``term``, ``n`` and ``ids`` of each chunk: a row per source with ``n`` occurrences of the term,
+    and one with a null source, where ``n`` documents of the language hold the chunk, ``ids`` if they are fewer than ``least``.
 
-    One shuffle by chunk brings the counts of a chunk together; its distinct chunks are tokenized there, each once, and
-    joined back in place. A frequent chunk is one row per block of documents and group, never one per document.
+    One shuffle by chunk brings its counts together, a row per block of documents and never one per document. They are
+    merged there in order, so a frequent chunk's rows pass through a task, but are never held; each globally distinct
+    chunk is tokenized once, and its terms are joined back to its counts in place.
     """
-    counts = _read(docs).mapInArrow(_counter(least, entries), _COUNTS).withColumn("chunk", F.col("chunk").cast("string"))
-    counted = counts.repartition("chunk").groupBy("chunk", "lang", "source").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.flatten(F.collect_list("ids")).alias("ids")
-    )
-    terms = F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)))
-    tokens = counted.select("chunk").distinct().select("chunk", terms.alias("term"))
-    tokens = tokens.groupBy("chunk", "term").agg(F.count("*").alias("times"))
-    of_lang = F.sum("docs").over(Window.partitionBy("chunk", "lang"))
-    joined = counted.withColumn("all_docs", of_lang).join(tokens, "chunk")
-    return joined.select(
-        "lang", "source", "term", (F.col("n") * F.col("times")).alias("n"), "docs", "all_docs",
-        F.when(F.col("all_docs") < least, F.col("ids")).alias("ids"),
-    )
+    counts = _read(docs).mapInArrow(_counter(least, block), _COUNTS)
+    return counts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merger(least), _TERMS)
 
 
-def term_counts(docs: DataFrame, least: int = LEAST, entries: int = ENTRIES) -> DataFrame:
+def term_counts(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """``lang``, ``source``, ``term``, ``n``: occurrences of each term in each group, for the terms that at least ``least``
     documents of the language hold.
 
@@ -123,20 +214,18 @@ def term_counts(docs: DataFrame, least: int = LEAST, entries: int = ENTRIES) ->
     where ``least`` is between the two are the documents themselves counted, and there every chunk has less than ``least``
     of them. Each row of ``docs`` is a document.
     """
-    rows = staged(term_rows(docs, least, entries), "chunk-terms")
-    counts = rows.groupBy("lang", "source", "term").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("most"), F.max("all_docs").alias("fewest")
-    )
-    counts = staged(counts, "term-counts")
-    bounds = counts.groupBy("lang", "term").agg(F.sum("most").alias("most"), F.max("fewest").alias("fewest"))
+    rows = staged(term_rows(docs, least, block), "chunk-terms")
+    held = rows.where("source is null")
+    bounds = held.groupBy("lang", "term").agg(F.sum("n").alias("most"), F.max("n").alias("fewest"))
+    bounds = staged(bounds.where(F.col("most") >= least), "term-bounds")
     sure = bounds.where(F.col("fewest") >= least).select("lang", "term")
-    between = bounds.where((F.col("fewest") < least) & (F.col("most") >= least)).select("lang", "term")
-    held = rows.where("ids is not null").join(between, ["lang", "term"]).select("lang", "term", F.explode("ids").alias("id"))
-    exact = held.distinct().groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
-    kept = staged(counts.join(sure.unionByName(exact.select("lang", "term")), ["lang", "term"]).select(
-        "lang", "source", "term", "n"), "kept-terms")
+    between = bounds.where(F.col("fewest") < least).select("lang", "term")
+    each = held.where(F.size("ids") > 0).join(between, ["lang", "term"]).select("lang", "term", F.explode("ids").alias("id"))
+    exact = each.distinct().groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
+    kept = rows.where("source is not null").join(sure.unionByName(exact.select("lang", "term")), ["lang", "term"])
+    kept = staged(kept.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "kept-terms")
     drop_stage(rows)
-    drop_stage(counts)
+    drop_stage(bounds)
     return kept
 
 
@@ -150,7 +239,7 @@ def _apart(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def divergence_audit(docs: DataFrame, least: int = LEAST, top: int = TOP, entries: int = ENTRIES) -> DataFrame:
+def divergence_audit(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOCK) -> DataFrame:
     """Divergence of each group (``lang``, ``source``) from the other sources of its language, and its leading terms.
 
     Rows: ``lang, source, part, item, value, rank``. ``part`` is ``pair`` (item is the other source, value the sum over all
@@ -164,7 +253,7 @@ def divergence_audit(docs: DataFrame, least: int = LEAST, top: int = TOP, entrie
     those sums come from a histogram of counts per group.
     """
     groups = staged(_read(docs).select("lang", "source").distinct(), "groups")
-    kept = term_counts(docs, least, entries)
+    kept = term_counts(docs, least, block)
     sizes = kept.groupBy("lang").agg(F.countDistinct("term").alias("v"), F.sum("n").alias("all_n"))
     used = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     known = groups.join(used, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "v", "all_n"])
