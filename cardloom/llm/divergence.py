@@ -26,8 +26,8 @@ TOP = 10
 #: Scale of the smoothed shares.
 UNIT = 1_000_000_000
 TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Bytes of text that are counted together in a task; rows sent on at a time.
-BLOCK, ROWS = 24 << 20, 1 << 16
+#: Bytes of text that are counted together in a task; documents taken up and rows sent on at a time.
+BLOCK, SLICE, ROWS = 20 << 20, 1000, 1 << 16
 _COUNTS = "lang string, chunk string, docs long, ids array<long>, sources array<string>, ns array<int>"
 _TERMS = "lang string, source string, term string, n long, ids array<long>"
 
@@ -82,7 +82,7 @@ def _counter(least: int, block: int):
             table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             return block_counts(table.column("lang"), table.column("source"), table.column("words"), first, least)
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             words = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text")))
             columns = [batch.column("lang"), batch.column("source"), words]
             held.append(pa.RecordBatch.from_arrays(columns, names=["lang", "source", "words"]))
