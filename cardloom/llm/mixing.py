@@ -62,9 +62,9 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
     The golden-ratio points fall on the sources in proportion to their targets, in every stretch of the schedule alike.
     Each point meets its source by an equi-join on its cell of the unit interval. Ranks are counted in two levels, over
-    chunks of slots and inside a chunk, so that a source with most of the slots is no single task. The schedule has as
-    many slots as the words fill and a few for each source, so that none stops short; a block beyond a source's target
-    is not taken.
+    chunks of slots and inside a chunk, so that a source with most of the slots is no single task. Behind the slots that
+    the words fill, each source gets those that the points have left it short of, so that its blocks cover its target
+    however small it is, also where it is too small for a point of its own.
     """
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     whole = targets.select("sid", F.floor("target").alias("words")).select(
@@ -82,7 +82,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
         "high",
         F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("cell"),
     )
-    slots_wanted = F.ceil(F.sum("words") / block) + 4 * F.count("*")
+    slots_wanted = F.ceil(F.sum("words") / block)
     chunks = targets.select(F.floor("target").alias("words")).agg(slots_wanted.alias("n"))
     chunks = chunks.where("n > 0").select(
         "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk")
@@ -99,7 +99,21 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     firsts = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = drawn.select("*", inside.alias("inside")).join(firsts, ["sid", "chunk"])
-    return ranked.select("slot", "sid", (F.col("first") + F.col("inside")).cast("long").alias("rank"))
+    ranked = ranked.select("slot", "sid", (F.col("first") + F.col("inside")).cast("long").alias("rank"))
+
+    each = counts.groupBy("sid").agg(F.sum("n").alias("n"))
+    short = targets.join(each, "sid", "left").select("sid", F.coalesce("n", F.lit(0)).alias("n"), (F.ceil(_quota() / block) - F.coalesce("n", F.lit(0))).alias("short"))
+    sources_before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    short = short.where("short > 0").withColumn("before", F.coalesce(F.sum("short").over(sources_before), F.lit(0)))
+    last = drawn.agg(F.coalesce(F.max("slot"), F.lit(-1))).scalar()
+    more = short.select("sid", "n", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("short") - 1)).alias("i"))
+    more = more.select((last + 1 + F.col("before") + F.col("i")).alias("slot"), "sid", (F.col("n") + F.col("i")).cast("long").alias("rank"))
+    return ranked.unionByName(more)
+
+
+def _quota(repeats: int = REPEATS) -> Column:
+    """Words that the mix takes of a source: its target in whole words, never above its limit."""
+    return F.least(F.round("target"), F.lit(repeats) * F.col("source_size")).cast("long")
 
 
 def shuffled_line(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -132,7 +146,7 @@ def taken_words(line: DataFrame, slots: DataFrame, block: int = BLOCK, repeats:
     A source's line is laid out ``repeats`` times end to end and cut into blocks of equal words. A slot takes the block
     of its rank, up to the target. A row is joined to the blocks it lies in, and to nothing else.
     """
-    quota = F.least(F.round("target"), F.lit(repeats) * F.col("source_size")).cast("long")
+    quota = _quota(repeats)
     wanted = line.where("_size > 0").select("sid", "number", "_size", "start", "source_size", quota.alias("quota"))
     turns = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("turn"))
     turns = turns.select(
@@ -148,7 +162,7 @@ def taken_words(line: DataFrame, slots: DataFrame, block: int = BLOCK, repeats:
 
 def mixed(docs: DataFrame, block: int = BLOCK, columns: Sequence[str] = ()) -> DataFrame:
     """Each row of ``docs`` (``doc_id``, ``text``, ``source``) with ``size``, ``source_size``, ``target``, ``start`` and ``taken``."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
     rows = docs.select(
         "doc_id", *columns, F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), key.alias("order_key")
     )
@@ -163,8 +177,9 @@ def mix_digest(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: its size in words, its source's size and target, and the words the mix takes of it.
 
     No row is taken more than three times over. Sources of no words, and rows of no words, are taken 0 words of. A null
-    text has none, a null source is a source and comes last, a null ``doc_id`` is shuffled as the empty text. Rows of one
-    ``doc_id`` are ordered by size; rows that are equal in both are interchangeable. Other columns are not read. An empty
+    text has none, a null source is a source and comes last, a null ``doc_id`` is shuffled as the empty text. The order is
+    that of a hash of ``doc_id`` and text; rows that are equal in both are interchangeable. What is taken of a source is its
+    target in whole words, however small it is. Other columns are not read. An empty
     table gives none. Reruns agree, as the order is that of a hash.
     """
     return mixed(docs, block).select(
@@ -187,7 +202,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 MIX_SQL = f"""
 WITH rows AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k,
+  SELECT row_number() OVER () AS rid, doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS k,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
   FROM documents),
 totals AS (
@@ -203,21 +218,13 @@ filled AS (SELECT *, weight * rest > cap * heft AS is_full FROM levels),
 common AS (
   SELECT arg_max(rest, heft) FILTER (NOT is_full) AS rest, max(heft) FILTER (NOT is_full) AS heft FROM filled),
 targets AS (
-  SELECT sid, source, source_size, least(round(target), cap)::BIGINT AS quota, target, floor(target)::BIGINT AS words
+  SELECT sid, source, source_size, least(round(target), cap)::BIGINT AS quota, target
   FROM (SELECT f.*, CASE WHEN is_full THEN cap::DOUBLE ELSE (weight * c.rest)::DOUBLE / c.heft END AS target
         FROM filled f CROSS JOIN common c)),
-bands AS (
-  SELECT sid, floor((upto - words) / everything * {POINTS})::BIGINT AS low, floor(upto / everything * {POINTS})::BIGINT AS high
-  FROM (SELECT sid, words, sum(words) OVER (ORDER BY sid)::BIGINT AS upto, sum(words) OVER ()::BIGINT AS everything FROM targets)
-  WHERE words > 0),
-slots AS (
-  SELECT (slot % {POINTS}) * {GOLDEN} % {POINTS} AS point
-  FROM (SELECT unnest(range((ceil(sum(words) / {BLOCK}) + 4 * count(*))::BIGINT)) AS slot FROM targets)),
-drawn AS (SELECT sid, count(*) AS n FROM slots JOIN bands ON low <= point AND point < high GROUP BY sid),
 line AS (
-  SELECT r.rid, r.doc_id, r.size, t.sid, t.source_size, t.target, least(t.quota, {BLOCK} * coalesce(d.n, 0)) AS quota,
+  SELECT r.rid, r.doc_id, r.size, t.sid, t.source_size, t.target, t.quota,
     sum(r.size) OVER (PARTITION BY t.sid ORDER BY r.k, r.doc_id, r.size, r.rid) - r.size AS start
-  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source LEFT JOIN drawn d USING (sid))
+  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   (SELECT sum(greatest(0, least(quota - start - e * source_size, size))) FROM (VALUES (0), (1), (2)) AS turns(e))::BIGINT AS taken
 FROM line
