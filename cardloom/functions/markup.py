@@ -1,5 +1,7 @@
 """Elements, attributes and text of web pages as string expressions.
 
+What has several fields takes them ``raw`` and has them decoded together (``text.select_decoded``).
+
 Pages are machine-made: attribute values are quoted and ``>`` does not occur inside them. Elements may hold elements of
 the same tag: the text behind an opening tag is cut at each further tag of that name, and a running depth tells where
 the element ends, as a tree search would. Comments, and scripts where they are not looked for, are to be taken out first
@@ -31,14 +33,24 @@ _MARKUP = (
 _MARKUP_AND_SPACE = rf"(?sU)(?:\s(?<!\s\s)\s*+)?{_MARKUP}\s*+"
 
 
+def raw_element_text(html: Column) -> Column:
+    """Text nodes joined as they are, references not decoded; comments, scripts and styles are not text."""
+    return F.regexp_replace(html, f"(?s){_MARKUP}", "")
+
+
 def element_text(html: Column) -> Column:
-    """Text nodes joined as they are; comments, scripts and styles are not text."""
-    return decode_references(F.regexp_replace(html, f"(?s){_MARKUP}", ""))
+    """:func:`raw_element_text`, decoded."""
+    return decode_references(raw_element_text(html))
+
+
+def raw_stripped_text(html: Column) -> Column:
+    """Text nodes stripped one by one and joined with nothing in between, references not decoded."""
+    return strip(F.regexp_replace(decode_no_break_space(html), _MARKUP_AND_SPACE, ""))
 
 
 def stripped_text(html: Column) -> Column:
-    """Text nodes stripped one by one and joined with nothing in between."""
-    return decode_references(strip(F.regexp_replace(decode_no_break_space(html), _MARKUP_AND_SPACE, "")))
+    """:func:`raw_stripped_text`, decoded."""
+    return decode_references(raw_stripped_text(html))
 
 
 def has_class(token: str) -> str:
@@ -127,10 +139,81 @@ def inner(html: Column, tag: str, *conditions: str) -> Column:
 
 
 def inners(html: Column, tag: str, *conditions: str) -> Column:
-    """Insides of all such elements, in page order. Where one stands inside another, the outer one is cut before it."""
+    """Insides of all such elements in page order, also of those that stand inside each other.
+
+    The page is cut in front of each tag of that name. Where no two openings follow each other, an element is its piece;
+    else a stack over the outline, a text of one letter per tag, finds where each one ends. An element that is never
+    closed ends with the page, a closing tag without an opening one counts for nothing.
+    """
     pattern = opening(tag, *conditions)
-    parts = F.filter(F.split(html, f"(?={pattern})"), lambda part: F.rlike(part, F.lit(f"^{pattern}")))
-    return F.transform(parts, lambda part: upto_end(F.regexp_extract(part, f"(?s)^{pattern}(.*)", 1), tag))
+    content = rf"(?s)^{pattern[:-1]}(?<!/)>(.*)"  # none of an element that its own tag closes
+
+    def chosen(piece: Column) -> Column:
+        if conditions:
+            return F.rlike(piece, F.lit(f"^{pattern}"))
+        return F.startswith(piece, F.lit("<")) & ~F.startswith(piece, F.lit("</"))
+
+    def found_in(pieces: Column) -> Column:
+        first = lambda piece: F.regexp_extract(piece, content, 1)
+        flat = F.transform(F.filter(pieces, chosen), first)
+        spans = F.filter(_spans(_outline(pieces)), lambda span: chosen(F.get(pieces, span["at"])))
+        nested = F.transform(
+            spans,
+            lambda span: F.concat(
+                first(F.get(pieces, span["at"])),
+                F.array_join(F.slice(pieces, span["at"] + 2, F.greatest(span["upto"] - span["at"] - 1, F.lit(0))), ""),
+            ),
+        )
+        begins = F.lower(F.array_join(F.transform(pieces, lambda piece: F.left(piece, F.lit(2))), ""))
+        return F.when(F.contains(begins, F.lit(f"<{tag[0]}" * 2)), nested).otherwise(flat)
+
+    # The blank in front is the first piece's, so that it is never taken for an element.
+    return let(F.split(F.concat(F.lit(" "), html), rf"(?i)(?=</?{tag}[\s/>])"), found_in)
+
+
+# Letters of an outline.
+_OPENS, _CLOSES, _EMPTY, _OTHER = "o", "c", "e", "-"
+
+
+def _outline(pieces: Column) -> Column:
+    def kind(piece: Column) -> Column:
+        return (
+            F.when(F.startswith(piece, F.lit("</")), F.lit(_CLOSES))
+            .when(~F.startswith(piece, F.lit("<")), F.lit(_OTHER))
+            .when(F.rlike(piece, F.lit("^<[^>]*/>")), F.lit(_EMPTY))
+            .otherwise(F.lit(_OPENS))
+        )
+
+    return F.array_join(F.transform(pieces, kind), "")
+
+
+def _spans(outline: Column) -> Column:
+    """``array<struct<at, upto>>``: the piece each element starts with and the one that ends it, in order."""
+    span = "array<struct<at:int,upto:int>>"
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast(span).alias("done"))
+    marks = F.transform(F.split(outline, ""), lambda mark, at: F.struct(mark.alias("mark"), at.alias("at")))
+
+    def step(state: Column, mark: Column) -> Column:
+        latest = F.struct(F.get(state["open"], F.lit(0)).alias("at"), mark["at"].alias("upto"))
+        alone = F.struct(mark["at"].alias("at"), (mark["at"] + 1).alias("upto"))
+        pushed = F.struct(F.concat(F.array(mark["at"]), state["open"]).alias("open"), state["done"].alias("done"))
+        popped = F.struct(
+            F.slice(state["open"], F.lit(2), F.greatest(F.size(state["open"]) - 1, F.lit(0))).alias("open"),
+            F.concat(state["done"], F.array(latest)).alias("done"),
+        )
+        closed = F.struct(state["open"].alias("open"), F.concat(state["done"], F.array(alone)).alias("done"))
+        return (
+            F.when(mark["mark"] == _OPENS, pushed)
+            .when((mark["mark"] == _CLOSES) & (F.size(state["open"]) > 0), popped)
+            .when(mark["mark"] == _EMPTY, closed)
+            .otherwise(state)
+        )
+
+    def finish(state: Column) -> Column:
+        never = F.transform(state["open"], lambda at: F.struct(at.alias("at"), F.size(marks).alias("upto")))
+        return F.array_sort(F.concat(state["done"], never))
+
+    return F.aggregate(marks, start, step, finish)
 
 
 def tag_of(html: Column, tag: str, *conditions: str) -> Column:
@@ -143,7 +226,11 @@ def tags_of(html: Column, tag: str, *conditions: str) -> Column:
     return F.regexp_extract_all(html, F.lit(opening(tag, *conditions)), F.lit(0))
 
 
+def raw_attribute(opening_tag: Column, name: str) -> Column:
+    """Value of an attribute of an opening tag, references not decoded, ``''`` if it is not there."""
+    return F.regexp_extract(opening_tag, rf"\s(?i:{re.escape(name)})\s*=\s*([\"'])((?s:.*?))\1", 2)
+
+
 def attribute(opening_tag: Column, name: str) -> Column:
-    """Decoded value of an attribute of an opening tag, ``''`` if it is not there."""
-    pattern = rf"\s(?i:{re.escape(name)})\s*=\s*([\"'])((?s:.*?))\1"
-    return decode_references(F.regexp_extract(opening_tag, pattern, 2))
+    """:func:`raw_attribute`, decoded."""
+    return decode_references(raw_attribute(opening_tag, name))

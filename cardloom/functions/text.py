@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 from html.entities import html5
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.functions.once import let
+from cardloom.functions.once import let, select_once
 
 NO_BREAK_SPACE = "\u00a0"
 
@@ -58,6 +59,20 @@ def decode_references(text: Column) -> Column:
     return let(text, decode)
 
 
+def select_decoded(
+    table: DataFrame, keep: Sequence[str | Column], texts: dict[str, Column], also: Sequence[Column] = ()
+) -> DataFrame:
+    """The ``keep`` columns, the ``also`` ones (aliased), and ``texts`` by name with their references decoded.
+
+    The texts of a row are gathered in one array and decoded in one place, so the table of names is in the plan once,
+    however many fields a page has.
+    """
+    raw = select_once(table, keep, *also, F.array(*texts.values()).alias("_raw"))
+    kept = [name for name in raw.columns if name != "_raw"]
+    decoded = select_once(raw, kept, F.transform("_raw", decode_references).alias("_texts"))
+    return decoded.select(*kept, *[F.get("_texts", F.lit(i)).alias(name) for i, name in enumerate(texts)])
+
+
 # A reference by name or number. Names without a semicolon are the few old ones that browsers know that way.
 _REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 _OLD_REFERENCE = rf"^&({'|'.join(sorted((n for n in html5 if not n.endswith(';')), key=len, reverse=True))})"
@@ -78,10 +93,16 @@ def _character_and_rest(parts: Column) -> Column:
     number = F.when(F.rlike(whole, F.lit("^#[xX]")), F.conv(F.substring(whole, 3, 8), 16, 10)).otherwise(
         F.substring(whole, 2, 8)
     )
+    # Both readings of a name go through one lookup, so that its table stands in the plan once.
+    readings = F.array(
+        F.struct(F.concat(whole, F.lit(";")).alias("name"), after(whole, 2).alias("rest")),
+        F.struct(F.nullif(old, F.lit("")).alias("name"), after(old, 1).alias("rest")),
+    )
+    named = F.transform(readings, lambda reading: F.struct(_named(reading["name"]).alias("text"), reading["rest"].alias("rest")))
+    known = F.transform(F.filter(named, lambda it: it["text"] != ""), lambda it: F.concat(it["text"], it["rest"]))
     return F.coalesce(
         F.when(F.startswith(whole, F.lit("#")), F.concat(_character(number.try_cast("int")), after(whole, 2))),
-        F.when(whole != "", F.concat(_named(F.concat(whole, F.lit(";"))), after(whole, 2))),
-        F.when(old != "", F.concat(_named(old), after(old, 1))),
+        F.get(known, F.lit(0)),
         piece,
     )
 
@@ -104,8 +125,8 @@ _NAMES = _dealt()
 def _named(name: Column) -> Column:
     lines = F.get(F.array(*map(F.lit, _NAMES)), (F.crc32(name) % _BUCKETS).cast("int"))
     start = F.concat(F.lit(_LINE), name, F.lit(_IS))
-    found = F.split_part(F.split_part(lines, start, F.lit(2)), F.lit(_LINE), F.lit(1))
-    return F.nullif(found, F.lit(""))
+    # Lines begin with their mark, so where the name is not found the part in front of the first mark is empty.
+    return F.substring_index(F.call_function("substring_index", lines, start, F.lit(-1)), _LINE, 1)
 
 
 def _character(number: Column) -> Column:

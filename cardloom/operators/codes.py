@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cardloom.constants import CARD_NUMBER_PATTERN
 from cardloom.functions import markup
 from cardloom.functions.once import explode_once, select_once
-from cardloom.functions.text import NO_BREAK_SPACE, is_blank, strip
+from cardloom.functions.text import NO_BREAK_SPACE, is_blank, select_decoded, strip
 from cardloom.operators.joins import hot_key_join
 from cardloom.session import OPEN_STAGES, Stages
 from cardloom.operators.paging import number_rows
@@ -71,11 +71,15 @@ def codes_to_fetch(missing: DataFrame, cache: DataFrame) -> DataFrame:
 
 def extract_card_codes(pages: DataFrame) -> DataFrame:
     """Codes of landed card pages (``card_id, html``): ``card_id, card_code``, NULL where a part is missing."""
-    series = strip(markup.attribute(markup.tag_of(F.col("html"), "img", markup.has_class("img-regulation")), "alt"))
-    number = F.regexp_extract(markup.element_text(F.col("html")), rf"(?U)({CARD_NUMBER_PATTERN})", 1)
+    image = markup.tag_of(F.col("html"), "img", markup.has_class("img-regulation"))
+    fields = {"alt": markup.raw_attribute(image, "alt"), "text": markup.raw_element_text(F.col("html"))}
+    number = F.regexp_extract("text", rf"(?U)({CARD_NUMBER_PATTERN})", 1)
     spaced = F.replace(number, F.lit(NO_BREAK_SPACE), F.lit(" "))
     parts = select_once(
-        pages, ["card_id"], series.alias("series"), strip(F.replace(spaced, F.lit(" / "), F.lit("/"))).alias("number")
+        select_decoded(pages, ["card_id"], fields),
+        ["card_id"],
+        strip(F.col("alt")).alias("series"),
+        strip(F.replace(spaced, F.lit(" / "), F.lit("/"))).alias("number"),
     )
     complete = (F.col("series") != "") & (F.col("number") != "")
     return parts.select("card_id", F.when(complete, F.concat_ws(" ", "series", "number")).alias("card_code"))

@@ -24,7 +24,7 @@ from cardloom.functions import markup
 from cardloom.functions.cards import joined_name
 from cardloom.functions.dates import japanese_date, month_first_date, release_sort_key
 from cardloom.functions.once import explode_once, select_once
-from cardloom.functions.text import clean_lines, or_empty, scalar_text
+from cardloom.functions.text import clean_lines, decode_references, or_empty, scalar_text, select_decoded
 from cardloom.functions.urls import absolute_url, image_code, query_value
 from cardloom.operators.joins import hot_key_join
 from cardloom.operators.paging import one_of_each, read_until, reading_stops
@@ -142,27 +142,37 @@ def catalog_items(pages: DataFrame, sites: Sequence[Site] = HONG_KONG_SITES) ->
     """Items of reached catalogue pages (``catalog_pages``): ``site, page_no, pos``, the nine product columns such a page
     has, and ``price_language``; the price is still empty. Items with neither a name nor a link are dropped."""
     item = F.col("item")
-    title = markup.stripped_text(markup.inner(item, "h3", markup.has_class("expansionTitle")))
-    series = ("span", markup.has_class("series"))
-    series_name = markup.stripped_text(markup.inner(item, *series))
+    series, time = ("span", markup.has_class("series")), ("time", markup.class_contains("date", ignore_case=True))
+    link = markup.tag_of(item, "a", markup.has_class("expansionLink"), markup.has_attribute("href"))
+    image = markup.tag_of(item, "img", markup.has_attribute("src"))
+    fields = {
+        "title": markup.raw_stripped_text(markup.inner(item, "h3", markup.has_class("expansionTitle"))),
+        "series": markup.raw_stripped_text(markup.inner(item, *series)),
+        "link": markup.raw_attribute(link, "href"),
+        "image": markup.raw_attribute(image, "src"),
+        "day": markup.raw_attribute(markup.tag_of(item, *time), "datetime"),
+        "time": markup.raw_stripped_text(markup.inner(item, *time)),
+    }
+    there = [
+        markup.found(item, markup.opening(*series)).alias("has_series"),
+        (link != "").alias("has_link"),
+        (image != "").alias("has_image"),
+    ]
+    items = explode_once(pages, ["site", "page_no"], F.col("items"), "pos", "item")
+    texts = select_decoded(items, ["site", "page_no", "pos"], fields, there)
     name = (
-        F.when(~markup.found(item, markup.opening(*series)), title)
-        .when(title != "", F.concat(series_name, F.lit(" - "), title))
-        .otherwise(series_name)
-    )
-    link = _link_of(item, "a", "href", markup.has_class("expansionLink"), sites=sites)
-    time = ("time", markup.class_contains("date", ignore_case=True))
-    date_attribute = markup.attribute(markup.tag_of(item, *time), "datetime")
-    date_text = F.coalesce(
-        F.nullif(date_attribute, F.lit("")), markup.stripped_text(markup.inner(item, *time))
+        F.when(~F.col("has_series"), F.col("title"))
+        .when(F.col("title") != "", F.concat("series", F.lit(" - "), "title"))
+        .otherwise(F.col("series"))
     )
-    parsed = select_once(
-        explode_once(pages, ["site", "page_no"], F.col("items"), "pos", "item"),
-        ["site", "page_no", "pos"],
+    parsed = texts.select(
+        "site",
+        "page_no",
+        "pos",
         name.alias("product_name"),
-        date_text.alias("date_text"),
-        link.alias("link"),
-        _link_of(item, "img", "src", sites=sites).alias("image_url"),
+        F.coalesce(F.nullif("day", F.lit("")), F.col("time")).alias("date_text"),
+        _completed("has_link", "link", sites).alias("link"),
+        _completed("has_image", "image", sites).alias("image_url"),
     )
     return parsed.where("product_name <> '' or link <> ''").select(
         "site",
@@ -189,13 +199,11 @@ def _by_site(sites: Sequence[Site], attribute: str) -> Column:
     )
 
 
-def _link_of(item: Column, tag: str, name: str, *conditions: str, sites: Sequence[Site]) -> Column:
+def _completed(there: str, value: str, sites: Sequence[Site]) -> Column:
     # An attribute that is there but empty still gets the base address.
-    opening_tag = markup.tag_of(item, tag, *conditions, markup.has_attribute(name))
-    value = markup.attribute(opening_tag, name)
     return (
-        F.when(opening_tag == "", F.lit(""))
-        .when(F.startswith(value, F.lit("http")), value)
+        F.when(~F.col(there), F.lit(""))
+        .when(F.startswith(value, F.lit("http")), F.col(value))
         .otherwise(F.concat(_by_site(sites, "base_url"), value))
     )
 
@@ -212,18 +220,15 @@ def detail_prices(pages: DataFrame) -> DataFrame:
     section = markup.inner(markup.visible(F.col("html")), "section", markup.has_class("section-product"))
     data_part = markup.inner(F.col("section"), "div", markup.has_class("data-product"))
     box_part = markup.inner(F.col("section"), "div", markup.has_class("box-red"))
-    paragraph_prices = F.filter(
-        F.transform(markup.inners(box_part, "p"), lambda p: _price_in(markup.element_text(p))), lambda p: p != ""
-    )
-    price = F.coalesce(
-        F.nullif(_price_in(markup.element_text(data_part)), F.lit("")),
-        F.get(paragraph_prices, F.lit(0)),
-        F.nullif(_price_in(markup.element_text(F.col("section"))), F.lit("")),
-    )
+    # Where a price is looked for, in this order.
+    places = F.concat(F.array(data_part), markup.inners(box_part, "p"), F.array(F.col("section")))
+    prices = F.transform("texts", lambda text: _price_in(decode_references(text)))
+    price = F.get(F.filter(prices, lambda text: text != ""), F.lit(0))
     keys = [F.col("lang").alias("price_language"), F.lower("code").alias("code_key")]
     sections = select_once(pages, keys, section.alias("section")).where("section <> ''")
+    texts = select_once(sections, ["price_language", "code_key"], F.transform(places, markup.raw_element_text).alias("texts"))
     return (
-        select_once(sections, ["price_language", "code_key"], price.alias("amount"))
+        select_once(texts, ["price_language", "code_key"], price.alias("amount"))
         .where("amount is not null")
         .groupBy("price_language", "code_key")
         .agg(F.concat(F.max("amount"), F.lit(PRICE_UNIT)).alias("price"))

@@ -165,7 +165,7 @@ def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
                when 2 then '<a class="expansionLink" href="/hk/none">' else '<a>' end,
         if(i < 2, concat('<img alt="x" src="', if(i = 0, '/img/', 'https://img.example/'), p_partkey, '.png">'), ''),
         if(i in (0, 2), concat('<span class="series">\\n ', p_type, ' </span>'), ''),
-        '<ul><li>inner</li></ul>', if(i < 2, concat('<h3 class="expansionTitle"> ', p_name, ' &amp; <b>', i, '</b> </h3>'), ''),
+        if(i = p_size % 4, '<ul><li class="expansion">inner</li></ul>', '<ul><li>inner</li></ul>'), if(i < 2, concat('<h3 class="expansionTitle"> ', p_name, ' &amp; <b>', i, '</b> </h3>'), ''),
         case i when 0 then concat('<time class="Release-Date" datetime="', date_format({day}, 'M-d-yyyy'), '">soon</time>')
                when 1 then concat('<time class="date"> ', date_format({day}, 'M-d-yyyy'), ' (Fri)</time>')
                else '' end,
@@ -219,7 +219,7 @@ def event_pages(spark: SparkSession, folder: str) -> DataFrame:
     row = """concat('<tr><td>', (page_no - 1) * 3 + j, '位</td><td> ', o_custkey % 100, 'pt</td><td><b>nama', j,
         '</b>プレイヤーID：', o_custkey * 10 + j, '<br>エリア：', o_orderpriority, ' </td><td>x</td><td>',
         if(j = 3, '', concat('<a href="https://deck.example/deck/confirm.html/deckID/D', o_orderkey, '-', page_no, '-', j,
-                             '/x">deck</a>')), '</td></tr>')"""
+                             '/x">deck</a>')), if(o_orderkey % 32 = 0, '<table><tr><td>inner</td></tr></table>', ''), '</td></tr>')"""
     html = f"""concat('<html><head><title>t</title></head><body>',
         '<!-- <table><tr></tr><tr><td>0</td><td>0</td><td>0</td><td>0</td><td>0</td></tr></table> -->',
         if(o_orderstatus = 'F', concat('<h2>Top</h2><h1>', o_orderpriority, '</h1>'),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cardloom.functions import dates, markup, urls
 from cardloom.functions.cards import card_code_of, card_name_of
 from cardloom.functions.once import explode_once
-from cardloom.functions.text import decode_references
+from cardloom.functions.text import decode_references, select_decoded
 from cardloom.operators import audit, codes, decks, events, paging, products, summaries
 from cardloom.plans import backfill, ingest, summary
 from cardloom.plans.catalog import product_catalog
@@ -386,12 +386,12 @@ def page_text(spark, folder):
 @query
 def page_header(spark, folder):
     html = F.col("html")
-    return inputs.spread_table(spark, folder, "pages").select(
-        "page_id",
-        markup.stripped_text(markup.inner(html, "title")).alias("title"),
-        markup.stripped_text(markup.inner(html, "h1")).alias("h1"),
-        markup.attribute(markup.tag_of(html, "html"), "lang").alias("lang"),
-    )
+    fields = {
+        "title": markup.raw_stripped_text(markup.inner(html, "title")),
+        "h1": markup.raw_stripped_text(markup.inner(html, "h1")),
+        "lang": markup.raw_attribute(markup.tag_of(html, "html"), "lang"),
+    }
+    return select_decoded(inputs.spread_table(spark, folder, "pages"), ["page_id"], fields)
 
 
 @query

@@ -340,3 +340,38 @@ def test_listing_gap(spark):
     listing = lambda *numbers: spark.createDataFrame([(n, link.format(n)) for n in numbers], "page_no int, html string")
     ids = lambda table: sorted(r["event_id"] for r in paging.discover_event_ids(table).collect())
     assert ids(listing(1, 2, 4)) == ["1", "2"] and ids(listing(2, 3)) == [] and ids(listing(1, 1, 2)) == ["1", "2"]
+
+
+def test_elements_inside_elements_of_their_kind(spark):
+    inside = lambda page, *of: one(spark, page, markup.inners(F.col("html"), *of))
+    nested = '<li class="e">1<ul><li class="e">2</li><li>3</li></ul>4<a></a></li><li class="e">5</li>'
+    assert inside(nested, "li", markup.has_class("e")) == ['1<ul><li class="e">2</li><li>3</li></ul>4<a></a>', "2", "5"]
+    assert inside(nested, "li") == ['1<ul><li class="e">2</li><li>3</li></ul>4<a></a>', "2", "3", "5"]
+    assert inside("<p>1<p>2<p/>3", "p") == ["1<p>2<p/>3", "2<p/>3", ""]
+    assert inside("</p>0</p><P>1<p>2</P></p>3</p><p>4", "p") == ["1<p>2</P>", "2", "4"]
+    assert inside("<pre>x</pre><p>1</p>", "p") == ["1"] and inside("none", "p") == [] and inside(None, "p") is None
+    deep = "<b>" * 60 + "x" + "</b>" * 60
+    assert [len(x) for x in inside(deep, "b")] == [1 + 7 * n for n in range(59, -1, -1)]
+
+
+def test_item_inside_an_item_keeps_the_outer_link(spark):
+    inner = '<ul><li class="expansion"><h3 class="expansionTitle">I</h3></li></ul>'
+    item = f'<li class="expansion"><h3 class="expansionTitle">T</h3>{inner}<a class="expansionLink" href="/x?expansionCodes=Q"></a></li>'
+    found = products.catalog_items(products.catalog_pages(catalog(spark, [("en", 1, page(item, ""))]))).orderBy("pos").collect()
+    # as the series-less outer item is searched as a whole, its first title counts
+    assert [(r["product_name"], r["code"]) for r in found] == [("T", "Q"), ("I", "")]
+
+
+def test_table_inside_a_cell_keeps_the_result_row(spark):
+    cell = "<table><tr><td>a</td></tr></table>"
+    html = f"<table><tr><th>h</th></tr><tr><td>1{cell}</td><td>2pt</td><td>3</td><td>4</td><td>5</td></tr></table>"
+    rows = spark.createDataFrame([("https://x/event/detail/7/result", 1, html)], "event_url string, page_no int, html string")
+    found = events.event_results(rows, Stages()).collect()
+    # cells of the table inside count as well, in the order in which they are opened
+    assert [(r["rank"], r["points"], r["player_name"]) for r in found] == [("1a", "a", "2pt")]
+
+
+def test_names_of_references_are_in_a_plan_once(spark):
+    rows = spark.createDataFrame([("u", 1, "<p>x</p>")], "event_url string, page_no int, html string")
+    plan = events.event_headers(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000 and plan.count("CounterClockwiseContourIntegral") == 1
