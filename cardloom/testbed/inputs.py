@@ -323,7 +323,7 @@ def supplier_code_objects(spark: SparkSession, folder: str) -> DataFrame:
 def order_listing(spark: SparkSession, folder: str) -> DataFrame:
     """One listing page per order; every ninth was landed twice."""
     link = "concat('<a href=\"/event/detail/', o_orderkey, '/result\">e</a>') as html"
-    pages = table(spark, folder, "orders").selectExpr("cast(o_orderkey + 1 as int) as page_no", link)
+    pages = spread_table(spark, folder, "orders").selectExpr("cast(o_orderkey + 1 as int) as page_no", link)
     return pages.unionByName(pages.where("page_no % 9 = 0"))
 
 
@@ -340,7 +340,7 @@ def landed_event_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_deck_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Deck pages of the results of :func:`event_pages`; every tenth event lacks those of its second places."""
-    paged = table(spark, folder, "orders").selectExpr("o_orderkey", "explode(sequence(1, cast(1 + o_custkey % 3 as int))) as p")
+    paged = spread_table(spark, folder, "orders").selectExpr("o_orderkey", "explode(sequence(1, cast(1 + o_custkey % 3 as int))) as p")
     decks_of = paged.selectExpr("o_orderkey", "p", "explode(array(1, 2)) as j").where("o_orderkey % 10 <> 3 or j = 1")
     html = """'<input id="deck_a" value="1_2_1"><script>PCGDECK.searchItemName[1]=\\'n(C 001/002)\\';</script>' as html"""
     return decks_of.selectExpr("concat('D', o_orderkey, '-', p, '-', j) as deck_id", html)

@@ -1,14 +1,19 @@
 """Composite jobs: golden rows, and running again changes nothing."""
 
+import contextlib
 import glob
+import io
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from cardloom.operators import audit, codes, decks, summaries
+from cardloom.operators.decks import merge_deck_copies, parse_deck_pages
+from cardloom.operators.joins import likely_rows
 from cardloom.plans import backfill, catalog, ingest, summary
-from cardloom.schemas import DECK_DDL, EVENT_DDL, STORED_RESULTS_DDL
+from cardloom.schemas import DECK_DDL, EVENT_DDL, STORED_EVENT_FIELDS, STORED_RESULTS_DDL
 from cardloom.sinks.documents import write_documents
 from cardloom.sources.documents import read_code_cache, read_document_lines
 
@@ -37,6 +42,13 @@ def rows(table):
     return [tuple(r) for r in table.collect()]
 
 
+def plan_text(table):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        table.explain("formatted")
+    return text.getvalue()
+
+
 def test_event_and_player_reports(documents):
     reports = summary.summarize(*documents)
     assert rows(reports["event_totals"]) == [(4, 6, 1.5)]
@@ -216,6 +228,37 @@ def test_ingest_is_incremental(spark, tmp_path):
     assert [sorted(rows(t)) for t in ingest.stored(spark, store)] == before
 
 
+def test_pages_are_neither_shuffled_nor_staged(spark):
+    _, pages, deck_pages = landed(spark)
+    ids = spark.createDataFrame([("103",)], "event_id string")
+    rows_plan = plan_text(ingest.pages_to_rows(pages, ids))
+    decks_plan = plan_text(merge_deck_copies(parse_deck_pages(likely_rows(deck_pages, "deck_id", ids.select(F.col("event_id").alias("deck_id"))))))
+    for plan in (rows_plan, decks_plan):
+        moved = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan, re.M)
+        assert moved and not [columns for columns in moved if "html" in columns]
+    assert ingest.page_rows(pages, headers=True).columns == [
+        "event_url", "event_id", "page_no", "is_empty", "is_last", "results", "header",
+    ]
+
+
+def test_likely_rows_lose_none(spark):
+    table = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.lit("x").alias("html"))
+    keys = spark.range(0, 5000, 7).select(F.col("id").cast("string").alias("k"))
+    found = {r["k"] for r in likely_rows(table, "k", keys).collect()}
+    assert {str(n) for n in range(0, 5000, 7)} <= found and len(found) < 730
+    assert likely_rows(table, "k", keys.where("false")).count() == 0
+
+
+def test_events_lie_in_few_files(spark, tmp_path):
+    rows_ = [(f"u{n}", str(n), "t", "h", "a", "l", 1, 1, f"2024-{n % 3 + 1:02d}-{n % 28 + 1:02d}" if n % 10 else None) for n in range(600)]
+    table = spark.createDataFrame(rows_, ", ".join(f"{k} {v}" for k, v in STORED_EVENT_FIELDS.items())).repartition(16)
+    for _ in range(2):
+        ingest.append_events(table, str(tmp_path))
+    files = [f for f in glob.glob(f"{tmp_path}/events/*/*.parquet")]
+    assert len(os.listdir(f"{tmp_path}/events")) >= 4 and len(files) == 2 * 4
+    assert ingest.stored(spark, str(tmp_path))[0].count() == 1200
+
+
 def test_ingest_after_a_lost_run(spark, tmp_path):
     """Results are there, headers are not: the run ended in between. The event is taken up again, without copies."""
     listing, pages, deck_pages = landed(spark)
