@@ -181,6 +181,9 @@ ORACLES: dict[str, str] = {
     "events_in_range": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS event_date, count(*) AS event_count FROM orders
         JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1999-01-01'
         GROUP BY 1 ORDER BY 1 DESC LIMIT 10""",
+    "stored_events_in_range": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS event_date, count(*) AS event_count FROM orders
+        JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1999-01-01'
+        GROUP BY 1""",
     "top_hosts": """SELECT left(c_name, 16) AS host, count(*) AS event_count FROM orders
         JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
     "player_stats": f"WITH {STATS} SELECT * FROM stats",

@@ -14,7 +14,7 @@ from cardloom.functions.text import decode_references, select_decoded
 from cardloom.operators import audit, codes, decks, events, paging, products, summaries
 from cardloom.plans import backfill, ingest, summary
 from cardloom.plans.catalog import product_catalog
-from cardloom.schemas import DECK_DDL, EVENT_DDL
+from cardloom.schemas import DECK_DDL, EVENT_DDL, STORED_EVENT_FIELDS
 from cardloom.session import OPEN_STAGES, fresh_path, numbered
 from cardloom.sinks import documents as sinks
 from cardloom.sources import documents as sources
@@ -48,6 +48,23 @@ def events_in_range(spark, folder):
     return summaries.events_by_date(inputs.events(spark, folder), 10, "1996-01-01", "1998-12-31")
 
 
+@query
+def stored_events_in_range(spark, folder):
+    """All dates of a range, from a store that three runs filled and whose files were merged; reads its months only."""
+    store, events = fresh_path(spark, "store"), inputs.events(spark, folder)
+    fields = [
+        F.col(name) if name in events.columns else F.lit(None).cast(kind).alias(name)
+        for name, kind in STORED_EVENT_FIELDS.items()
+    ]
+    first, second = "1997-06-10", "1997-06-20"
+    date = F.col("event_date")
+    for run in (date < first, date.between(first, second), date > second):
+        ingest.append_events(events.where(run).select(*fields), store)
+    ingest.merge_event_files(spark, store)
+    found = ingest.stored_events_between(spark, store, "1996-01-01", "1998-12-31")
+    return summaries.events_by_date(found, None)
+
+
 @query
 def event_counts_by_date(spark, folder):
     return summaries.events_by_date(inputs.events(spark, folder), None)

@@ -259,6 +259,47 @@ def test_events_lie_in_few_files(spark, tmp_path):
     assert ingest.stored(spark, str(tmp_path))[0].count() == 1200
 
 
+def stored_events(spark, store, dates):
+    for run, date in enumerate(dates):
+        fields = {"event_id": str(run), "event_date": date}
+        columns = [F.lit(fields.get(name)).cast(kind).alias(name) for name, kind in STORED_EVENT_FIELDS.items()]
+        ingest.append_events(spark.range(3).select(*columns), store)
+
+
+def test_a_date_range_reads_only_its_months(spark, tmp_path):
+    dates = ["2025-01-05", "2025-01-31", "2025-02-01", "2025-03-09", None, "", "odd date"]
+    stored_events(spark, str(tmp_path), dates)
+    everything = ingest.stored_events_between(spark, str(tmp_path), None, None)
+    assert everything.count() == 3 * len(dates)
+    for first in (None, "", "2025-01-06", "2025-01-31", "2025-04-01"):
+        for last in (None, "2025-01-31", "2025-02-01", "zzz"):
+            found = ingest.stored_events_between(spark, str(tmp_path), first, last)
+            by_date = sorted(rows(summaries.events_by_date(found, None, first, last)))
+            assert by_date == sorted(rows(summaries.events_by_date(everything, None, first, last)))
+            assert found.count() == sum(n for _, n in by_date)
+    few = ingest.stored_events_between(spark, str(tmp_path), "2025-01-06", "2025-02-28")
+    assert re.search(r"PartitionFilters: \[.*event_month", plan_text(few))
+    read = {r.path.split("event_month=")[1].split("/")[0] for r in few.select(F.col("_metadata.file_path").alias("path")).collect()}
+    assert read == {"2025-01", "2025-02"}
+    scanned = re.search(r"number of files read: (\d+)", few._jdf.queryExecution().toString())
+    assert scanned is None or int(scanned[1]) == 3
+
+
+def test_files_of_a_month_are_merged(spark, tmp_path):
+    store = str(tmp_path)
+    stored_events(spark, store, ["2025-01-05", "2025-01-31", "2025-01-07", "2025-02-01", None, "", None])
+    count = lambda month: len(glob.glob(f"{store}/events/event_month={month}/*.parquet"))
+    untouched = glob.glob(f"{store}/events/event_month=2025-02/*.parquet")
+    before = sorted(rows(ingest.stored(spark, store)[0].fillna("none")))
+    assert (count("2025-01"), count("__HIVE*")) == (3, 3)
+    assert ingest.merge_event_files(spark, store) == ["", "2025-01"]
+    assert (count("2025-01"), count("__HIVE*")) == (1, 1)
+    assert glob.glob(f"{store}/events/event_month=2025-02/*.parquet") == untouched
+    assert sorted(rows(ingest.stored(spark, store)[0].fillna("none"))) == before
+    assert ingest.merge_event_files(spark, store) == []
+    assert ingest.merge_event_files(spark, f"{store}/none") == []
+
+
 def test_ingest_after_a_lost_run(spark, tmp_path):
     """Results are there, headers are not: the run ended in between. The event is taken up again, without copies."""
     listing, pages, deck_pages = landed(spark)
