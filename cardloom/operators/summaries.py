@@ -32,28 +32,44 @@ def event_totals(events: DataFrame, participants: str | Column = NESTED_RESULTS)
     totals = events.agg(
         _count().alias("total_events"), F.coalesce(F.sum(people.cast("bigint")), F.lit(0)).alias("total_participants")
     )
+    return with_participants_per_event(totals)
+
+
+def with_participants_per_event(totals: DataFrame) -> DataFrame:
     average = F.try_divide(F.col("total_participants").cast("double"), F.col("total_events"))
     return totals.withColumn("avg_participants", F.round(average, 1))
 
 
 def events_by_date(
-    events: DataFrame, n: int | None = 10, first_date: str | None = None, last_date: str | None = None
+    events: DataFrame,
+    n: int | None = 10,
+    first_date: str | None = None,
+    last_date: str | None = None,
+    count: Column | None = None,
 ) -> DataFrame:
-    """The ``n`` latest dates (all with ``None``) with their number of events, optionally between two dates (inclusive)."""
-    dated = events.select(F.coalesce("event_date", F.lit(UNKNOWN)).alias("event_date"))
+    """The ``n`` latest dates (all with ``None``) with their number of events, optionally between two dates (inclusive).
+
+    ``count`` is the aggregate that counts, where rows stand for several events.
+    """
+    dated = events.withColumn("event_date", F.coalesce("event_date", F.lit(UNKNOWN)))
     if first_date is not None:
         dated = dated.where(F.col("event_date") >= first_date)
     if last_date is not None:
         dated = dated.where(F.col("event_date") <= last_date)
-    counts = dated.groupBy("event_date").agg(_count().alias("event_count"))
+    counts = dated.groupBy("event_date").agg((_count() if count is None else count).alias("event_count"))
     return _first(counts, n, F.desc("event_date"))
 
 
-def top_hosts(events: DataFrame, n: int | None = 10, width: int | None = 50) -> DataFrame:
-    """The ``n`` hosts with the most events. Names are cut to ``width`` characters first, which merges hosts; ``None`` lifts either limit."""
+def top_hosts(
+    events: DataFrame, n: int | None = 10, width: int | None = 50, count: Column | None = None
+) -> DataFrame:
+    """The ``n`` hosts with the most events. Names are cut to ``width`` characters first, which merges hosts; ``None`` lifts either limit.
+
+    ``count`` as in :func:`events_by_date`.
+    """
     host = F.coalesce("event_host", F.lit(UNKNOWN))
-    hosts = events.select((host if width is None else truncate(host, width)).alias("host"))
-    counts = hosts.groupBy("host").agg(_count().alias("event_count"))
+    hosts = events.withColumn("host", host if width is None else truncate(host, width))
+    counts = hosts.groupBy("host").agg((_count() if count is None else count).alias("event_count"))
     return _first(counts, n, F.desc("event_count"), "host")
 
 
@@ -71,17 +87,21 @@ def player_appearances(results: DataFrame) -> DataFrame:
 
 def player_stats(results: DataFrame) -> DataFrame:
     """Per player: name and area of the latest result, number of results, number of first places."""
-    latest = F.max(F.struct("event_date", "event_id", "pos", "player_name", "player_area"))
-    return (
-        results.where("player_id <> ''")
-        .groupBy("player_id")
-        .agg(
-            latest.alias("latest"),
-            _count().alias("appearances"),
-            F.count_if(F.col("rank") == FIRST_PLACE).alias("first_places"),
-        )
-        .select("player_id", "latest.player_name", "latest.player_area", "appearances", "first_places")
-    )
+    return named_players(results.where("player_id <> ''").groupBy("player_id").agg(*player_measures()))
+
+
+def player_measures() -> list[Column]:
+    """What is kept of a player's results: the latest one, their number, the first places. All three can be merged."""
+    latest = F.struct("event_date", "event_id", F.col("pos").cast("int").alias("pos"), "player_name", "player_area")
+    return [
+        F.max(latest).alias("latest"),
+        _count().alias("appearances"),
+        F.count_if(F.col("rank") == FIRST_PLACE).alias("first_places"),
+    ]
+
+
+def named_players(measures: DataFrame) -> DataFrame:
+    return measures.select("player_id", "latest.player_name", "latest.player_area", "appearances", "first_places")
 
 
 def player_total(results: DataFrame) -> DataFrame:
@@ -118,11 +138,20 @@ NESTED_CARDS = "coalesce(size(cards), 0)"
 
 def card_usage(cards: DataFrame, n: int | None = 30) -> DataFrame:
     """The ``n`` cards with the most copies over all decks, by name and code."""
+    return _first(card_copies_by_key(cards), n, F.desc("copies"), "card_key")
+
+
+def card_copies_by_key(cards: DataFrame, *keys: str) -> DataFrame:
+    """Copies by name and code, and by ``keys`` where given."""
     keyed = cards.where("card_name <> ''").select(
-        card_key(F.col("card_name"), F.col("card_code")).alias("card_key"), F.col("quantity").cast("bigint")
+        *keys, card_key(F.col("card_name"), F.col("card_code")).alias("card_key"), F.col("quantity").cast("bigint")
     )
-    copies = keyed.groupBy("card_key").agg(F.sum("quantity").alias("copies"))
-    return _first(copies, n, F.desc("copies"), "card_key")
+    return keyed.groupBy(*keys, "card_key").agg(F.sum("quantity").alias("copies"))
+
+
+def most_copies(copies: DataFrame, n: int | None = 30) -> DataFrame:
+    """:func:`card_usage` of counts such as :func:`card_copies_by_key` gives, added up by card."""
+    return _first(copies.groupBy("card_key").agg(F.sum("copies").alias("copies")), n, F.desc("copies"), "card_key")
 
 
 def deck_size_stats(decks: DataFrame, entries: str | Column = NESTED_CARDS) -> DataFrame:
@@ -172,7 +201,8 @@ def deck_archetypes(cards: DataFrame, n: int | None = 20, markers: Sequence[str]
     return archetype_counts(key_cards, n)
 
 
-def archetype_counts(key_cards: DataFrame, n: int | None = 20) -> DataFrame:
-    """Count decks by their ``key_card``; decks without one are absent."""
-    counts = key_cards.where("key_card is not null").groupBy("key_card").agg(_count().alias("deck_count"))
+def archetype_counts(key_cards: DataFrame, n: int | None = 20, count: Column | None = None) -> DataFrame:
+    """Count decks by their ``key_card``; decks without one are absent. ``count`` as in :func:`events_by_date`."""
+    counted = (_count() if count is None else count).alias("deck_count")
+    counts = key_cards.where("key_card is not null").groupBy("key_card").agg(counted)
     return _first(counts, n, F.desc("deck_count"), "key_card")

@@ -14,15 +14,16 @@ from cardloom.operators.decks import cards_of, copies_in, entries_in, key_cards_
 from cardloom.operators.events import results_of
 
 
-def document_key_cards(decks: DataFrame, markers: Sequence[str] = ENERGY_MARKERS) -> DataFrame:
-    """Key card of every deck document, found inside its row without a shuffle: ``deck_id, key_card``."""
+def document_key_cards(decks: DataFrame, markers: Sequence[str] = ENERGY_MARKERS, *keep: str) -> DataFrame:
+    """Key card of every deck document, found inside its row without a shuffle: ``keep, deck_id, key_card``."""
     first = F.get(key_cards_in(F.col("cards"), 1, markers), F.lit(0))
-    return select_once(decks, ["deck_id"], first["card_name"].alias("key_card"))
+    return select_once(decks, [*keep, "deck_id"], first["card_name"].alias("key_card"))
 
 
-def document_totals(decks: DataFrame) -> DataFrame:
-    """Copies and entries of every deck document, empty ones included: ``deck_id, copies, entries``."""
+def document_totals(decks: DataFrame, *keep: str) -> DataFrame:
+    """Copies and entries of every deck document, empty ones included: ``keep, deck_id, copies, entries``."""
     return decks.select(
+        *keep,
         "deck_id",
         F.coalesce(copies_in(F.col("cards")), F.lit(0)).alias("copies"),
         entries_in(F.col("cards")).alias("entries"),

@@ -12,7 +12,7 @@ from cardloom.functions.cards import card_code_of, card_name_of
 from cardloom.functions.once import explode_once
 from cardloom.functions.text import decode_references, select_decoded
 from cardloom.operators import audit, codes, decks, events, paging, products, summaries
-from cardloom.plans import backfill, ingest, summary
+from cardloom.plans import backfill, ingest, standing, summary
 from cardloom.plans.catalog import product_catalog
 from cardloom.schemas import DECK_DDL, EVENT_DDL, STORED_EVENT_FIELDS
 from cardloom.session import OPEN_STAGES, fresh_path, numbered
@@ -114,6 +114,38 @@ def first_place_total(spark, folder):
     return summaries.first_place_total(inputs.results(spark, folder))
 
 
+# ---- standing reports ------------------------------------------------------------------------------------------------
+
+
+def _standing(spark, dated, source, first="1997-06-10"):
+    """The state after a refresh with the days before ``first``, and one with all days."""
+    state = fresh_path(spark, "state")
+    standing.refresh(dated.where(F.col("event_date") < first), state, source)
+    standing.refresh(dated, state, source)
+    return state
+
+
+@query
+def standing_host_counts(spark, folder):
+    events = inputs.events(spark, folder).withColumn("participants", F.lit(0))
+    hosts = standing.part_rows(spark, _standing(spark, events, "events"), "hosts")
+    return summaries.top_hosts(hosts, None, None, F.sum("events"))
+
+
+@query
+def standing_player_stats(spark, folder):
+    state = _standing(spark, inputs.results(spark, folder), "results")
+    return standing.player_stats(standing.part_rows(spark, state, "players"))
+
+
+@query
+def standing_document_archetypes(spark, folder):
+    dates = inputs.events(spark, folder).select(F.concat(F.lit("D"), "event_id").alias("deck_id"), "event_date")
+    documents = decks.parse_deck_pages(inputs.deck_pages(spark, folder))
+    state = _standing(spark, OPEN_STAGES.write(documents.join(dates, "deck_id"), "dated-decks"), "decks")
+    return standing.reports(spark, state)["deck_archetypes"]
+
+
 # ---- decks -----------------------------------------------------------------------------------------------------------
 
 
