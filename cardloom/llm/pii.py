@@ -23,6 +23,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
+_SPELT_AT = re.compile(r"[\[({]at[\])}]", re.IGNORECASE)
+_SPELT_DOT = re.compile(r"\x20?[\[({]dot[\])}]\x20?", re.IGNORECASE)
+_SPELT = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]++"
+    r"(?:\x20?(?:[\[({]dot[\])}]|\.)\x20?[A-Za-z0-9-]++)++",
+    re.IGNORECASE,
+)
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _BEFORE = re.compile(r"[^\x20\x09-\x0D]*\Z")
 _CORE = re.compile(r"[0-9A-Za-z+(@].*[0-9A-Za-z)]|[0-9A-Za-z]", re.DOTALL)
@@ -76,12 +83,16 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass(frozen=True)
 class CrfSettings:
-    """``sample`` documents, those with the smallest hashes of their ids, bound what the weights are fitted on.
+    """``sample`` different rows, those with the smallest hashes among the rows with a candidate token, and the first
+    ``tokens`` candidates of each bound what the weights are fitted on. Of the base spans in them the share ``hidden`` is
+    written in a way that the patterns miss, and keeps its label.
 
     ``sure`` is the marginal that a token needs to become a span.
     """
 
     sample: int = 2000
+    tokens: int = 500
+    hidden: float = 0.2
     features: int = 4096
     steps: int = 200
     ridge: float = 1e-4
@@ -95,25 +106,39 @@ class Tokens:
 
     spans: list[tuple[int, int]]
     features: list[list[int]]
-    keys: list[str]
+    keys: list[tuple[str, ...]]
     numbers: list[int]
     given: list[int]
 
+    def first(self, n: int) -> Tokens:
+        return Tokens(self.spans[:n], self.features[:n], self.keys[:n], self.numbers[:n], self.given[:n])
+
 
 def candidates(text: str, spans: list[Span], size: int) -> Tokens:
-    """Tokens with a digit or an @. All others are no personal data in this model, so they end a chain.
+    """Tokens with a digit or an @, and addresses that are spelt out, as in ``name [at] host [dot] com``. All others are no
+    personal data in this model, so they end a chain.
 
     A token within a base span has that span's label.
     """
+    spelt = [m.span() for m in _SPELT.finditer(text)] if _SPELT_AT.search(text) else []
+    next_spelt = 0
     out = Tokens([], [], [], [], [])
     number = last = next_span = 0
     by_end = sorted(spans, key=lambda s: s[0])
     at = 0
     previous = ""
-    while mark := _MARK.search(text, at):
-        start = max(at, _start(text, mark.start(), at))
-        space = _SPACE.search(text, mark.end())
-        end = space.start() if space else len(text)
+    while True:
+        mark = _MARK.search(text, at)
+        while next_spelt < len(spelt) and spelt[next_spelt][0] < at:
+            next_spelt += 1
+        if next_spelt < len(spelt) and (not mark or spelt[next_spelt][0] <= mark.start()):
+            start, end = spelt[next_spelt]
+        elif mark:
+            start = max(at, _start(text, mark.start(), at))
+            space = _SPACE.search(text, mark.end())
+            end = space.start() if space else len(text)
+        else:
+            return out
         gap = text[last:start]
         number += 1 if not gap.strip(" \t\n\r\x0b\x0c") else 2
         if gap.strip(" \t\n\r\x0b\x0c"):
@@ -128,11 +153,10 @@ def candidates(text: str, spans: list[Span], size: int) -> Tokens:
                 break
         out.spans.append((start, end))
         out.features.append(_features(token, previous, text[end : end + 24].split(None, 1)[:1], size))
-        out.keys.append(_key(token))
+        out.keys.append(_keys(token))
         out.numbers.append(number)
         out.given.append(label)
         previous, last, at = token, end, end
-    return out
 
 
 def _start(text: str, mark: int, floor: int) -> int:
@@ -140,10 +164,26 @@ def _start(text: str, mark: int, floor: int) -> int:
     return max(text.rfind(c, floor, mark) for c in " \t\n\r\x0b\x0c") + 1 if mark > floor else mark
 
 
-def _key(token: str) -> str:
-    """Similar tokens have one key: the digits if there are five or more, else the token in lower case."""
+def _plain(token: str) -> str:
+    """An address that is spelt out in its usual form."""
+    return _SPELT_DOT.sub(".", re.sub(rf"\x20?{_SPELT_AT.pattern}\x20?", "@", token, flags=re.IGNORECASE))
+
+
+def _keys(token: str) -> tuple[str, ...]:
+    """Tokens with a key in common are similar.
+
+    Of a number with five or more digits the keys are its digits and, from seven on, the last seven, so that a number
+    with and without its prefixes meets; of an address the address and, from four characters on, what is before its @.
+    All other tokens have themselves in lower case.
+    """
+    word = (_plain(token) if _SPELT_AT.search(token) else token).lower().strip(".,;:!?|()\"'")
+    if "@" in word:
+        name = word.split("@", 1)[0]
+        return (word, f"{name}@") if len(name) >= 4 else (word,)
     digits = _digits(token)
-    return digits if len(digits) >= 5 and "@" not in token else token.lower().strip(".,;:!?|()\"'")
+    if len(digits) >= 7:
+        return digits, f"...{digits[-7:]}"
+    return (digits,) if len(digits) >= 5 else (word,)
 
 
 def _features(token: str, before: str, after: list[str], size: int) -> list[int]:
@@ -155,14 +195,59 @@ def _features(token: str, before: str, after: list[str], size: int) -> list[int]
         "bias",
         f"shape {shape}",
         f"digits {min(len(digits), 20)}",
-        f"at {'@' in token} dots {min(core.count('.'), 4)} plus {token[0] == '+'} letters {'a' in shape}",
-        f"card {12 <= len(digits) <= 19 and _luhn(digits)} ip {bool(_IP.fullmatch(core)) and _is_ip(core)}",
+        f"at {'@' in token or bool(_SPELT.fullmatch(core))} dots {min(core.count('.'), 4)} plus {token[0] == '+'} letters {'a' in shape}",
+        f"address {_is_address(core)} card {12 <= len(digits) <= 19 and _luhn(digits)} ip {_is_quad(core)}",
         f"before {before[-24:].lower()}",
         f"after {after[0].lower() if after else ''}",
     ]
     return [zlib.crc32(name.encode()) % size for name in named]
 
 
+def _is_address(core: str) -> bool:
+    name, at, domain = (_plain(core) if _SPELT_AT.search(core) else core).partition("@")
+    return bool(at and name and _LOCAL.issuperset(name) and _DOMAIN.fullmatch(domain))
+
+
+def _is_quad(core: str) -> bool:
+    """Whether this is an address of four parts, also with its points in brackets."""
+    quad = core.replace("[.]", ".").replace("(.)", ".")
+    return bool(_IP.fullmatch(quad)) and _is_ip(quad)
+
+
+def disguised(text: str, spans: list[Span], share: float) -> tuple[str, list[Span], list[Span]]:
+    """The text with about a ``share`` of its spans written in a way that the patterns miss: the text, the places of all
+    spans in it, and those of the changed ones. Whether a span is changed hangs on its text and place alone; spans that
+    overlap others stay."""
+    pieces, places, changed, at, grown = [], [], [], 0, 0
+    for i, (start, kind, end) in enumerate(spans):
+        alone = start >= at and (i + 1 == len(spans) or spans[i + 1][0] >= end)
+        own = text[start:end]
+        new = own
+        if alone and zlib.crc32(f"{start}:{own}".encode()) < share * 2**32:
+            new = _disguise(own, kind, zlib.crc32(own.encode()) % 2)
+            pieces += [text[at:start], new]
+            at = end
+        place = (start + grown, kind, start + grown + len(new))
+        places.append(place)
+        if new != own:
+            changed.append(place)
+        grown += len(new) - len(own)
+    return "".join(pieces) + text[at:], places, changed
+
+
+def _disguise(own: str, kind: int, way: int) -> str:
+    if kind == 0:
+        at, dot = (" [at] ", " [dot] ") if way else ("(at)", "(dot)")
+        name, _, domain = own.partition("@")
+        return name + at + domain.replace(".", dot)
+    if kind == 1:
+        return own.replace(".", "[.]" if way else "(.)")
+    if kind == 2:
+        digits = _digits(own)
+        return ("." if way else "/").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return own[1:]
+
+
 def _edges(tokens: list[Tokens]) -> tuple[np.ndarray, np.ndarray]:
     """Chain edges between neighbouring tokens, and skip edges from each token to the next similar one of its text.
 
@@ -171,13 +256,13 @@ def _edges(tokens: list[Tokens]) -> tuple[np.ndarray, np.ndarray]:
     chain, skip, at = [], [], 0
     for one in tokens:
         latest: dict[str, int] = {}
-        for i, key in enumerate(one.keys):
+        for i, keys in enumerate(one.keys):
             joined = i > 0 and one.numbers[i] == one.numbers[i - 1] + 1
             if joined:
                 chain.append((at + i - 1, at + i))
-            if key in latest and not (joined and latest[key] == i - 1):
-                skip.append((at + latest[key], at + i))
-            latest[key] = i
+            similar = {latest[key] for key in keys if key in latest}
+            skip += [(at + j, at + i) for j in sorted(similar) if not (joined and j == i - 1)]
+            latest |= dict.fromkeys(keys, i)
         at += len(one.keys)
     return (np.array(x, dtype=np.int64).reshape(-1, 2) for x in (chain, skip))
 
@@ -258,26 +343,34 @@ def _weak_labels(settings: CrfSettings) -> Callable:
         for batch in batches:
             rows: dict[str, list] = {"features": [], "labels": [], "chain": [], "skip": []}
             for text in batch.column("text").to_pylist():
-                text = text or ""
-                tokens = candidates(text, base_spans(text), settings.features)
+                seen, places, _ = disguised(text, base_spans(text), settings.hidden)
+                tokens = candidates(seen, sorted(places), settings.features).first(settings.tokens)
                 labels = np.maximum(0, np.array(tokens.given, dtype=np.int64))
                 rows["features"].append([f for token in tokens.features for f in token])
                 rows["labels"].append(labels.tolist())
                 for name, edges in zip(("chain", "skip"), _edges([tokens]), strict=True):
                     codes = labels[edges[:, 0]] * LABELS + labels[edges[:, 1]]
                     rows[name].append(np.bincount(codes, minlength=LABELS**2).tolist())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.list_(pa.int64())) for k, v in rows.items()})
+            arrays = {k: pa.array(v, pa.list_(pa.int64())) for k, v in rows.items()}
+            keys = {name: batch.column(name) for name in ("doc_id", "part")}
+            yield pa.RecordBatch.from_pydict(keys | arrays)
 
     return run
 
 
 def trained(docs: DataFrame, settings: CrfSettings) -> Crf:
-    """Fit the field on at most ``sample`` documents; labels are those of the base spans."""
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(*order).limit(settings.sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
-    schema = "features array<long>, labels array<long>, chain array<long>, skip array<long>"
-    rows = texts.mapInArrow(_weak_labels(settings), schema).collect()
+    """Fit the field on at most ``sample`` different rows and ``tokens`` candidates of each; labels are those of the base spans.
+
+    Rows are chosen by slim keys and repeated ones count once, so neither texts nor copies come together in a task.
+    """
+    marked = docs.where("doc_id is not null").where(F.col("text").rlike(r"[0-9@]|(?i)[\[({]at[\])}]"))
+    keyed = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("part"))
+    order = [F.xxhash64("doc_id", "part"), "doc_id", "part"]
+    chosen = keyed.select("doc_id", "part").distinct().orderBy(*order).limit(settings.sample)
+    texts = keyed.join(F.broadcast(chosen), ["doc_id", "part"])
+    lists = ("features", "labels", "chain", "skip")
+    schema = "doc_id long, part long, " + ", ".join(f"{name} array<long>" for name in lists)
+    rows = texts.mapInArrow(_weak_labels(settings), schema).dropDuplicates(["doc_id", "part"]).orderBy(*order).collect()
     width = len(_features("0", "", [], settings.features))
     gather = lambda name: np.array([x for row in rows for x in row[name]], dtype=np.int64)
     table = lambda name: np.sum([row[name] for row in rows] or [[0] * LABELS**2], axis=0).reshape(LABELS, LABELS)
@@ -343,7 +436,9 @@ def personal_data(docs: DataFrame, settings: CrfSettings | None = None) -> DataF
 
     Base spans are evidence. The field's other tokens take labels from their looks, from their neighbours, and over skip
     edges from similar tokens anywhere in the document; loopy messages bring them into line. Spans that the field is sure
-    about are added where no base span is. Places are code points, ends exclusive.
+    about are added where no base span is. What it is taught with holds base spans that are disguised, so it finds addresses
+    that are spelt out, points in brackets, cards with other separators, and numbers without their plus. Places are code
+    points, ends exclusive.
 
     Null and empty texts have no spans. Repeated rows are judged each for themselves; a null ``doc_id`` stays null and
     teaches nothing. Other columns are not read. With nothing to learn from nothing is added; an empty table gives none.

@@ -125,3 +125,69 @@ def test_messages_are_exact_on_a_chain():
         for i, x in enumerate(path):
             wanted[i, x] += weight
     assert np.allclose(crf.marginals([tokens], 60), wanted / wanted.sum(axis=1, keepdims=True), atol=1e-6)
+
+
+DISGUISED = {
+    0: ["a.b [at] x [dot] org", "a.b(at)x(dot)org"], 1: ["1[.]2[.]3[.]4", "1(.)2(.)3(.)4"],
+    2: ["4111.1111.1111.1111", "4111/1111/1111/1111"], 3: ["1 (786) 555-4469"],
+}
+
+
+def test_disguised_spans_are_missed_by_the_patterns_and_keep_their_places():
+    text = "mail a.b@x.org or 1.2.3.4, then 4111 1111 1111 1111 and +1 (786) 555-4469 to end"
+    spans = pii.base_spans(text)
+    assert [kind for _, kind, _ in spans] == [0, 1, 2, 3]
+    seen, places, changed = pii.disguised(text, spans, 1.0)
+    assert changed == places and pii.base_spans(seen) == []
+    assert all(seen[a:b] in DISGUISED[kind] for a, kind, b in places)
+    assert pii.disguised(text, spans, 0.0) == (text, spans, [])
+    assert pii.disguised("", [], 1.0) == ("", [], [])
+
+
+def test_spelt_out_addresses_are_one_candidate_and_similar_to_plain_ones():
+    text = "mail a.b7 [at] x [dot] org now, (at) alone [AT]x and A.B7@x.org"
+    tokens = pii.candidates(text, [], 64)
+    assert [text[a:b] for a, b in tokens.spans] == ["a.b7 [at] x [dot] org", "A.B7@x.org"]
+    assert [edge.tolist() for edge in pii._edges([tokens])] == [[], [[0, 1]]]
+
+
+def test_numbers_are_similar_by_their_last_digits_and_addresses_by_their_name():
+    text = "+14155550199 is 5550199 is 415-555-0199 x, anna.b@x.org like anna.b@y.net not ann@x.org, ann@y.net"
+    _, skip = pii._edges([pii.candidates(text, [], 64)])
+    assert skip.tolist() == [[0, 1], [1, 2], [3, 4]]
+
+
+def test_the_sample_is_bounded_in_different_rows_and_tokens(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda features, labels, *rest: seen.append(labels))
+    rows = [(7, "1 2 3 4 5 6")] * 40 + [(i, "8 9") for i in range(20)] + [(None, "1"), (50, None), (51, "none")]
+    pii.trained(frame(spark, rows), pii.CrfSettings(sample=1000, tokens=3))
+    pii.trained(frame(spark, rows), pii.CrfSettings(sample=4, tokens=3))
+    assert len(seen[0]) == 3 + 20 * 2 and len(seen[1]) in (8, 9)
+
+
+def test_hidden_spans_are_found_in_documents_it_has_not_seen(spark):
+    """A fifth of the base spans hidden, by another way of writing them or by taking the pattern's evidence away."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    settings = pii.CrfSettings()
+    crf = pii.trained(docs.where("doc_id % 2 = 0"), settings)
+    texts = [r.text for r in docs.where("doc_id % 2 = 1 and text is not null").orderBy("doc_id").collect()]
+    for way in ("written otherwise", "no evidence"):
+        hidden = found = added = right = 0
+        for n, text in enumerate(texts):
+            base = pii.base_spans(text)
+            if way == "no evidence":
+                seen, gone = text, [span for i, span in enumerate(base) if (n + i) % 5 == 0]
+                left = [span for span in base if span not in gone]
+            else:
+                seen, _, gone = pii.disguised(text, base, 0.2)
+                left = pii.base_spans(seen)
+            tokens = pii.candidates(seen, left, settings.features)
+            if not tokens.keys:
+                continue
+            more = pii.added_spans(seen, tokens, crf.marginals([tokens], settings.sweeps), settings.sure)
+            meets = lambda a, b: a[1] == b[1] and a[0] < b[2] and b[0] < a[2]
+            hidden, added = hidden + len(gone), added + len(more)
+            found += sum(any(meets(span, other) for other in more) for span in gone)
+            right += sum(any(meets(span, other) for other in gone) for span in more)
+        assert hidden >= 30 and found >= 0.9 * hidden and right >= 0.9 * added, (way, hidden, found, added, right)
