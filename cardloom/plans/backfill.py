@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from cardloom.schemas import DECK_DDL
 from cardloom.session import OPEN_STAGES, Stages
 from cardloom.sinks.documents import write_code_cache, write_documents
 from cardloom.sources.documents import read_code_cache, read_document_lines
+from cardloom.sources.landed import read_or_none
 
 
 @dataclass(frozen=True)
@@ -58,33 +60,78 @@ def plan_backfill(decks: DataFrame, cache: DataFrame, code_pages: DataFrame) ->
     )
 
 
+def blanks_path(store: str) -> str:
+    """Where the index of a store of deck documents is: beside it, as all that is in its folder are documents."""
+    return f"{store.rstrip('/')}-blanks"
+
+
+def write_blanks(decks: DataFrame, store: str, partition: str, mode: str = "overwrite") -> None:
+    """Index the documents' cards without a code: ``card_id, deck_file``, a folder per partition of the store.
+
+    Each partition also has a row without a card, so that one in which nothing is missing any more is replaced as well.
+    """
+    folder = f"{partition}_folder"
+    named = decks.withColumn(folder, F.coalesce(F.col(partition).cast("string"), F.lit("")))
+    marks = named.select(folder).distinct().select(
+        folder, F.lit(None).cast("string").alias("deck_file"), F.lit(None).cast("string").alias("card_id")
+    )
+    rows = blank_ids(named, folder, "deck_file").unionByName(marks)
+    rows.hint("rebalance", folder).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(
+        blanks_path(store)
+    )
+
+
+def write_decks(decks: DataFrame, store: str, partition: str = "event_date", mode: str = "overwrite") -> None:
+    """Deck documents as ``write_documents`` writes them, and before that their index, so that a back-fill need not look
+    for missing codes in all documents. ``decks`` has ``deck_file``. A run that ends in between is to be repeated."""
+    with Stages() as stages:
+        whole = stages.write(decks, "decks-to-store")
+        write_blanks(whole, store, partition, mode)
+        write_documents(whole, store, partition, mode)
+
+
 def run_backfill(
     spark: SparkSession, store: str, cache: DataFrame, code_pages: DataFrame, cache_path: str, partition: str
 ) -> DataFrame:
     """Write the new cache to a new path, then fill the deck documents of a store where they are; gives the report.
 
-    ``store`` is a folder of JSON lines, one folder per ``partition`` value, as ``write_documents`` makes it. Only
-    partitions with a change are worked out anew: their documents, filled and unchanged, are staged, and then replace
-    the partition. A run that ends in between leaves partitions in their old or their new form, and running again fills
-    the rest; on a full store it changes nothing. The cache is written first, as it is the costly part.
+    ``store`` is a folder of JSON lines, one folder per ``partition`` value, as ``write_decks`` makes it. What is missing,
+    and where, is read from its index; a store without one (of ``write_documents``) is indexed first, by one scan. Of the
+    documents only partitions with a change are read and worked out anew: their documents, filled and unchanged, are
+    staged, and then replace the partition, and after that its index. A run that ends in between leaves partitions in
+    their old or their new form and an index that names no fewer blanks than there are, and running again fills the rest;
+    on a full store it changes nothing. The cache is written first, as it is the costly part.
     """
     folder = f"{partition}_folder"
+    decks, _ = read_document_lines(spark, store, f"{DECK_DDL}, deck_file string, {partition} string", folder)
+    index_schema = f"deck_file string, card_id string, {folder} string"
+    blanks = read_or_none(spark, blanks_path(store), index_schema)
+    if blanks is None:
+        write_blanks(decks, store, partition)
+        blanks = spark.read.schema(index_schema).parquet(blanks_path(store))
     with Stages() as stages:
-        decks, _ = read_document_lines(spark, store, f"{DECK_DDL}, deck_file string, {partition} string", folder)
-        plan = plan_backfill(decks, cache, code_pages)
-        write_code_cache(plan.cache, cache_path)
+        missing = blanks.select("card_id").where("card_id is not null").distinct()
+        pages = hot_key_join(code_pages, codes_to_fetch(missing, cache), "card_id", "left_semi")
+        write_code_cache(upsert_cache(cache, fetched_codes(pages)), cache_path)
         saved = read_code_cache(spark, cache_path, layout="lines")
-        report = OPEN_STAGES.write(backfill_report(cards_of(decks, "deck_id", "deck_file"), saved), "backfill-report")
         known = saved.where("card_code <> ''").select("card_id")
-        touched = hot_key_join(blank_ids(decks, folder), known, "card_id", "left_semi").select(folder).distinct()
         name = F.coalesce(folder, F.lit(""))
-        names = [row["name"] for row in touched.select(name.alias("name")).collect()]  # folders of the store
+        touched = hot_key_join(blanks, known, "card_id", "left_semi").select(name.alias("name")).distinct()
+        names = sorted(row["name"] for row in touched.collect())  # folders of the store
+        filled = [spark.createDataFrame([], "deck_file string, card_id string")]
         for start in range(0, len(names), FOLDERS_AT_ONCE):
             few = decks.where(name.isin(names[start : start + FOLDERS_AT_ONCE]))
+            filled.append(
+                stages.write(hot_key_join(blank_ids(few, "deck_file"), known, "card_id", "left_semi"), "filled-blanks")
+            )
             changed = backfill_documents(few, saved, stages=stages)
             whole = stages.write(with_changes(few, changed).drop(folder), "filled-decks")
             write_documents(whole, store, partition)
-    return report
+            write_blanks(whole, store, partition)
+        updated = functools.reduce(DataFrame.unionByName, filled).agg(
+            F.count_distinct("card_id").alias("cards_updated"), F.count_distinct("deck_file").alias("files_updated")
+        )
+        return OPEN_STAGES.write(updated, "backfill-report")
 
 
 #: Partitions that are worked out in one go; a filter on their names prunes the files that are read.

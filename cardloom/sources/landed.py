@@ -62,12 +62,20 @@ def read_keyed_pages(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 def read_or_empty(spark: SparkSession, path: str, schema: str | T.StructType, form: str = "parquet") -> DataFrame:
     """Read a dataset with a declared schema; a path that is not there gives an empty table."""
+    found = read_or_none(spark, path, schema, form)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def read_or_none(
+    spark: SparkSession, path: str, schema: str | T.StructType, form: str = "parquet"
+) -> DataFrame | None:
+    """Read a dataset with a declared schema; a path that is not there gives nothing."""
     try:
         return spark.read.schema(schema).format(form).load(path)
     except AnalysisException as error:
         if not path_is_missing(error):
             raise
-        return spark.createDataFrame([], schema)
+        return None
 
 
 def path_is_missing(error: AnalysisException) -> bool:

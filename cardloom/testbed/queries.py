@@ -360,7 +360,7 @@ def backfill_run(spark, folder):
     moved = lambda t: t.withColumn("card_id", (F.col("card_id").cast("bigint") + 40000).cast("string"))
     documents = decks.parse_deck_pages(inputs.deck_pages(spark, folder))
     documents = documents.withColumn("deck_file", F.col("deck_id")).withColumn("shard", F.substring("deck_id", 2, 1))
-    sinks.write_documents(documents, store, "shard")
+    backfill.write_decks(documents, store, "shard")
     backfill.run_backfill(
         spark, store, moved(inputs.code_cache(spark, folder)), moved(inputs.code_pages(spark, folder)), cache_path, "shard"
     )

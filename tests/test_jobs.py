@@ -176,6 +176,37 @@ def test_backfill_run_fills_the_store_and_again_nothing(spark, tmp_path):
     assert {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{store}/*/part-*")} == before
 
 
+def test_backfill_reads_only_partitions_that_it_will_change(spark, tmp_path):
+    cache, pages = backfill_inputs(spark)
+    store, schema = f"{tmp_path}/decks", f"{DECK_DDL}, deck_file string, event_date string"
+    table = deck_documents(spark)
+    backfill.write_decks(table.withColumn("event_date", F.col("deck_id")), store)
+    index = lambda: sorted(
+        (r["event_date_folder"], r["deck_file"], r["card_id"]) for r in spark.read.parquet(f"{store}-blanks").collect() if r["card_id"]
+    )
+    assert index() == [("A", "fa", "1"), ("A", "fa", "3"), ("C", "fc", "4"), ("C", "fc", "9"), ("D", "fd", "9")]
+    # A document that the index does not know: it stays blank and uncounted, as its partition is not read.
+    unknown = table.where("deck_id = 'C'").withColumn("deck_file", F.lit("fx")).withColumn("event_date", F.lit("B"))
+    write_documents(unknown, store, mode="append")
+    assert rows(backfill.run_backfill(spark, store, cache, pages, f"{tmp_path}/cache", "event_date")) == [(3, 2)]
+    read = {r["deck_file"]: [c["card_code"] for c in r["cards"]] for r in read_document_lines(spark, store, schema)[0].collect()}
+    assert read["fx"] == ["", ""] and read["fc"] == ["FOUR 004/004", ""] and read["fa"][0] == "ONE 001/001"
+    assert index() == [("C", "fc", "9"), ("D", "fd", "9")]
+
+    # A run that was lost before the index: it names blanks that are filled, which costs a reading and changes nothing.
+    saved = read_code_cache(spark, f"{tmp_path}/cache", "lines")
+    backfill.write_blanks(table.withColumn("event_date", F.col("deck_id")), store, "event_date")
+    assert rows(backfill.run_backfill(spark, store, saved, pages, f"{tmp_path}/cache2", "event_date")) == [(0, 0)]
+    assert index() == [("C", "fc", "9"), ("D", "fd", "9")]
+    # Replaced documents replace their index, also by nothing.
+    whole = table.where("deck_id = 'B'").withColumn("event_date", F.lit("C"))
+    backfill.write_decks(whole, store)
+    assert index() == [("D", "fd", "9")]
+    # A store without documents without a code.
+    backfill.write_decks(whole, f"{tmp_path}/full")
+    assert rows(backfill.run_backfill(spark, f"{tmp_path}/full", saved, pages, f"{tmp_path}/cache3", "event_date")) == [(0, 0)]
+
+
 def test_backfill_with_copies_of_a_document(spark):
     cache, pages = backfill_inputs(spark)
     documents = deck_documents(spark)
