@@ -30,7 +30,7 @@ def op6_repetition_quality(spark, folder):
 
 @_query
 def op7_url_vocabulary(spark, folder):
-    return urls.judge_urls(_read(spark, folder, "pages")).drop("strict_hits", "soft_hits")
+    return urls.judge_urls(_read(spark, folder, "pages")).drop("strict_hits", "soft_hits", "soft_weight")
 
 
 @_query

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_hits long, soft_hits long"
+SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_hits long, soft_hits long, soft_weight long"
 
 
 @dataclass(frozen=True)
@@ -29,11 +29,18 @@ class Rule:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Terms in lower case. One strict term rejects; soft terms do when their distinct ones reach ``soft_needed``."""
+    """Terms in lower case, the soft ones with their weights. One strict term rejects, and so do distinct soft terms whose
+    weights reach ``needed``. A soft term weighs less than that, so it never rejects by itself."""
 
     strict: tuple[str, ...]
-    soft: tuple[str, ...]
-    soft_needed: int = 2
+    soft: tuple[tuple[str, int], ...]
+    needed: int = 4
+
+    def __post_init__(self) -> None:
+        if not all(0 < weight < self.needed for _, weight in self.soft):
+            raise ValueError("a soft term weighs more than nothing and less than what is needed")
+        if not all(self.strict) or not all(term for term, _ in self.soft):
+            raise ValueError("a term has a character at least")
 
 
 RULES = (
@@ -43,13 +50,34 @@ RULES = (
     Rule("allow", "com", "/fr/"),
     Rule("block", "com", "/de/"),
 )
+_SOFT = (
+    "ads", "bet", "bets", "bonus", "cheap", "dating", "farm", "free", "jackpot", "loan", "nude", "pills", "sex",
+    "spam", "torrent", "track", "warez", "win",
+)
+_SOFTER = ("click", "coupon", "deal", "deals", "hot", "lucky", "prize", "promo", "vip")
 VOCABULARY = Vocabulary(
     strict=("adult", "casino", "escort", "gambling", "hentai", "malware", "phishing", "poker", "porn", "viagra", "xxx"),
-    soft=(
-        "ads", "bet", "bets", "bonus", "cheap", "dating", "farm", "free", "jackpot", "loan", "nude", "pills", "sex",
-        "spam", "torrent", "track", "warez", "win",
-    ),
-)
+    soft=(*((term, 2) for term in _SOFT), *((term, 1) for term in _SOFTER)),
+)
+
+#: Terms that a table may have: the automaton travels to every task.
+MOST_TERMS = 200_000
+
+
+def vocabulary_of(terms: DataFrame, needed: int = 4) -> Vocabulary:
+    """The vocabulary of a table ``term, weight``; a term that weighs ``needed`` or more is strict.
+
+    A-Z of a term are lower-cased. Of equal terms the greatest weight counts; null and empty terms, and terms of no
+    positive weight, are left out. More than ``MOST_TERMS`` terms are refused, never cut.
+    """
+    lowered = F.translate("term", UPPER, LOWER).alias("term")
+    kept = terms.where("term <> '' and weight > 0").select(lowered, F.col("weight").cast("long").alias("weight"))
+    rows = kept.groupBy("term").agg(F.max("weight").alias("weight")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    ordered = sorted((row.term, row.weight) for row in rows)
+    strict = tuple(term for term, weight in ordered if weight >= needed)
+    return Vocabulary(strict, tuple((term, weight) for term, weight in ordered if weight < needed), needed)
 
 
 def host_of(url: Column) -> Column:
@@ -81,27 +109,27 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def _automaton(vocabulary: Vocabulary) -> ahocorasick.Automaton:
+    """Each term with its weight, 0 for strict ones, which go before equal soft ones."""
     found = ahocorasick.Automaton()
-    for strict, terms in ((False, vocabulary.soft), (True, vocabulary.strict)):
-        for term in terms:
-            found.add_word(term, (strict, term))
+    for term, weight in (*vocabulary.soft, *((term, 0) for term in vocabulary.strict)):
+        found.add_word(term, (weight, term))
     found.make_automaton()
     return found
 
 
-def hits(url: str, automaton: ahocorasick.Automaton) -> tuple[int, int]:
-    """Strict hits, and distinct soft terms, that no ASCII letter or digit of the url touches."""
+def hits(url: str, automaton: ahocorasick.Automaton) -> tuple[int, int, int]:
+    """Strict hits, distinct soft terms and their weight; a hit is touched by no ASCII letter or digit of the url."""
     text = url.lower() if url.isascii() else "".join(c.lower() if c.isascii() else c for c in url)
-    strict, soft = 0, set()
-    for last, (is_strict, term) in automaton.iter(text) if len(automaton) else ():
+    strict, soft = 0, {}
+    for last, (weight, term) in automaton.iter(text) if len(automaton) else ():
         first = last - len(term) + 1
         if (first and _joins(text[first - 1])) or (last + 1 < len(text) and _joins(text[last + 1])):
             continue
-        if is_strict:
-            strict += 1
+        if weight:
+            soft[term] = weight
         else:
-            soft.add(term)
-    return strict, len(soft)
+            strict += 1
+    return strict, len(soft), sum(soft.values())
 
 
 def _joins(character: str) -> bool:
@@ -113,8 +141,9 @@ def judge_urls(
 ) -> DataFrame:
     """One row per row of ``pages`` (``page_id``, ``url``): host, path, the rule that fits and the verdict.
 
-    A rule's verdict goes before the vocabulary's. Without a rule, one strict term or ``soft_needed`` distinct soft terms
-    block, all else is allowed. Rules and terms are parameters of bounded size and travel with the code.
+    A rule's verdict goes before the vocabulary's. Without a rule, one strict term or distinct soft terms of weight
+    ``needed`` block, all else is allowed. Rules and terms are parameters of bounded size (:func:`vocabulary_of` reads
+    terms from a table) and travel with the code.
 
     A null url, or one without ``://``, has an empty host and path and no rule; a null one holds no term and is allowed.
     Repeated rows are judged each for themselves. Other columns are not read. An empty table gives none.
@@ -129,14 +158,14 @@ def judge_urls(
         for batch in batches:
             counts = [hits(url or "", automaton) for url in batch.column("url").to_pylist()]
             verdicts = [
-                ruled or ("block" if strict or soft >= vocabulary.soft_needed else "allow")
-                for ruled, (strict, soft) in zip(batch.column("verdict").to_pylist(), counts, strict=True)
+                ruled or ("block" if strict or weight >= vocabulary.needed else "allow")
+                for ruled, (strict, _, weight) in zip(batch.column("verdict").to_pylist(), counts, strict=True)
             ]
             columns = {name: batch.column(name) for name in ("page_id", "host", "path", "rule")}
             columns["page_id"] = columns["page_id"].cast(pa.int64())
             columns["verdict"] = pa.array(verdicts, pa.string())
-            columns["strict_hits"] = pa.array([c[0] for c in counts], pa.int64())
-            columns["soft_hits"] = pa.array([c[1] for c in counts], pa.int64())
+            for i, name in enumerate(("strict_hits", "soft_hits", "soft_weight")):
+                columns[name] = pa.array([c[i] for c in counts], pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
     return parts.mapInArrow(run, SCHEMA)
@@ -153,7 +182,7 @@ def judge_sql(rules: Sequence[Rule] = RULES, vocabulary: Vocabulary = VOCABULARY
         return f"regexp_matches(lowered, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')::BIGINT"
 
     strict = " + ".join(map(found, vocabulary.strict))
-    soft = " + ".join(map(found, vocabulary.soft))
+    soft = " + ".join(f"{weight} * {found(term)}" for term, weight in vocabulary.soft)
     return f"""
     WITH rests AS (
       SELECT page_id, coalesce(url, '') AS url,
@@ -164,8 +193,8 @@ def judge_sql(rules: Sequence[Rule] = RULES, vocabulary: Vocabulary = VOCABULARY
         translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
       FROM rests),
-    judged AS (SELECT *, CASE {fits} END AS fit, {strict} AS strict_terms, {soft} AS soft_hits FROM parts)
+    judged AS (SELECT *, CASE {fits} END AS fit, {strict} AS strict_terms, {soft} AS soft_weight FROM parts)
     SELECT page_id, host, path, split_part(fit, '|', 1) AS rule,
       coalesce(split_part(fit, '|', 2),
-        CASE WHEN strict_terms > 0 OR soft_hits >= {vocabulary.soft_needed} THEN 'block' ELSE 'allow' END) AS verdict
+        CASE WHEN strict_terms > 0 OR soft_weight >= {vocabulary.needed} THEN 'block' ELSE 'allow' END) AS verdict
     FROM judged"""
