@@ -31,10 +31,20 @@ def with_settings(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``, and where it is unset a folder of the warehouse.
 
-    The warehouse is the other place that driver and executors share; the rule is the same on every master.
+    A warehouse on the local disk is shared only where driver and executors are one process. On a cluster it is refused,
+    as a stage would be scattered over the machines and found by none.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cardloom-stages"
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not warehouse_is_shared(warehouse, spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/cardloom-stages"
+
+
+def warehouse_is_shared(warehouse: str, master: str) -> bool:
+    return master.split("[")[0] == "local" or not warehouse.startswith(("file:", "/"))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

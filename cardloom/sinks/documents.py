@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.constants import PRODUCT_COLUMNS
 from cardloom.operators.products import sort_products
 from cardloom.session import Stages
+from cardloom.sources.documents import read_code_cache
 
 # Bounds the size of one output file, so that a date with very many events still becomes several files.
 MAX_RECORDS_PER_FILE = 1_000_000
@@ -78,3 +79,26 @@ def write_code_cache(cache: DataFrame, path: str) -> None:
     """Code cache as one small JSON object per line; ``path`` must be new, so a failed write loses no cache."""
     line = F.to_json(F.create_map("card_id", "card_code"))
     cache.select(line.alias("value")).write.mode("errorifexists").text(path)
+
+
+def append_code_cache(codes: DataFrame, path: str) -> int:
+    """Add the codes of new ids to a cache of lines and nothing else; gives their number.
+
+    What the cache holds is neither written again nor shuffled: it is read for its ids alone. Known ids keep their code,
+    and an id without one is not added. An append that fails leaves the cache as it was. Of two appends at a time both
+    may add an id; a read then takes the greater code, always the same one.
+    """
+    known = read_code_cache(codes.sparkSession, path, layout="lines")
+    fresh = codes.where("card_id is not null").groupBy("card_id").agg(F.max("card_code").alias("card_code"))
+    with Stages() as stages:
+        new = stages.write(fresh.join(known.select("card_id"), "card_id", "left_anti"), "new-codes")
+        added = new.count()
+        if added:
+            line = F.to_json(F.create_map("card_id", "card_code"))
+            new.select(line.alias("value")).hint("rebalance").write.mode("append").text(path)
+    return added
+
+
+def merge_code_cache(spark: SparkSession, path: str, new_path: str) -> None:
+    """The cache and all that was appended to it as one, at a new path, so a failed merge loses nothing."""
+    write_code_cache(read_code_cache(spark, path, layout="lines").hint("rebalance"), new_path)

@@ -342,6 +342,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN contains(CAST(o_orderkey AS VARCHAR), '7') THEN 'rejected' ELSE 'read' END AS state FROM orders""",
     "code_cache_lines": f"WITH {CACHE} SELECT * FROM cache",
 }
+ORACLES["code_cache_appended"] = ORACLES["code_cache_upsert"]
 # A state that is kept up to date gives what the whole run gives.
 for _report in ("host_counts", "player_stats", "document_archetypes"):
     ORACLES[f"standing_{_report}"] = ORACLES[_report]

@@ -572,6 +572,15 @@ def code_cache_lines(spark, folder):
     return sources.read_code_cache(spark, path, layout="lines")
 
 
+@query
+def code_cache_appended(spark, folder):
+    """A cache to which only the codes of new ids were added."""
+    path = fresh_path(spark, "cache")
+    sinks.append_code_cache(inputs.code_cache(spark, folder), path)
+    sinks.append_code_cache(codes.fetched_codes(inputs.code_pages(spark, folder)), path)
+    return sources.read_code_cache(spark, path, layout="lines")
+
+
 @query
 def products_csv_roundtrip(spark, folder):
     path = fresh_path(spark, "products")

@@ -25,6 +25,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def stages_are_dropped():
+    from cardloom.session import OPEN_STAGES
+
+    yield
+    OPEN_STAGES.drop()
+
+
 @pytest.fixture()
 def apply(spark):
     """``apply(function, values)``: the outcome of a column function for each value."""

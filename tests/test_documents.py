@@ -11,6 +11,7 @@ import pytest
 from cardloom import session
 from cardloom.constants import PRODUCT_COLUMNS
 from cardloom.schemas import DECK_DDL
+from cardloom.session import warehouse_is_shared
 from cardloom.sinks import documents as sinks
 from cardloom.sources import documents as sources
 from cardloom.sources import landed
@@ -183,3 +184,26 @@ def test_stages_are_dropped(spark):
         path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
         assert table.count() == 5 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_appended_codes_are_the_new_ones_only(spark, tmp_path):
+    path, schema = str(tmp_path / "cache"), "card_id string, card_code string"
+    lines = lambda: sorted(r["value"] for r in spark.read.text(path).collect())
+    cached = lambda at: sorted(map(tuple, sources.read_code_cache(spark, at, layout="lines").collect()))
+    first = spark.createDataFrame([("1", "A 001/002"), ("2", "B 001/002")], schema)
+    assert sinks.append_code_cache(first, path) == 2
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "cache").glob("part-*")}
+    more = spark.createDataFrame([("2", "NEW 001/002"), ("3", "C 001/002"), ("3", "C 001/002"), (None, "x")], schema)
+    assert sinks.append_code_cache(more, path) == 1
+    assert lines() == ['{"1":"A 001/002"}', '{"2":"B 001/002"}', '{"3":"C 001/002"}']
+    assert all(p.stat().st_mtime_ns == at for p, at in before.items())
+    files = set((tmp_path / "cache").glob("part-*"))
+    assert sinks.append_code_cache(more, path) == 0 and set((tmp_path / "cache").glob("part-*")) == files
+    assert cached(path) == [("1", "A 001/002"), ("2", "B 001/002"), ("3", "C 001/002")]
+    sinks.merge_code_cache(spark, path, str(tmp_path / "merged"))
+    assert cached(str(tmp_path / "merged")) == cached(path)
+
+
+def test_a_local_warehouse_is_no_shared_folder_of_a_cluster():
+    assert warehouse_is_shared("file:/x", "local[4]") and warehouse_is_shared("hdfs://n/x", "spark://h:1")
+    assert not warehouse_is_shared("file:/x", "spark://h:1") and not warehouse_is_shared("/x", "local-cluster[2,1,1024]")

@@ -16,7 +16,7 @@ from cardloom.testbed.queries import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 # Windows without a partition number the rows of an already limited top list, never a whole table.
 TOP_LISTS = {"top_players", "first_places", "discover_ids", "ingest_candidates", "missing_codes_preview"}
-WRITERS = {name for name in QUERIES if re.search("roundtrip|scan|_run$|lines|products_union", name)}
+WRITERS = {name for name in QUERIES if re.search("roundtrip|scan|_run$|lines|appended|products_union", name)}
 
 
 @pytest.fixture(scope="module")
