@@ -17,6 +17,7 @@ from cardloom.constants import ENERGY_MARKERS
 from cardloom.operators import summaries
 from cardloom.operators.decks import cards_of
 from cardloom.operators.joins import hot_key_join
+from cardloom.plans.ingest import stored
 from cardloom.plans.summary import document_key_cards, document_totals
 from cardloom.session import Stages
 from cardloom.sources.landed import read_or_empty
@@ -138,6 +139,23 @@ def refresh(
     return done.where(F.col("token") == token).select(DAY, "rows")
 
 
+def refresh_from_store(spark: SparkSession, store: str, state: str) -> dict[str, DataFrame]:
+    """Bring all sources of a state up to date from an ingest store; gives the days worked out anew by source.
+
+    Results and decks take the date of their event; those of no stored event are left out until it is stored. The join is
+    one of the slim events, broadcast while Spark takes them for small.
+    """
+    events, results, decks = stored(spark, store)
+    dates = events.groupBy("event_id").agg(F.min("event_date").alias("event_date"))
+    people = events.withColumn("participants", F.coalesce("expected", F.lit(0)))
+    sources = {
+        "events": people,
+        "results": hot_key_join(results, dates, "event_id"),
+        "decks": hot_key_join(decks, dates, "event_id"),
+    }
+    return {source: refresh(table, state, source) for source, table in sources.items()}
+
+
 def part_rows(spark: SparkSession, state: str, name: str) -> DataFrame:
     """The rows of a part that count: those of the refresh that holds their day."""
     ((source, ddl),) = ((s, parts[name][1]) for s, (_, parts) in SOURCES.items() if name in parts)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cardloom.operators import summaries
 from cardloom.operators.events import results_of
-from cardloom.plans import standing, summary
+from cardloom.plans import ingest, standing, summary
 from cardloom.schemas import DECK_DDL, EVENT_DDL
-from tests.test_jobs import DECKS, EVENTS
+from tests.test_jobs import DECKS, EVENTS, landed, rows
 
 DATES = {"d1": "2025-01-01", "d2": "2025-01-02", "d3": "2025-01-03", "d4": None}
 ODD = [
@@ -100,3 +100,20 @@ def test_an_empty_state_and_empty_tables(spark, state):
     assert_as_whole_run(spark, state, *nothing)
     assert refresh_all(*nothing, state) == {"events": {}, "results": {}, "decks": {}}
     assert_as_whole_run(spark, state, *nothing)
+
+
+def test_a_store_that_grows(spark, tmp_path, state):
+    store = str(tmp_path / "store")
+    listing, event_pages, deck_pages = landed(spark)
+    for most in (3, None):
+        ingest.run_ingest(spark, listing, event_pages, deck_pages, store, max_new=most)
+        done = standing.refresh_from_store(spark, store, state)
+        events, results, decks = ingest.stored(spark, store)
+        found = standing.reports(spark, state)
+        assert rows(found["event_totals"]) == rows(summaries.event_totals(events, "expected"))
+        dated = results.join(events.select("event_id", "event_date"), "event_id")
+        assert sorted(rows(found["player_stats"])) == sorted(rows(summaries.player_stats(dated)))
+        assert sorted(rows(found["deck_card_totals"])) == sorted(rows(summary.document_totals(decks)))
+        assert rows(found["deck_size_stats"]) == rows(summaries.deck_size_stats(decks))
+    assert events.count() > 3 and 0 < done["events"].count() < events.select("event_date").distinct().count()
+    assert all(table.count() == 0 for table in standing.refresh_from_store(spark, store, state).values())
