@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     if configured:
         return configured
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if not warehouse_is_shared(warehouse, spark.sparkContext.master):
+    if not warehouse_is_shared(warehouse, spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{warehouse}/cardloom-stages"
 
