@@ -129,3 +129,14 @@ def test_many_products_with_one_date_spread_over_the_sort(small_limits):
     ordered = products.sort_products(products.union_products(source))
     sizes = ordered.select(F.spark_partition_id().alias("part")).groupBy("part").count().collect()
     assert len(sizes) > 4 and max(r["count"] for r in sizes) < ROWS // 3
+
+
+def test_tasks_of_a_spread_table_grow_with_its_rows(spark, monkeypatch):
+    from cardloom.sources import landed
+
+    table = spark.range(1000)
+    assert landed.spread(table).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(landed, "ROWS_PER_TASK", 90)
+    spread = landed.spread(table)
+    assert spread.rdd.getNumPartitions() == 12
+    assert sorted(row["id"] for row in spread.collect()) == list(range(1000))
