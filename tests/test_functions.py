@@ -152,3 +152,14 @@ def test_long_white_space_runs_are_linear(apply):
     # quadratic patterns would need hours for this
     long = "a" + " " * 400_000 + "b" + " " * 400_000 + "<b>c</b>"
     assert len(apply(markup.stripped_text, [long])[0]) == 400_003
+
+
+def test_elements_in_one_match_equal_elements_by_pieces(apply):
+    pages = [
+        "", "<td></td>", "<td>a</td><td>b</td>", "<td>a<td>b</td></td>", "<td a='<'>x</td><td>y</td>", "<td/><td>x</td>",
+        "<TD>a</TD><td>b</td >", "<td>a", "</td><td>a</td>b</td>", "<td>a<tdx>b</tdx></td>", "<td>a<", "<td", "<td>a</td", "x<td \n>\n<b>a</b></td>",
+        None,
+    ]
+    assert apply(lambda html: markup.inners(html, "td"), pages) == apply(lambda html: markup._inners_by_pieces(html, "td"), pages)
+    general = lambda html: markup.upto_end(F.regexp_extract(html, rf"(?s){markup.opening('td')}(.*)", 1), "td")
+    assert apply(lambda html: markup.inner(html, "td"), pages) == apply(general, pages)
