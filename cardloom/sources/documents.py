@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.once import select_once
 from cardloom.schemas import DECK_DDL, EVENT_DDL
-from cardloom.sources.landed import FILE_PATH, path_is_missing
+from cardloom.sources.landed import FILE_PATH, files_in, is_at_depth, load_files, path_is_missing
 
 _CORRUPT = "corrupt_record"
 _EVENT_FILES = "event_*/event_info.json"
@@ -19,8 +19,7 @@ _FOLDER_EVENT_ID = r"event_([^_/]+)_[^/]*/[^/]+$"
 
 def read_event_documents(spark: SparkSession, folder: str, files: str = _EVENT_FILES) -> DataFrame:
     """All ``event_*/event_info.json`` (or ``files``) under a folder: the event document and its ``folder``."""
-    reader = spark.read.schema(EVENT_DDL).option("multiLine", True).option("mode", "FAILFAST")
-    found = _load(reader, f"{folder}/{files}")
+    found = _load(spark, EVENT_DDL, folder, files)
     if found is None:
         return spark.createDataFrame([], f"{EVENT_DDL}, folder string")
     return found.select("*", F.regexp_replace(FILE_PATH, "/[^/]*$", "").alias("folder"))
@@ -33,8 +32,7 @@ def read_deck_documents(
 
     The event id is group 1 of a pattern on the path. One unreadable file fails the read; :func:`read_deck_documents_tolerant` goes on.
     """
-    reader = spark.read.schema(DECK_DDL).option("multiLine", True).option("mode", "FAILFAST")
-    found = _load(reader, f"{folder}/{files}")
+    found = _load(spark, DECK_DDL, folder, files)
     if found is None:
         return spark.createDataFrame([], f"{DECK_DDL}, event_id string, deck_file string")
     return _with_lineage(found, event_id)
@@ -49,8 +47,7 @@ def read_deck_documents_tolerant(
     are what its listing of the folder has and the read has not.
     """
     try:
-        texts = spark.read.text(f"{folder}/{files}", wholetext=True)
-        listed = spark.createDataFrame([(path,) for path in texts.inputFiles()], "deck_file string")
+        texts = load_files(spark, spark.read.format("text").option("wholetext", True), folder, files)
     except AnalysisException as error:
         if not path_is_missing(error):
             raise
@@ -60,6 +57,8 @@ def read_deck_documents_tolerant(
         )
     lineage = [F.regexp_extract(FILE_PATH, event_id, 1).alias("event_id"), F.col(FILE_PATH).alias("deck_file")]
     good, bad = _good_and_bad(texts.select("value", *lineage), DECK_DDL, "event_id", "deck_file")
+    paths = spark.createDataFrame([(path,) for path in texts.inputFiles()], "deck_file string")
+    listed = paths.where(is_at_depth(spark, F.col("deck_file"), files_in(folder, files)[0]))
     place = F.regexp_replace("deck_file", "^file:/+", "/")
     read = texts.select(F.col(FILE_PATH).alias("deck_file")).select(place.alias("place"))
     empty = listed.withColumn("place", place).join(read, "place", "left_anti")
@@ -92,9 +91,10 @@ def _with_lineage(found: DataFrame, event_id: str) -> DataFrame:
     )
 
 
-def _load(reader, pattern: str) -> DataFrame | None:
+def _load(spark: SparkSession, schema: str, folder: str, files: str) -> DataFrame | None:
+    reader = spark.read.schema(schema).format("json").option("multiLine", True).option("mode", "FAILFAST")
     try:
-        return reader.json(pattern)
+        return load_files(spark, reader, folder, files)
     except AnalysisException as error:
         if not path_is_missing(error):
             raise
@@ -110,7 +110,10 @@ def read_code_cache(spark: SparkSession, path: str, layout: str = "object") -> D
     if layout not in ("object", "lines"):
         raise ValueError("layout is 'object' or 'lines'")
     try:
-        text = spark.read.text(path, wholetext=layout == "object")
+        reader = spark.read.format("text").option("wholetext", layout == "object")
+        folder, _, files = path.rpartition("/")
+        # A path may also be a folder of files; with a pattern in front of its name it is files in many folders.
+        text = load_files(spark, reader, folder, files) if "*" in folder else reader.load(path)
     except AnalysisException as error:
         if not path_is_missing(error):
             raise

@@ -7,6 +7,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from cardloom import session
 from cardloom.constants import PRODUCT_COLUMNS
@@ -15,6 +16,7 @@ from cardloom.session import warehouse_is_shared
 from cardloom.sinks import documents as sinks
 from cardloom.sources import documents as sources
 from cardloom.sources import landed
+from cardloom.testbed import queries
 
 CARD = {"card_id": "1", "card_name": "n", "card_code": "", "quantity": 2, "image_url": ""}
 
@@ -58,6 +60,39 @@ def test_no_documents(spark, tmp_path):
     assert (good.count(), bad.count()) == (0, 0)
 
 
+def test_deeper_files_do_not_count(spark, folder):
+    write(folder / "event_848638_2025-11-11" / "event_9_copy" / "deck_9th_Z.json", deck("Z"))
+    write(folder / "event_848638_2025-11-11" / "event_9_copy" / "deck_9th_Y.json", "")
+    assert sorted(r["deck_id"] for r in sources.read_deck_documents(spark, str(folder)).collect()) == ["A", "B"]
+    good, bad = sources.read_deck_documents_tolerant(spark, str(folder))
+    assert (good.count(), bad.count()) == (2, 0)
+
+
+def test_folders_are_listed_by_tasks_of_the_session(spark, monkeypatch):
+    seen = []
+
+    class Reader:
+        def option(self, name, value):
+            seen.append((name, value))
+            return self
+
+        def load(self, pattern):
+            seen.append((pattern, spark.conf.get(landed._LISTING_TASKS)))
+            return spark.range(0).select(F.struct(F.lit("file:///x").alias("file_path")).alias("_metadata"))
+
+    before = spark.conf.get(landed._LISTING_TASKS)
+    landed.load_files(spark, Reader(), "/store/", "event_*/deck_*.json")
+    assert seen[-1] == ("/store/event_*", "4") and ("pathGlobFilter", "deck_*.json") in seen
+    assert spark.conf.get(landed._LISTING_TASKS) == before != "4"
+
+
+def test_one_file_each_is_written_by_several_tasks(spark, tmp_path):
+    table = spark.range(40).selectExpr("id as key", "'x' as value")
+    path = queries._one_file_each(table, "key", str(tmp_path / "files"))
+    files = glob.glob(f"{path}/key=*/*.txt")
+    assert len(files) == 40 and len({os.path.basename(file)[:10] for file in files}) > 1
+
+
 def test_broken_files(spark, folder):
     write(folder / "event_848638_2025-11-11" / "deck_2nd_C.json", '{"deck_id": "C", "cards": [')
     write(folder / "event_848639_2025-11-12" / "deck_D.json", "")
