@@ -9,6 +9,7 @@ from cardloom.operators import summaries
 from cardloom.operators.events import results_of
 from cardloom.plans import ingest, standing, summary
 from cardloom.schemas import DECK_DDL, EVENT_DDL
+from cardloom.testbed import queries
 from tests.test_jobs import DECKS, EVENTS, landed, rows
 
 DATES = {"d1": "2025-01-01", "d2": "2025-01-02", "d3": "2025-01-03", "d4": None}
@@ -117,3 +118,13 @@ def test_a_store_that_grows(spark, tmp_path, state):
         assert rows(found["deck_size_stats"]) == rows(summaries.deck_size_stats(decks))
     assert events.count() > 3 and 0 < done["events"].count() < events.select("event_date").distinct().count()
     assert all(table.count() == 0 for table in standing.refresh_from_store(spark, store, state).values())
+
+
+def test_input_of_the_query_is_worked_out_before_the_refreshes(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(
+        queries.standing, "refresh", lambda table, *_: plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+    )
+    days = spark.sql("select * from values ('1997-06-01', 'a'), ('1997-07-01', 'b') as t(event_date, event_id)")
+    queries._standing(spark, days.join(days.withColumnRenamed("event_date", "other"), "event_id"), "results")
+    assert len(plans) == 2 and not any("Join" in plan for plan in plans)
