@@ -97,8 +97,23 @@ def opening(tag: str, *conditions: str) -> str:
     return rf"<(?i:{tag})(?=[\s/>]){ahead}[^>]*>"
 
 
+def _whole(tag: str) -> str:
+    """Pattern of an element whose inside holds no markup, from behind its ``<`` to its closing tag.
+
+    Runs without ``<`` are passed in one go; trying the closing tag at each character of a script took most of the time.
+    """
+    return rf"(?i:{tag})(?=[\s/>]){_no_close(tag)}</(?i:{tag})\s*+>"
+
+
+def _no_close(tag: str) -> str:
+    """Pattern of all text up to the next closing tag of that name."""
+    return rf"(?:[^<]++|<(?!/(?i:{tag})\s*+>))*+"
+
+
 # As above, a match can start only at "<".
-_HIDDEN = r"(?is)<(?:!--.*?-->|script(?=[\s/>]).*?</script\s*>|style(?=[\s/>]).*?</style\s*>)"
+_HIDDEN = rf"<(?:!--(?s:.*?)-->|{_whole('script')}|{_whole('style')})"
+# The look-ahead lets the scan skip all else: without it each character would be tried for both readings.
+_COMMENT = rf"(?=<)(?:<!--(?s:.*?)-->|(<{_whole('script')}|<{_whole('style')}))"
 
 
 def visible(html: Column) -> Column:
@@ -108,7 +123,13 @@ def visible(html: Column) -> Column:
 
 def without_comments(html: Column) -> Column:
     """The page without comments; what looks like one inside a script stays."""
-    return F.regexp_replace(html, r"(?is)(<(script|style)(?=[\s/>]).*?</\2\s*>)|<!--.*?-->", "$1")
+    return F.regexp_replace(html, _COMMENT, "$1")
+
+
+def scripts_of(html: Column) -> Column:
+    """Insides of all scripts, in page order."""
+    pattern = rf"<(?i:script)(?=[\s/>])[^>]*+>({_no_close('script')})</(?i:script)\s*+>"
+    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
 def found(html: Column, pattern: str) -> Column:

@@ -1,5 +1,7 @@
 """Extraction from real-shaped pages, expected values by hand."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from cardloom.constants import HONG_KONG_BASE_URL, JAPAN_BASE_URL
@@ -375,3 +377,31 @@ def test_names_of_references_are_in_a_plan_once(spark):
     rows = spark.createDataFrame([("u", 1, "<p>x</p>")], "event_url string, page_no int, html string")
     plan = events.event_headers(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 100_000 and plan.count("CounterClockwiseContourIntegral") == 1
+
+
+def test_hidden_parts_as_by_plain_patterns(apply):
+    pages = [
+        "a<!-- x --><script>1<!-- y --></script >b", "<SCRIPT a='1'>if (a < b) '</p>' </script\n>c<!--->-->d", "<script>never",
+        "<style>x</style><scripted>s</scripted><!-- open <script>z</script>", "<!-- <script> --><script>é</SCRIPT>あ</script>", "",
+        "<script/>1</script><style >2<script>3</style>4</script>",
+    ]
+    hidden = r"(?is)<(?:!--.*?-->|script(?=[\s/>]).*?</script\s*>|style(?=[\s/>]).*?</style\s*>)"
+    comment = r"(?is)(<(script|style)(?=[\s/>]).*?</\2\s*>)|<!--.*?-->"
+    assert apply(markup.visible, pages) == [re.sub(hidden, "", page) for page in pages]
+    assert apply(markup.without_comments, pages) == [re.sub(comment, r"\1", page) for page in pages]
+    bodies = [re.findall(r"(?is)<script(?=[\s/>])[^>]*>(.*?)</script\s*>", page) for page in pages]
+    assert apply(markup.scripts_of, pages) == bodies
+    assert apply(markup.visible, [None]) == apply(markup.without_comments, [None]) == [None]
+
+
+def test_long_scripts_take_linear_time(apply):
+    body = "x < y; " * 60_000
+    (text,) = apply(markup.without_comments, [f"<!-- c --><script>{body}</script>"])
+    assert text == f"<script>{body}</script>"
+    assert apply(markup.scripts_of, [text]) == [[body]]
+
+
+def test_no_deck_page_has_no_code(spark):
+    rows = spark.createDataFrame([("A", None), ("B", "<p>x</p>"), ("C", "<p>デッキコード】c</p>")], "deck_id string, html string")
+    codes = {row["deck_id"]: row["deck_code"] for row in decks.parse_deck_pages(rows).collect()}
+    assert codes == {"A": None, "B": "", "C": "c"}
