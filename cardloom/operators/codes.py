@@ -145,7 +145,10 @@ def backfill_documents(
     as one small map per changed document, no larger than its card list, which is applied inside the row.
     """
     blank = F.exists("cards", lambda card: is_blank(card["card_code"]))
-    open_decks = stages.write(decks.where(blank), "decks-to-fill")
+    # Bound first: the filter would else work out the cards once more, and with them the page they come from.
+    others = [name for name in decks.columns if name != "cards"]
+    bound = select_once(decks, others, F.col("cards").alias("cards")).select(*decks.columns)
+    open_decks = stages.write(bound.where(blank), "decks-to-fill")
     found = (
         hot_key_join(blank_ids(open_decks, key), codes.where("card_code <> ''").select("card_id", "card_code"), "card_id")
         .groupBy(key)

@@ -97,8 +97,8 @@ def run_backfill(
 
     ``store`` is a folder of JSON lines, one folder per ``partition`` value, as ``write_decks`` makes it. What is missing,
     and where, is read from its index; a store without one (of ``write_documents``) is indexed first, by one scan. Of the
-    documents only partitions with a change are read and worked out anew: their documents, filled and unchanged, are
-    staged, and then replace the partition, and after that its index. A run that ends in between leaves partitions in
+    documents only partitions with a change are read and worked out anew: their documents are staged as they are, to be
+    parsed once, and again filled and unchanged, and then replace the partition, and after that its index. A run that ends in between leaves partitions in
     their old or their new form and an index that names no fewer blanks than there are, and running again fills the rest;
     on a full store it changes nothing. The cache is written first, as it is the costly part.
     """
@@ -120,7 +120,8 @@ def run_backfill(
         names = sorted(row["name"] for row in touched.collect())  # folders of the store
         filled = [spark.createDataFrame([], "deck_file string, card_id string")]
         for start in range(0, len(names), FOLDERS_AT_ONCE):
-            few = decks.where(name.isin(names[start : start + FOLDERS_AT_ONCE]))
+            # Read several times below, so that its lines are parsed once.
+            few = stages.write(decks.where(name.isin(names[start : start + FOLDERS_AT_ONCE])), "decks-of-folders")
             filled.append(
                 stages.write(hot_key_join(blank_ids(few, "deck_file"), known, "card_id", "left_semi"), "filled-blanks")
             )

@@ -395,3 +395,17 @@ def test_catalog_switches(spark):
     assert names(None, pages, detail, sites=catalog.HONG_KONG_SITES[1:]) == [(0, 0, "z", "12元")]
     with pytest.raises(ValueError):
         catalog.product_catalog()
+
+
+def test_backfill_parses_a_page_once(spark):
+    pages = spark.createDataFrame([("A", "<p>x</p>")], "deck_id string, html string")
+    documents = decks.parse_deck_pages(pages).withColumn("deck_file", F.col("deck_id"))
+    plans = []
+
+    class Stages:
+        def write(self, table, name):
+            plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+            return table
+
+    codes.backfill_documents(documents, spark.createDataFrame([("1", "c")], "card_id string, card_code string"), stages=Stages())
+    assert plans[0].count("searchItemCardPict") == 1
