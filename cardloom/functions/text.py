@@ -84,7 +84,13 @@ def _decoded(piece: Column) -> Column:
         F.regexp_extract(piece, _REFERENCE, 1).alias("whole"),
         F.regexp_extract(piece, _OLD_REFERENCE, 1).alias("old"),
     )
-    return F.when(F.startswith(piece, F.lit("&")), let(parts, _character_and_rest)).otherwise(piece)
+    # The commonest by far needs no search of the tables.
+    ampersand = F.concat(F.lit("&"), F.substring(piece, 6, F.char_length(piece)))
+    return (
+        F.when(~F.startswith(piece, F.lit("&")), piece)
+        .when(F.startswith(piece, F.lit("&amp;")), ampersand)
+        .otherwise(let(parts, _character_and_rest))
+    )
 
 
 def _character_and_rest(parts: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from cardloom.functions import markup
 from cardloom.functions.once import explode_once
 from cardloom.functions.urls import event_id_of
 from cardloom.operators.joins import hot_key_join
+from cardloom.session import Stages
 
 #: More links than a listing page can have.
 PAGE_ROOM = 1 << 24
@@ -24,6 +26,21 @@ def one_of_each(pages: DataFrame, *keys: str) -> DataFrame:
     return merged.select(*[F.col(name) if name in keys else F.col(f"copy.{name}") for name in pages.columns])
 
 
+def merge_copies(landed: DataFrame, stages: Stages, merge: Callable[[DataFrame], DataFrame], *keys: str) -> DataFrame:
+    """A staged table of pages with ``merge`` applied to the rows whose keys come again.
+
+    Few pages have copies, and only the keys of all are grouped to find them: pages that stand alone are neither moved
+    nor sorted. ``merge`` gives rows of the same columns.
+    """
+    again = stages.write(landed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "page-copies")
+    if again.isEmpty():
+        return landed
+    again = again.select(*[F.col(name).alias(f"_{name}") for name in keys])
+    same = reduce(lambda met, name: met & F.col(name).eqNullSafe(F.col(f"_{name}")), keys, F.lit(True))
+    single, repeated = landed.join(again, same, "left_anti"), landed.join(again, same, "left_semi")
+    return single.unionByName(merge(repeated).select(*landed.columns))
+
+
 def reading_stops(pages: DataFrame, key: str, known_keys: Sequence[str] | None = None) -> DataFrame:
     """Where reading stops per ``key``: ``first_empty``, ``first_last`` and ``first_gap`` page.
 

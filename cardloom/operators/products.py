@@ -27,7 +27,7 @@ from cardloom.functions.once import explode_once, select_once
 from cardloom.functions.text import clean_lines, decode_references, or_empty, scalar_text, select_decoded
 from cardloom.functions.urls import absolute_url, image_code, query_value
 from cardloom.operators.joins import hot_key_join
-from cardloom.operators.paging import one_of_each, read_until, reading_stops
+from cardloom.operators.paging import merge_copies, one_of_each, read_until, reading_stops
 from cardloom.schemas import API_RESPONSE_DDL
 from cardloom.session import OPEN_STAGES, Stages
 
@@ -68,9 +68,8 @@ def readable_api_pages(pages: DataFrame, stages: Stages = OPEN_STAGES) -> DataFr
         F.col("response").dropFields(_CORRUPT).alias("response"),
         F.xxhash64("body").alias("copy"),
     )
-    landed = stages.write(kept, "api-responses")
-    first = landed.groupBy("page_no").agg(F.max("copy").alias("copy"))
-    landed = landed.join(first, ["page_no", "copy"]).dropDuplicates(["page_no"])
+    landed = stages.write(kept.where("page_no is not null"), "api-responses")
+    landed = merge_copies(landed, stages, _largest_copy, "page_no")
     last_page = landed.where("page_no = 1").agg(F.max(F.coalesce("response.maxPage", F.lit(1)))).scalar()
     numbers = landed.where("not broken").select("page_no").distinct()
     following = numbers.where("page_no >= 1").select((F.col("page_no") + 1).alias("page_no"))
@@ -80,6 +79,11 @@ def readable_api_pages(pages: DataFrame, stages: Stages = OPEN_STAGES) -> DataFr
     return reached.where("response.result = 1").select("page_no", "response")
 
 
+def _largest_copy(landed: DataFrame) -> DataFrame:
+    first = landed.groupBy("page_no").agg(F.max("copy").alias("copy"))
+    return landed.join(first, ["page_no", "copy"]).dropDuplicates(["page_no"])
+
+
 def api_products(pages: DataFrame, stages: Stages = OPEN_STAGES) -> DataFrame:
     """Products of the landed API responses: ``page_no, pos`` and the product columns, named products only."""
     items = explode_once(readable_api_pages(pages, stages), ["page_no"], F.col("response.products"), "pos", "item")
@@ -134,7 +138,8 @@ def catalog_pages(
         markup.inners(markup.inner(html, *_LIST), *_ITEM).alias("items"),
     )
     parsed = parsed.select("site", "page_no", (F.size("items") == 0).alias("is_empty"), "is_last", "items")
-    slim = one_of_each(stages.write(parsed, "catalogue-pages"), "site", "page_no")
+    of_each = lambda copies: one_of_each(copies, "site", "page_no")
+    slim = merge_copies(stages.write(parsed, "catalogue-pages"), stages, of_each, "site", "page_no")
     return read_until(slim, reading_stops(slim, "site", keys), "site", keys).select("site", "page_no", "items")
 
 

@@ -337,6 +337,23 @@ def test_api_gap_and_copies(spark):
     assert products.api_products(pages(2, 3)).count() == 0
 
 
+def test_only_pages_with_copies_are_merged(spark):
+    """Without copies no page is moved or sorted, with some the others stay where they are and the largest copy counts."""
+    full, other = page(ITEM, NEXT), page(ITEM * 2, NEXT)
+    alone = products.catalog_pages(catalog(spark, [("en", 1, full), ("en", 2, full), ("zh", 1, full), ("zh", None, full)]))
+    plan = alone._jdf.queryExecution().toString()
+    assert "max(struct(" not in plan and "items" in plan and alone.count() == 3
+    rows = [("en", 1, full), ("en", 2, full), ("en", 2, other), ("en", 2, full), ("en", None, full), ("en", None, other), ("en", 3, full)]
+    some = products.catalog_pages(catalog(spark, rows))
+    assert sorted((r["page_no"], len(r["items"])) for r in some.collect()) == [(1, 1), (2, 2), (3, 1)]
+    body = '{"result":1,"maxPage":3,"products":[{"productTitle":"j"}]}'
+    bodies = [(1, body), (2, body), (3, body), (None, body)]
+    api = products.api_products(spark.createDataFrame(bodies, "page_no int, body string"))
+    assert "first(response" not in api._jdf.queryExecution().toString() and api.count() == 3
+    api = products.api_products(spark.createDataFrame([*bodies, (2, body), (None, body)], "page_no int, body string"))
+    assert sorted(r["page_no"] for r in api.collect()) == [1, 2, 3]
+
+
 def test_listing_gap(spark):
     link = '<a href="/event/detail/{}/result">r</a>'
     listing = lambda *numbers: spark.createDataFrame([(n, link.format(n)) for n in numbers], "page_no int, html string")
