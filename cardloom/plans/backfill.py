@@ -22,10 +22,10 @@ from cardloom.operators.codes import (
 from cardloom.operators.decks import cards_of
 from cardloom.operators.joins import hot_key_join
 from cardloom.schemas import DECK_DDL
-from cardloom.session import OPEN_STAGES, Stages
+from cardloom.session import OPEN_STAGES, Stages, let_go
 from cardloom.sinks.documents import write_code_cache, write_documents
 from cardloom.sources.documents import read_code_cache, read_document_lines
-from cardloom.sources.landed import read_or_none
+from cardloom.sources.landed import folder_sizes, read_or_none
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,9 @@ def write_decks(decks: DataFrame, store: str, partition: str = "event_date", mod
     with Stages() as stages:
         whole = stages.write(decks, "decks-to-store")
         write_blanks(whole, store, partition, mode)
+        let_go(whole.sparkSession)
         write_documents(whole, store, partition, mode)
+    let_go(decks.sparkSession)
 
 
 def run_backfill(
@@ -97,7 +99,8 @@ def run_backfill(
 
     ``store`` is a folder of JSON lines, one folder per ``partition`` value, as ``write_decks`` makes it. What is missing,
     and where, is read from its index; a store without one (of ``write_documents``) is indexed first, by one scan. Of the
-    documents only partitions with a change are read and worked out anew: their documents are staged as they are, to be
+    documents only partitions with a change are read and worked out anew, a bounded share of the store at a time, as a copy
+    of it and its shuffles are on disk until it is replaced: their documents are staged as they are, to be
     parsed once, and again filled and unchanged, and then replace the partition, and after that its index. A run that ends in between leaves partitions in
     their old or their new form and an index that names no fewer blanks than there are, and running again fills the rest;
     on a full store it changes nothing. The cache is written first, as it is the costly part.
@@ -119,21 +122,40 @@ def run_backfill(
         touched = hot_key_join(blanks, known, "card_id", "left_semi").select(name.alias("name")).distinct()
         names = sorted(row["name"] for row in touched.collect())  # folders of the store
         filled = [spark.createDataFrame([], "deck_file string, card_id string")]
-        for start in range(0, len(names), FOLDERS_AT_ONCE):
-            # Read several times below, so that its lines are parsed once.
-            few = stages.write(decks.where(name.isin(names[start : start + FOLDERS_AT_ONCE])), "decks-of-folders")
-            filled.append(
-                stages.write(hot_key_join(blank_ids(few, "deck_file"), known, "card_id", "left_semi"), "filled-blanks")
-            )
-            changed = backfill_documents(few, saved, stages=stages)
-            whole = stages.write(with_changes(few, changed).drop(folder), "filled-decks")
-            write_documents(whole, store, partition)
-            write_blanks(whole, store, partition)
+        for some in folders_at_once(names, folder_sizes(spark, store) if names else {}):
+            with Stages() as ready:
+                with Stages() as parts:
+                    # Read several times below, so that its lines are parsed once.
+                    few = parts.write(decks.where(name.isin(some)), "decks-of-folders")
+                    filled.append(
+                        stages.write(hot_key_join(blank_ids(few, "deck_file"), known, "card_id", "left_semi"), "filled-blanks")
+                    )
+                    changed = backfill_documents(few, saved, stages=parts)
+                    whole = ready.write(with_changes(few, changed).drop(folder), "filled-decks")
+                let_go(spark)
+                write_documents(whole, store, partition)
+                write_blanks(whole, store, partition)
+            let_go(spark)
         updated = functools.reduce(DataFrame.unionByName, filled).agg(
             F.count_distinct("card_id").alias("cards_updated"), F.count_distinct("deck_file").alias("files_updated")
         )
         return OPEN_STAGES.write(updated, "backfill-report")
 
 
-#: Partitions that are worked out in one go; a filter on their names prunes the files that are read.
-FOLDERS_AT_ONCE = 1000
+#: Partitions that are worked out in one go, at most; a filter on their names prunes the files that are read. So many bytes
+#: of them, or this part of the store where that is more, unless a single one has more.
+FOLDERS_AT_ONCE, BYTES_AT_ONCE, PART_AT_ONCE = 1000, 128 << 20, 1 / 8
+
+
+def folders_at_once(names: list[str], sizes: dict[str, int]) -> list[list[str]]:
+    """Names of folders in groups that are worked out in one go each, by the bytes of all folders of the store."""
+    most = max(BYTES_AT_ONCE, PART_AT_ONCE * sum(sizes.values()))
+    groups, held = [], 0
+    for name in names:
+        size = sizes.get(name, 0)
+        if not groups or len(groups[-1]) == FOLDERS_AT_ONCE or held + size > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(name)
+        held += size
+    return groups

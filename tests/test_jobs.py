@@ -14,8 +14,10 @@ from cardloom.operators.decks import merge_deck_copies, parse_deck_pages
 from cardloom.operators.joins import likely_rows
 from cardloom.plans import backfill, catalog, ingest, summary
 from cardloom.schemas import DECK_DDL, EVENT_DDL, STORED_EVENT_FIELDS, STORED_RESULTS_DDL
+from cardloom.session import shared_folder
 from cardloom.sinks.documents import write_documents
 from cardloom.sources.documents import read_code_cache, read_document_lines
+from cardloom.sources.landed import folder_sizes
 
 EVENTS = [
     ("u", "01", "t", "2025-01-01", "north", "", "", [
@@ -207,6 +209,31 @@ def test_backfill_reads_only_partitions_that_it_will_change(spark, tmp_path):
     assert rows(backfill.run_backfill(spark, f"{tmp_path}/full", saved, pages, f"{tmp_path}/cache3", "event_date")) == [(0, 0)]
 
 
+def test_backfill_works_out_a_bounded_part_of_the_store_at_a_time(spark, tmp_path, monkeypatch):
+    cache, pages = backfill_inputs(spark)
+    store, schema = f"{tmp_path}/decks", f"{DECK_DDL}, deck_file string, event_date string"
+    place = F.when(F.col("deck_id") == "A", "").otherwise(F.concat("deck_id", F.lit("/=%")))
+    backfill.write_decks(deck_documents(spark).withColumn("event_date", place), store)
+    sizes = folder_sizes(spark, store)
+    assert set(sizes) == {"", "B/=%", "C/=%", "D/=%"} and min(sizes.values()) > 50
+    assert backfill.folders_at_once(["", "C/=%"], sizes) == [["", "C/=%"]]
+    monkeypatch.setattr(backfill, "BYTES_AT_ONCE", 1)
+    monkeypatch.setattr(backfill, "PART_AT_ONCE", 0)
+    assert backfill.folders_at_once(["", "C/=%"], sizes) == [[""], ["C/=%"]]
+    write, kept, before = backfill.write_documents, [], set(os.listdir(shared_folder(spark)))
+
+    def counted(documents, path, partition):
+        new = set(os.listdir(shared_folder(spark))) - before
+        kept.append({name.rsplit("-", 1)[0] for name in new} & {"decks-of-folders", "decks-to-fill"})
+        write(documents, path, partition)
+
+    monkeypatch.setattr(backfill, "write_documents", counted)
+    assert rows(backfill.run_backfill(spark, store, cache, pages, f"{tmp_path}/cache", "event_date")) == [(3, 2)]
+    assert kept == [set(), set()]  # one folder after the other, and what it was made from is gone
+    read = {r["deck_file"]: [c["card_code"] for c in r["cards"]] for r in read_document_lines(spark, store, schema)[0].collect()}
+    assert read["fa"] == ["ONE 001/001", "OLD 001/002", "THREE 003/003", "ONE 001/001"] and read["fc"] == ["FOUR 004/004", ""]
+
+
 def test_backfill_with_copies_of_a_document(spark):
     cache, pages = backfill_inputs(spark)
     documents = deck_documents(spark)
